@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import envelope, signal, tempo
+from pulsegrid.operators import envelope, grid, onset, score, signal, tempo
 from pulsegrid.operators.carry import minimum_gap
-from pulsegrid.operators.sequence import CHUNK, TRACK, running_sum
+from pulsegrid.operators.sequence import CHUNK, TRACK, dense_index, running_sum
 from pulsegrid.session import stage
 
 ENERGY_GAP_FRAMES = 18  # fixed: smallest distance of two energy beats, in frames
@@ -63,3 +63,98 @@ def energy_tempo(samples: DataFrame, *, rate: int, sensitivity: float = 0.5, key
     return joined.select(
         *keys, "duration", F.coalesce("n_beats", F.lit(0)).cast("long").alias("n_beats"), raw.alias("raw_bpm"), tempo.octave_fold(raw).alias("bpm")
     )
+
+
+def flux_envelope(samples: DataFrame, *, window: int, hop: int, sigma: float, keys: Sequence[str] = TRACK) -> DataFrame:
+    """J2 up to the smoothed envelope: spectra, flux, z-score, Gaussian smoothing."""
+    flux = envelope.spectral_flux(signal.stft(samples, length=window, hop=hop, keys=keys), keys=keys)
+    scored = envelope.z_normalise(stage(flux, "flux"), keys=keys)
+    return envelope.gaussian_smooth(scored, sigma=sigma, keys=keys)
+
+
+def flux_beats(
+    samples: DataFrame, *, rate: int, window: int = 2048, hop: int = 512, sigma: float = 2.0, factor: float = 1.5, min_gap: float = 0.25, keys: Sequence[str] = TRACK
+) -> DataFrame:
+    """Spectral-flux beats (no BPM)."""
+    smooth = flux_envelope(samples, window=window, hop=hop, sigma=sigma, keys=keys)
+    loud = envelope.peaks_over_local_threshold(smooth, factor=factor, keys=keys)
+    timed = loud.withColumn("t", F.col("frame_idx") * hop / F.lit(float(rate)))
+    kept = minimum_gap(timed, keys, "frame_idx", "t", min_gap, reach=int(min_gap * rate / hop) + 2)
+    return number_beats(kept, keys=keys).select(*keys, "beat_idx", "frame_idx", "t")
+
+
+def onset_beats(
+    samples: DataFrame, *, in_rate: int, rate: int = 22_050, n_fft: int = 2048, hop: int = 512, min_beat_s: float = 0.25,
+    fill: str = "frames", keys: Sequence[str] = TRACK,
+) -> DataFrame:
+    """J3 up to the beats: anti-alias resample, flux, IQR threshold, two peak passes.
+
+    ``fill='frames'`` keeps the documented behaviour: gap filling compares frame distances
+    with limits in seconds and so changes nothing. ``fill='seconds'`` fills gaps in seconds.
+    """
+    keys = list(keys)
+    slow = signal.resample_antialias(samples, in_rate=in_rate, out_rate=rate, keys=keys)
+    flux = envelope.spectral_flux(signal.stft(slow, length=n_fft, hop=hop, keys=keys), keys=keys)
+    env = stage(envelope.local_maximum(envelope.max_normalise(flux, keys=keys), keys=keys, rule="flat_right"), "onset")
+    limits = stage(envelope.iqr_threshold(env, keys=keys), "limits")
+    loud = env.filter("is_peak").join(limits, keys).filter(F.col("v") > F.col("threshold"))
+    gap = int(min_beat_s * rate / hop)
+    first = stage(
+        minimum_gap(loud.withColumn("at", F.col("frame_idx").cast("double")), keys, "frame_idx", "at", float(gap), reach=gap), "peaks"
+    )
+    peaks = onset.rescue_gaps(env, first, limits, min_gap=gap, keys=keys)
+    beats = number_beats(peaks, keys=keys).select(*keys, "beat_idx", "frame_idx", (F.col("frame_idx") / F.lit(rate / hop)).alias("t"))
+    if fill == "frames":
+        return beats
+    durations = samples.groupBy(*keys).agg(((F.max("idx") + 1) / F.lit(float(in_rate))).alias("duration"))
+    filled = grid.fill_gaps(beats, durations, keys=keys)
+    return dense_index(filled.select(*keys, "t"), keys, ["t"], "beat_idx").select(*keys, "beat_idx", F.lit(None).cast("long").alias("frame_idx"), "t")
+
+
+def onset_tempo(beats: DataFrame, *, keys: Sequence[str] = TRACK) -> DataFrame:
+    """J3 tail: D3-D5, D7 and D9 for each track with beats."""
+    keys = list(keys)
+    rows = tempo.intervals(beats, keys=keys)
+    best = tempo.dominant_interval(rows, low=0.2, high=2.0, bins_per_second=200, for_gaps=False, keys=keys)
+    picked = tempo.tempo_candidates(rows, best, keys=keys)
+    sure = tempo.regularity(rows, keys=keys)
+    counts = beats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_beats"))
+    bpm = F.when((F.col("n_beats") >= 4) & (F.col("candidate") > 0), tempo.octave_fold(F.lit(60.0) / F.col("candidate"))).otherwise(0.0)
+    return counts.join(picked, keys, "left").join(sure, keys, "left").select(
+        *keys, "n_beats", F.coalesce(bpm, F.lit(0.0)).alias("bpm"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+    )
+
+
+def log_mel(
+    samples: DataFrame, *, in_rate: int, rate: int = 22_050, n_mels: int = 81, n_fft: int = 2048, hop: int = 441,
+    fmin: float = 30.0, fmax: float = 11_000.0, keys: Sequence[str] = TRACK,
+) -> DataFrame:
+    """J4 front end: resample, power spectra, mel projection; (keys, frame_idx, mel array)."""
+    keys = list(keys)
+    if in_rate != rate:
+        samples = signal.resample_linear(samples, in_rate=in_rate, out_rate=rate, keys=keys)
+    power = signal.stft(samples, length=n_fft, hop=hop, kind="power", keys=keys, pad=True)
+    bank = signal.mel_filterbank(samples.sparkSession, rate=rate, n_mels=n_mels, n_fft=n_fft, fmin=fmin, fmax=fmax)
+    lines = signal.mel_project(power, bank, n_mels=n_mels, keys=keys)
+    packed = lines.groupBy(*keys, "frame_idx").agg(F.array_sort(F.collect_list(F.struct("mel", "v"))).alias("m"))
+    return packed.select(*keys, "frame_idx", F.transform("m", lambda s: s["v"]).alias("mel"))
+
+
+def model_beats(
+    samples: DataFrame, *, in_rate: int, scorer: score.Scorer | None = None, threshold: float | None = None, rate: int = 22_050,
+    hop: int = 441, keys: Sequence[str] = TRACK, **mel,
+) -> DataFrame:
+    """Mel spectra, any scorer, activation peaks."""
+    spectra = log_mel(samples, in_rate=in_rate, rate=rate, hop=hop, keys=keys, **mel)
+    activation = stage(envelope.max_normalise(score.score_frames(spectra, scorer, keys=keys), keys=keys), "activation")
+    peaks = score.activation_peaks(activation, "beat", frame_rate=rate / hop, threshold=threshold, keys=keys)
+    return peaks.withColumnRenamed("seg_idx", "beat_idx")
+
+
+def stem_detector(samples: DataFrame, *, length: int, detector: Callable[[DataFrame], DataFrame], per_stem: bool = False) -> DataFrame:
+    """Separate, then detect on the drums, or on every stem with ``stem`` as one more key."""
+    stems = score.separate(samples, length=length)
+    if not per_stem:
+        chosen = grid.stem_fallback(stems, samples)
+        return detector(chosen.select("track_id", "idx", "v"))
+    return detector(stems)
