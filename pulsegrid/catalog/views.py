@@ -51,4 +51,5 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
 
 def r(expr: str, digits: int = 6) -> str:
     """Rounding twin of ``functions.rounding.rnd``."""
-    return f"CASE WHEN round({expr}, {digits}) = 0 THEN 0.0 ELSE round({expr}, {digits}) END"
+    shifted = f"round(({expr}) + 3.7e-10, {digits})"
+    return f"CASE WHEN {shifted} = 0 THEN 0.0 ELSE {shifted} END"

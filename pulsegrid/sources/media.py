@@ -42,6 +42,15 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).parquet(path)
 
 
+def to_blocks(samples: DataFrame, *, rate: int, block: int = 65_536, channels: int = 1) -> DataFrame:
+    """A2: pack (track_id, idx, v) into blocks of at most ``block`` values."""
+    packed = samples.groupBy("track_id", F.expr(f"idx div {block}").alias("block_id")).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("s"))
+    return packed.select(
+        "track_id", "block_id", (F.col("block_id") * block).alias("start_idx"), F.lit(rate).alias("sample_rate"), F.lit(channels).alias("channels"),
+        F.transform("s", lambda x: x["v"].cast("float")).alias("samples"),
+    )
+
+
 def explode_blocks(blocks: DataFrame) -> DataFrame:
     """A2: (track_id, idx, v); interleaved channels keep their running index."""
     rows = blocks.select("track_id", "start_idx", F.posexplode("samples").alias("pos", "v"))
@@ -92,7 +101,8 @@ def parse_transitions(texts: DataFrame) -> DataFrame:
 
     def tag(label: str):
         pattern = rf"(?i)^\s*//\s*{label}:\s*(.+)\s*$"
-        return F.trim(F.regexp_extract(F.try_element_at(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(-1)), pattern, 1))
+        last = F.try_element_at(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(-1))
+        return F.regexp_replace(F.regexp_extract(last, pattern, 1), r"^\s+|\s+$", "")
 
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return texts.select("path", F.coalesce(tag("Name"), stem).alias("name"), F.coalesce(tag("Category"), F.lit("unknown")).alias("category"))
