@@ -6,7 +6,7 @@ import importlib
 
 from pulsegrid.catalog import registry
 
-MODULES = ["source_queries", "signal_queries", "envelope_queries", "tempo_queries", "lookup_queries", "segment_queries"]
+MODULES = ["source_queries", "signal_queries", "envelope_queries", "tempo_queries", "lookup_queries", "segment_queries", "detector_queries"]
 
 
 def load() -> tuple[dict[str, registry.Query], dict[str, str]]:

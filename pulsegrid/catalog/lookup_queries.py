@@ -82,7 +82,7 @@ MATCH = (
 )
 
 
-@query("f6_truth_matching")
+@query("f6_truth_matching", with_views("beats truth", f"WITH {MATCH} SELECT track_id, beat_idx, truth_idx FROM cl WHERE truth_idx IS NOT NULL", recursive=True))
 def f6(spark, sf):
     b, e = stage(fx.beats(spark, sf), "beats"), stage(fx.truth(spark, sf), "truth")
     return lookup.match_truth(b, e).select("track_id", "beat_idx", "truth_idx")

@@ -212,7 +212,7 @@ def filter_chain(configs: DataFrame) -> DataFrame:
 
 def transition_chain(jobs: DataFrame) -> DataFrame:
     """``jobs(n_inputs, path, duration)``; empty below 2 inputs or above 100."""
-    source = F.regexp_replace("path", "'", r"\\\\'")
+    source = F.replace(F.col("path"), F.lit("'"), F.lit("\\'"))
     part = F.concat(F.lit("gltransition=source='"), source, F.lit("':duration="), F.format_string("%.3f", F.col("duration")))
 
     def edge(i: Column) -> Column:
