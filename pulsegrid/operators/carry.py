@@ -4,114 +4,159 @@ Some operators depend on their own previous output (the last peak kept, the last
 matched, the next clip in a cycle). A task that walked a whole track would not scale, so
 each chunk first states what it would do for every possible entry state, these short
 tables are chained in two levels, and each chunk then runs once with its real entry state.
+Tracks that fit in one chunk skip all but the last step.
+
+Chunks are processed as sorted runs inside large partitions, many per Arrow batch, so a
+million short tracks cost little more than one long one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.operators.sequence import run_starts
 from pulsegrid.session import stage
 
 NONE = -1.0  # "nothing carried in"; positions and cycle pointers are never negative
 LINKS = 512  # chunks chained per task and level
 
+Run = dict[str, np.ndarray]
 
-def _tables(pdf: pd.DataFrame, order: str) -> list[tuple[int, dict[float, float]]]:
-    return [(int(c), dict(zip(g["entry"], g["exit"]))) for c, g in pdf.sort_values(order).groupby(order, sort=True)]
 
+def map_runs(df: DataFrame, runs: Sequence[str], order: Sequence[str], keep: Sequence[str], fn: Callable[[Run], Run], schema: T.StructType) -> DataFrame:
+    """Apply ``fn`` to each group of ``runs`` columns, rows sorted by ``order``.
 
-def _follow(state: float, tables: Iterable[tuple[int, dict[float, float]]]) -> tuple[float, list[tuple[int, float]]]:
+    Output rows carry the ``keep`` columns of their run followed by what ``fn`` returns.
+    Only one unfinished run is held while batches stream through.
+    """
+    runs, keep = list(runs), list(keep)
+    fields = [df.schema[k] for k in keep] + list(schema.fields)
+    made = [f.name for f in schema.fields]
+
+    def finish(table: pa.Table, starts: np.ndarray, stop: int) -> pa.RecordBatch | None:
+        batch = table.slice(0, stop).combine_chunks()
+        columns = {n: batch.column(n).to_numpy() for n in batch.column_names}
+        outs, first = [], []
+        for a, b in zip(starts, [*starts[1:], stop]):
+            out = fn({n: c[a:b] for n, c in columns.items()})
+            outs.append(out)
+            first.append(np.full(len(out[made[0]]), a))
+        take = pa.array(np.concatenate(first).astype(np.int64))
+        if len(take) == 0:
+            return None
+        arrays = [batch.column(k).take(take).combine_chunks() for k in keep]
+        for f in schema.fields:
+            arrays.append(pa.array(np.concatenate([o[f.name] for o in outs]), type=_ARROW[f.dataType.typeName()]))
+        arrays = [a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
+        return pa.RecordBatch.from_arrays(arrays, names=keep + made)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            starts = run_starts(held, runs)
+            if len(starts) > 1:
+                out = finish(held, starts[:-1], int(starts[-1]))
+                held = held.slice(int(starts[-1]))
+                if out is not None:
+                    yield out
+        if held is not None and held.num_rows:
+            out = finish(held, run_starts(held, runs), held.num_rows)
+            if out is not None:
+                yield out
+
+    return df.repartition(*runs).sortWithinPartitions(*runs, *order).mapInArrow(stream, T.StructType(fields))
+
+
+_ARROW = {"long": pa.int64(), "double": pa.float64()}
+
+
+def _tables(order: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> list[tuple[int, dict[float, float]]]:
+    """(chunk, {entry: exit}) for rows sorted by chunk."""
+    cuts = np.flatnonzero(np.diff(order)) + 1
+    parts = zip(np.split(order, cuts), np.split(entry, cuts), np.split(leave, cuts))
+    return [(int(o[0]), dict(zip(e.tolist(), x.tolist()))) for o, e, x in parts]
+
+
+def _follow(state: float, tables: list[tuple[int, dict[float, float]]]) -> tuple[float, list[int], list[float]]:
     """Chain chunk tables; an entry a chunk does not list is out of its reach."""
-    entries = []
+    chunks, states = [], []
     for chunk, options in tables:
         if state not in options:
             state = NONE
-        entries.append((chunk, state))
+        chunks.append(chunk)
+        states.append(state)
         state = options[state]
-    return state, entries
+    return state, chunks, states
 
 
 def carry_scan(
     rows: DataFrame,
     keys: Sequence[str],
     *,
+    order: Sequence[str],
     initial: float,
-    summarise: Callable[[pd.DataFrame], list[tuple[float, float]]],
-    emit: Callable[[pd.DataFrame, float], pd.DataFrame],
+    summarise: Callable[[Run], list[tuple[float, float]]],
+    emit: Callable[[Run, float], Run],
     schema: T.StructType,
 ) -> DataFrame:
     """Run ``emit(chunk_rows, entry_state)`` for every (keys, ``_chunk``) of ``rows``.
 
     ``summarise(chunk_rows)`` lists ``(entry, exit)`` pairs and must include ``NONE`` and,
-    for the first chunk, ``initial``. ``emit`` returns the columns of ``schema`` without keys.
+    for the first chunk, ``initial``. ``emit`` returns the columns of ``schema``.
     """
     keys = list(keys)
-    key_fields = [rows.schema[k] for k in keys]
-    pair = [T.StructField("entry", T.DoubleType()), T.StructField("exit", T.DoubleType())]
-    chunk_field, link_field = T.StructField("_chunk", T.LongType()), T.StructField("_link", T.LongType())
-
-    def keyed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        for name, value in reversed(list(zip(keys, key))):
-            frame.insert(0, name, value)
-        return frame
-
     rows = stage(rows, "carry-rows")
+    spans = rows.groupBy(*keys).agg(F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi"))
+    several = spans.filter("_lo < _hi").select(*keys)
+    if several.isEmpty():
+        entered = rows.withColumn("_state", F.lit(initial))
+    else:
+        entries = _chunk_entries(rows.join(several, keys), keys, order, initial, summarise)
+        entered = rows.join(entries, [*keys, "_chunk"], "left").withColumn("_state", F.coalesce("state", F.lit(initial))).drop("state")
+    return map_runs(entered, [*keys, "_chunk"], order, keys, lambda run: emit(run, float(run["_state"][0])), schema)
+
+
+def _chunk_entries(
+    rows: DataFrame, keys: list[str], order: Sequence[str], initial: float, summarise: Callable[[Run], list[tuple[float, float]]]
+) -> DataFrame:
+    """(keys, _chunk, state) for tracks of several chunks."""
+    entry, leave = T.StructField("entry", T.DoubleType()), T.StructField("exit", T.DoubleType())
+    chunk, state = T.StructField("_chunk", T.LongType()), T.StructField("state", T.DoubleType())
 
-    def per_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(summarise(pdf), columns=["entry", "exit"], dtype=float).drop_duplicates("entry")
-        out.insert(0, "_chunk", int(key[-1]))
-        return keyed(key[:-1], out)
+    def per_chunk(run: Run) -> Run:
+        pairs = list(dict(summarise(run)).items())
+        return {"entry": np.array([e for e, _ in pairs], dtype=float), "exit": np.array([x for _, x in pairs], dtype=float)}
 
-    links = stage(
-        rows.groupBy(*keys, "_chunk")
-        .applyInPandas(per_chunk, T.StructType(key_fields + [chunk_field] + pair))
-        .withColumn("_link", F.expr(f"_chunk div {LINKS}")),
-        "carry-links",
-    )
+    links = map_runs(rows, [*keys, "_chunk"], order, [*keys, "_chunk"], per_chunk, T.StructType([entry, leave]))
+    links = stage(links.withColumn("_link", F.expr(f"_chunk div {LINKS}")), "carry-links")
 
-    def per_link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tables = _tables(pdf, "_chunk")
-        out = pd.DataFrame([(e, _follow(e, tables)[0]) for e in tables[0][1]], columns=["entry", "exit"], dtype=float)
-        out.insert(0, "_link", int(key[-1]))
-        return keyed(key[:-1], out)
-
-    def walk_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, entries = _follow(initial, _tables(pdf, "_link"))
-        return keyed(key, pd.DataFrame(entries, columns=["_link", "state"]))
-
-    state = T.StructField("state", T.DoubleType())
-    link_entries = (
-        links.groupBy(*keys, "_link")
-        .applyInPandas(per_link, T.StructType(key_fields + [link_field] + pair))
-        .groupBy(*keys)
-        .applyInPandas(walk_links, T.StructType(key_fields + [link_field, state]))
-    )
+    def per_link(run: Run) -> Run:
+        tables = _tables(run["_chunk"], run["entry"], run["exit"])
+        starts = list(tables[0][1])
+        return {"entry": np.array(starts, dtype=float), "exit": np.array([_follow(e, tables)[0] for e in starts], dtype=float)}
 
-    def walk_chunks(key: tuple, tables: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        _, entries = _follow(float(entry["state"].iloc[0]), _tables(tables, "_chunk"))
-        return keyed(key[:-1], pd.DataFrame(entries, columns=["_chunk", "state"]))
+    def walk_links(run: Run) -> Run:
+        _, at, states = _follow(initial, _tables(run["_link"], run["entry"], run["exit"]))
+        return {"_link": np.array(at, dtype=np.int64), "state": np.array(states, dtype=float)}
 
-    chunk_entries = (
-        links.groupBy(*keys, "_link")
-        .cogroup(link_entries.groupBy(*keys, "_link"))
-        .applyInPandas(walk_chunks, T.StructType(key_fields + [chunk_field, state]))
-    )
+    def walk_chunks(run: Run) -> Run:
+        _, at, states = _follow(float(run["state"][0]), _tables(run["_chunk"], run["entry"], run["exit"]))
+        return {"_chunk": np.array(at, dtype=np.int64), "state": np.array(states, dtype=float)}
 
-    def finish(key: tuple, chunk: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        out = emit(chunk, float(entry["state"].iloc[0])).reset_index(drop=True)
-        return keyed(key[:-1], out)
-
-    return (
-        rows.groupBy(*keys, "_chunk")
-        .cogroup(chunk_entries.groupBy(*keys, "_chunk"))
-        .applyInPandas(finish, T.StructType(key_fields + list(schema.fields)))
-    )
+    joined = map_runs(links, [*keys, "_link"], ["_chunk"], [*keys, "_link"], per_link, T.StructType([entry, leave]))
+    link_entries = map_runs(joined, keys, ["_link"], keys, walk_links, T.StructType([T.StructField("_link", T.LongType()), state]))
+    placed = links.join(link_entries, [*keys, "_link"])
+    return map_runs(placed, [*keys, "_link"], ["_chunk"], keys, walk_chunks, T.StructType([chunk, state]))
 
 
 def _next_allowed(at: np.ndarray, gap: float) -> np.ndarray:
@@ -165,19 +210,18 @@ def minimum_gap(
         F.explode(F.array_compact(F.array(F.col("_home"), F.when(F.col("_i") % size >= size - reach, F.col("_home") + 1)))),
     )
 
-    def split(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-        pdf = pdf.sort_values("_i")
-        return pdf["_i"].to_numpy(), pdf["_at"].to_numpy(), int((pdf["_home"] < pdf["_chunk"]).sum())
+    def split(run: Run) -> tuple[np.ndarray, np.ndarray, int]:
+        return run["_i"], run["_at"], int((run["_home"] < run["_chunk"]).sum())
 
-    def summarise(pdf: pd.DataFrame) -> list[tuple[float, float]]:
-        _, pos, own = split(pdf)
+    def summarise(run: Run) -> list[tuple[float, float]]:
+        _, pos, own = split(run)
         nxt = _next_allowed(pos, gap)
         last = np.arange(len(pos))
         for i in range(len(pos) - 1, own - 1, -1):
             if nxt[i] < len(pos):
                 last[i] = last[nxt[i]]
         entries = [NONE, *pos[:own].tolist()]
-        if start != NONE and int(pdf["_chunk"].iloc[0]) == 0:
+        if start != NONE and run["_chunk"][0] == 0:
             entries.append(start)
         table = []
         for entry in entries:
@@ -185,14 +229,14 @@ def minimum_gap(
             table.append((entry, float(pos[last[first]]) if first < len(pos) else entry))
         return table
 
-    def emit(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        index, pos, own = split(pdf)
-        nxt = _next_allowed(pos, gap)
+    def emit(run: Run, entry: float) -> Run:
+        index, pos, own = split(run)
+        nxt = _next_allowed(pos, gap).tolist()
         keep, i = [], _first_own(pos, own, entry, gap)
         while i < len(pos):
             keep.append(i)
             i = nxt[i]
-        return pd.DataFrame({idx: index[keep], at: pos[keep]})
+        return {idx: index[keep], at: pos[keep]}
 
     out = T.StructType([T.StructField(idx, T.LongType()), T.StructField(at, T.DoubleType())])
-    return carry_scan(rows, keys, initial=start, summarise=summarise, emit=emit, schema=out)
+    return carry_scan(rows, keys, order=["_i"], initial=start, summarise=summarise, emit=emit, schema=out)

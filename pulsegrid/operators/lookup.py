@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.carry import NONE, carry_scan
+from pulsegrid.operators.carry import NONE, Run, carry_scan
 from pulsegrid.operators.sequence import TRACK, neighbours, ordered_prefix
 
 RADIX_BITS = 4
@@ -166,35 +166,37 @@ def match_truth(detected: DataFrame, expected: DataFrame, *, tolerance: float =
     e = e.withColumn("_chunk", F.explode(reach)).filter("_chunk >= 0")
     rows = d.unionByName(e).drop("_w")
 
-    def claim(pdf: pd.DataFrame, entry: float) -> list[tuple[int, int, float]]:
-        want = pdf[pdf["_kind"] == 1].sort_values("_id")
-        times, ids = want["_t"].to_numpy(), want["_id"].to_numpy()
-        pairs, i = [], 0
+    def claim(run: Run, entry: float) -> tuple[list[int], list[int], list[float]]:
+        want = run["_kind"] == 1
+        times, ids = run["_t"][want].tolist(), run["_id"][want].tolist()
+        hits: tuple[list[int], list[int], list[float]] = ([], [], [])
+        i = 0
         while i < len(ids) and entry != NONE and ids[i] <= entry:
             i += 1
-        for beat, t in pdf[pdf["_kind"] == 0].sort_values(["_t", "_id"])[["_id", "_t"]].itertuples(index=False):
+        for beat, t in zip(run["_id"][~want].tolist(), run["_t"][~want].tolist()):
             while i < len(times) and times[i] < t and abs(t - times[i]) > tolerance:
                 i += 1
             if i < len(times) and abs(t - times[i]) <= tolerance:
-                pairs.append((beat, int(ids[i]), float(times[i])))
+                for column, value in zip(hits, (beat, ids[i], times[i])):
+                    column.append(value)
                 i += 1
-        return pairs
+        return hits
 
-    def summarise(pdf: pd.DataFrame) -> list[tuple[float, float]]:
-        shared = pdf[(pdf["_kind"] == 1)]["_id"].tolist()
-        start = float(pdf["_chunk"].iloc[0]) * chunk_s
-        near = pdf[(pdf["_kind"] == 1) & (pdf["_t"] < start + 2 * tolerance + 1e-6)]["_id"].tolist() if shared else []
+    def summarise(run: Run) -> list[tuple[float, float]]:
+        start = float(run["_chunk"][0]) * chunk_s
+        near = run["_id"][(run["_kind"] == 1) & (run["_t"] < start + 2 * tolerance + 1e-6)]
         table = []
-        for entry in [NONE, *map(float, near)]:
-            pairs = claim(pdf, entry)
-            table.append((entry, float(pairs[-1][1]) if pairs else entry))
+        for entry in [NONE, *near.astype(float).tolist()]:
+            claimed = claim(run, entry)[1]
+            table.append((entry, float(claimed[-1]) if claimed else entry))
         return table
 
-    def emit(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        return pd.DataFrame(claim(pdf, entry), columns=["beat_idx", "truth_idx", "truth_t"])
+    def emit(run: Run, entry: float) -> Run:
+        beat, truth, at = claim(run, entry)
+        return {"beat_idx": np.array(beat, dtype=np.int64), "truth_idx": np.array(truth, dtype=np.int64), "truth_t": np.array(at, dtype=float)}
 
     out = T.StructType([T.StructField("beat_idx", T.LongType()), T.StructField("truth_idx", T.LongType()), T.StructField("truth_t", T.DoubleType())])
-    return carry_scan(rows, TRACK, initial=NONE, summarise=summarise, emit=emit, schema=out)
+    return carry_scan(rows, TRACK, order=["_t", "_id"], initial=NONE, summarise=summarise, emit=emit, schema=out)
 
 
 def match_scores(detected: DataFrame, expected: DataFrame, matches: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def score_frames(
         rows = np.stack(pdf[x].to_numpy()).astype(float)
         borrowed = int((pdf["_home"] < pdf["_block"]).sum())
         if borrowed == len(rows):
-            return pd.DataFrame({name: [] for name in schema.names})
+            return pd.DataFrame({name: pd.Series([], dtype=object) for name in schema.names})
         rows = np.concatenate([np.zeros((context - borrowed, rows.shape[1])), rows])
         out = pd.DataFrame({"frame_idx": pdf["frame_idx"].to_numpy()[borrowed:], "v": scorer(rows)})
         for name, value in reversed(list(zip(keys, key))):

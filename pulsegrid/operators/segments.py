@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.carry import NONE, carry_scan
+from pulsegrid.operators.carry import NONE, Run, carry_scan
 from pulsegrid.operators.sequence import TRACK, neighbours, running_sum, with_stats
 from pulsegrid.operators.tempo import filtered_average_interval
 
@@ -128,29 +127,35 @@ def fill_long_gaps(gaps: DataFrame, clips: DataFrame, *, chunk: int = 4096, max_
             i += 1
         return used
 
-    def summarise(pdf: pd.DataFrame) -> list[tuple[float, float]]:
+    def summarise(run: Run) -> list[tuple[float, float]]:
         state = np.arange(n)
-        for dur in pdf.sort_values("beat_idx")["dur"]:
+        for dur in run["dur"].tolist():
             # starts that have met stay together, so only distinct positions are advanced
             live, back = np.unique(state, return_inverse=True)
             moved = np.array([(s + len(pieces(int(s), dur))) % n for s in live])
             state = moved[back]
-        return [(NONE, float(state[0])), *zip(np.arange(n, dtype=float), state.astype(float))]
+        return [(NONE, float(state[0])), *zip(np.arange(n, dtype=float).tolist(), state.astype(float).tolist())]
 
-    def emit(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        at, rows = max(int(entry), 0), []
-        for beat, dur in pdf.sort_values("beat_idx")[["beat_idx", "dur"]].itertuples(index=False):
+    def emit(run: Run, entry: float) -> Run:
+        at, beats, piece, clip, length = max(int(entry), 0), [], [], [], []
+        for beat, dur in zip(run["beat_idx"].tolist(), run["dur"].tolist()):
             used = pieces(at, dur)
-            rows += [(beat, k, ids[(at + k) % n], d) for k, d in enumerate(used)]
+            beats += [beat] * len(used)
+            piece += range(len(used))
+            clip += [ids[(at + k) % n] for k in range(len(used))]
+            length += used
             at = (at + len(used)) % n
-        return pd.DataFrame(rows, columns=["beat_idx", "piece", "clip_id", "dur"])
+        return {
+            "beat_idx": np.array(beats, dtype=np.int64), "piece": np.array(piece, dtype=np.int64),
+            "clip_id": np.array(clip, dtype=np.int64), "dur": np.array(length, dtype=float),
+        }
 
     rows = gaps.select("track_id", "beat_idx", "dur", F.expr(f"(beat_idx + 1) div {chunk}").alias("_chunk"))
     out = T.StructType([
         T.StructField("beat_idx", T.LongType()), T.StructField("piece", T.LongType()),
         T.StructField("clip_id", T.LongType()), T.StructField("dur", T.DoubleType()),
     ])
-    return carry_scan(rows, TRACK, initial=0.0, summarise=summarise, emit=emit, schema=out)
+    return carry_scan(rows, TRACK, order=["beat_idx"], initial=0.0, summarise=summarise, emit=emit, schema=out)
 
 
 def cli_segments(beats: DataFrame, durations: DataFrame, *, clip: float = 0.0) -> DataFrame:

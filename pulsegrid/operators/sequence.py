@@ -40,6 +40,16 @@ def _changes(batch: pa.RecordBatch, keys: Sequence[str], previous: tuple | None)
     return new
 
 
+def run_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers where a new run of equal ``keys`` begins."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for key in keys:
+        column = table.column(key)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)).to_numpy()
+    return np.flatnonzero(new)
+
+
 def _partition_prefix(keys: Sequence[str], names: Sequence[str]):
     """Per sorted partition: exclusive running sums that restart at each key."""
 

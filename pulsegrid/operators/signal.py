@@ -237,7 +237,7 @@ def stft(
         if pad and block == 0 and len(values) < length:
             values = np.concatenate([values, np.zeros(length - len(values))])
         if len(values) < length:
-            return pd.DataFrame({name: [] for name in schema.names})
+            return pd.DataFrame({name: pd.Series([], dtype=object) for name in schema.names})
         rows = np.lib.stride_tricks.sliding_window_view(values, length)[::hop][:per_block]
         mags = _fft(rows, kind, True)
         out = pd.DataFrame({"frame_idx": block * per_block + np.arange(len(mags)), "mag": list(mags)})
