@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pulsegrid.operators.carry import NONE, Run, carry_scan
 from pulsegrid.operators.sequence import TRACK, neighbours, ordered_prefix
 
-RADIX_BITS = 4
+RADIX_BITS = 2
 LABELS = [  # fixed values: class order of the label head
     "intro", "verse", "pre-chorus", "chorus", "post-chorus", "bridge", "outro", "instrumental", "solo", "silence",
 ]
@@ -82,7 +82,7 @@ def beat_near(probes: DataFrame, beats: DataFrame, tolerance: Column, *, probe_i
 
 
 def _cover(levels: int) -> Column:
-    """Aligned blocks of 16^level ranks that tile [lo, hi) exactly; at most 30 per level."""
+    """Aligned blocks of 4^level stretches that tile [lo, hi) exactly; at most six per level."""
     step = 1 << RADIX_BITS
     lo, hi = F.col("_lo"), F.col("_hi")
     blocks = []
@@ -108,32 +108,37 @@ def last_region_at(
 ) -> DataFrame:
     """the last region (highest id) whose closed interval contains the probe, else -1.
 
-    One range sort turns each region into a range of probe positions. The range is tiled by
-    a few aligned blocks, each block keeps only its highest region, and a probe asks the
-    blocks above it. Probe-region pairs are never generated, however much they overlap.
+    Region borders cut a track into elementary stretches on which the answer is constant.
+    Equal spans and equal borders are merged first; one range sort of borders and probes
+    gives every probe its stretch and every span a range of stretches. A range is tiled by a
+    few aligned blocks, a block keeps only its highest region, and a stretch asks the blocks
+    above it. Probe-region pairs are never generated, however much the regions overlap.
     """
     keys = list(TRACK)
-    marks = (
-        _marks(regions, keys, "start_s", 0, region_id, 0)
-        .unionByName(_marks(probes, keys, "t", 1, probe_id, 1))
-        .unionByName(_marks(regions, keys, "end_s", 2, region_id, 0))
-    )
+    spans = regions.filter("start_s <= end_s").groupBy(*keys, "start_s", "end_s").agg(F.max(region_id).cast("long").alias("_region"))
+    opening = spans.select(*keys, F.col("start_s").alias("_t"), F.lit(0).alias("_kind"))
+    closing = spans.select(*keys, F.col("end_s").alias("_t"), F.lit(2).alias("_kind"))
+    borders = opening.unionByName(closing).groupBy(*keys, "_t", "_kind").agg(F.lit(0).cast("long").alias("_id"), F.lit(1).cast("long").alias("_w"))
+    marks = borders.unionByName(_marks(probes, keys, "t", 1, probe_id, 0))
     ranked = ordered_prefix(marks, keys, ["_t", "_kind", "_id"], {"rank": F.col("_w")}, partitions=partitions)
-    top = ranked.agg(F.max("rank")).first()[0] or 0
+    edges = ranked.filter("_kind <> 1")
+    top = edges.agg(F.max("rank")).first()[0] or 0
     levels = 1
-    while (1 << (RADIX_BITS * levels)) <= top:
+    while (1 << (RADIX_BITS * levels)) <= top + 1:
         levels += 1
-    bounds = ranked.filter("_kind <> 1").groupBy(*keys, "_id").agg(
-        F.max(F.when(F.col("_kind") == 0, F.col("rank"))).alias("_lo"), F.max(F.when(F.col("_kind") == 2, F.col("rank"))).alias("_hi")
-    )
+    lo = edges.filter("_kind = 0").select(*keys, F.col("_t").alias("start_s"), (F.col("rank") + 1).alias("_lo"))
+    hi = edges.filter("_kind = 2").select(*keys, F.col("_t").alias("end_s"), (F.col("rank") + 1).alias("_hi"))
+    bounds = spans.join(lo, [*keys, "start_s"]).join(hi, [*keys, "end_s"])
     nodes = (
         bounds.filter("_hi > _lo").withColumn("_n", F.explode(_cover(levels)))
-        .groupBy(*keys, F.col("_n.level").alias("level"), F.col("_n.node").alias("node")).agg(F.max("_id").alias("region"))
+        .groupBy(*keys, F.col("_n.level").alias("level"), F.col("_n.node").alias("node")).agg(F.max("_region").alias("region"))
     )
-    ladder = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("rank", RADIX_BITS * k).alias("node")) for k in range(levels)])
-    asked = ranked.filter("_kind = 1").select(*keys, F.col("_id").alias(probe_id), F.col("_t").alias("t"), F.explode(ladder).alias("_n"))
-    asked = asked.select(*keys, probe_id, "t", F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
-    found = asked.join(nodes, [*keys, "level", "node"], "left").groupBy(*keys, probe_id, "t").agg(F.max("region").alias("region"))
+    placed = ranked.filter("_kind = 1").select(*keys, F.col("_id").alias(probe_id), F.col("_t").alias("t"), F.col("rank").alias("stretch"))
+    ladder = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("stretch", RADIX_BITS * k).alias("node")) for k in range(levels)])
+    asked = placed.groupBy(*keys, "stretch").agg(F.lit(1).alias("_one")).select(*keys, "stretch", F.explode(ladder).alias("_n"))
+    asked = asked.select(*keys, "stretch", F.col("_n.level").alias("level"), F.col("_n.node").alias("node"))
+    answers = asked.join(nodes, [*keys, "level", "node"]).groupBy(*keys, "stretch").agg(F.max("region").alias("region"))
+    found = placed.join(answers, [*keys, "stretch"], "left")
     return found.select(*keys, probe_id, "t", F.coalesce("region", F.lit(-1)).cast("long").alias(region_id))
 
 

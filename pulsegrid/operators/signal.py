@@ -49,15 +49,19 @@ def downmix(interleaved: DataFrame, *, channels: int) -> DataFrame:
 # ---- resampling and filters -------------------------------------------------------------
 
 
-def resample_linear(samples: DataFrame, *, in_rate: int, out_rate: int, keys: Sequence[str] = TRACK, size: int = CHUNK) -> DataFrame:
+def resample_linear(
+    samples: DataFrame, *, in_rate: int, out_rate: int, keys: Sequence[str] = TRACK, size: int = CHUNK, lengths: DataFrame | None = None
+) -> DataFrame:
     """Linear interpolation at i/ratio for i < floor(n * ratio); the last value is held.
 
     Each input sample emits the few output positions that fall on it, so no task ever
-    generates a whole track.
+    generates a whole track. ``lengths(keys, _n)`` may be passed when ``samples`` is costly.
     """
     ratio = out_rate / in_rate
+    if lengths is None:
+        lengths = samples.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
     ahead = neighbours(samples, keys, "idx", lambda w: {"_next": F.lead("v").over(w)}, size=size)
-    counted = with_stats(ahead, keys, _n=F.max("idx") + 1)
+    counted = ahead.join(lengths, list(keys))
     low = F.greatest(F.floor(F.col("idx") * F.lit(ratio)) - 1, F.lit(0))
     high = F.ceil((F.col("idx") + 1) * F.lit(ratio)) + 1
     out = counted.withColumn("_i", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
@@ -97,9 +101,10 @@ def fir_filter(samples: DataFrame, taps: Sequence[float], *, keys: Sequence[str]
 
 def resample_antialias(samples: DataFrame, *, in_rate: int, out_rate: int, keys: Sequence[str] = TRACK, size: int = CHUNK) -> DataFrame:
     """Low-pass before B4, only when the rate goes down."""
+    lengths = samples.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
     if out_rate < in_rate:
         samples = fir_filter(samples, fir_taps(in_rate, out_rate), keys=keys, size=size)
-    return resample_linear(samples, in_rate=in_rate, out_rate=out_rate, keys=keys, size=size)
+    return resample_linear(samples, in_rate=in_rate, out_rate=out_rate, keys=keys, size=size, lengths=lengths)
 
 
 def one_pole(samples: DataFrame, *, ratio: float, keys: Sequence[str] = TRACK, size: int = CHUNK) -> DataFrame:

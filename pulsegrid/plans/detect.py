@@ -94,7 +94,7 @@ def onset_beats(
     """
     keys = list(keys)
     slow = signal.resample_antialias(samples, in_rate=in_rate, out_rate=rate, keys=keys)
-    flux = envelope.spectral_flux(signal.stft(slow, length=n_fft, hop=hop, keys=keys), keys=keys)
+    flux = stage(envelope.spectral_flux(signal.stft(slow, length=n_fft, hop=hop, keys=keys), keys=keys), "flux")
     env = stage(envelope.local_maximum(envelope.max_normalise(flux, keys=keys), keys=keys, rule="flat_right"), "onset")
     limits = stage(envelope.iqr_threshold(env, keys=keys), "limits")
     loud = env.filter("is_peak").join(limits, keys).filter(F.col("v") > F.col("threshold"))
@@ -114,7 +114,7 @@ def onset_beats(
 def onset_tempo(beats: DataFrame, *, keys: Sequence[str] = TRACK) -> DataFrame:
     """J3 tail: D3-D5, D7 and D9 for each track with beats."""
     keys = list(keys)
-    rows = tempo.intervals(beats, keys=keys)
+    rows = stage(tempo.intervals(beats, keys=keys), "intervals")
     best = tempo.dominant_interval(rows, low=0.2, high=2.0, bins_per_second=200, for_gaps=False, keys=keys)
     picked = tempo.tempo_candidates(rows, best, keys=keys)
     sure = tempo.regularity(rows, keys=keys)
@@ -146,7 +146,8 @@ def model_beats(
 ) -> DataFrame:
     """Mel spectra, any scorer, activation peaks."""
     spectra = log_mel(samples, in_rate=in_rate, rate=rate, hop=hop, keys=keys, **mel)
-    activation = stage(envelope.max_normalise(score.score_frames(spectra, scorer, keys=keys), keys=keys), "activation")
+    scored = stage(score.score_frames(spectra, scorer, keys=keys), "scores")
+    activation = envelope.max_normalise(scored, keys=keys)
     peaks = score.activation_peaks(activation, "beat", frame_rate=rate / hop, threshold=threshold, keys=keys)
     return peaks.withColumnRenamed("seg_idx", "beat_idx")
 
