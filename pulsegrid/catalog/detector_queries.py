@@ -96,18 +96,6 @@ def i3_mix(spark, sf):
     return mix.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum(F.when((F.col("idx") >= 64) & (F.col("idx") < 192), F.abs("v"))), 5).alias("level"))
 
 
-STEM_SIGNAL = (
-    "samples AS (SELECT event_type AS track_id, user_id % 4 AS stem, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) - 1 AS idx, (value - 50) / 500 AS v FROM events)"
-)
-
-
-def stem_signal(spark, sf):
-    from pulsegrid.operators.sequence import dense_index
-
-    e = fx.table(spark, sf, "events").select(F.col("event_type").alias("track_id"), (F.col("user_id") % 4).alias("stem"), "event_id", ((F.col("value") - 50) / 500).alias("v"))
-    return dense_index(e, ["track_id", "stem"], ["event_id"], "idx").select("track_id", "stem", "idx", "v")
-
-
 def by_stem(sql):
     """The energy detector's SQL with (track, stem) packed into one key."""
     return sql.replace("samples AS (SELECT event_type AS track_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)", "samples AS (SELECT event_type || '/' || (user_id % 4) AS track_id, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id)")
@@ -119,7 +107,7 @@ J1 = f"{ENERGY}, {SMOOTH}, {CAND}, {greedy_sql('cand', 'pos', 18, 0)}, jb AS (SE
 
 @query("i4_stem_beats", by_stem(with_views("samples", f"WITH {J1} SELECT track_id, beat_idx, {r('t')} AS t FROM jb", recursive=True)))
 def i4(spark, sf):
-    beats = detect.energy_beats(stem_signal(spark, sf), rate=fx.RATE, keys=["track_id", "stem"])
+    beats = detect.energy_beats(fx.stem_samples(spark, sf), rate=fx.RATE, keys=["track_id", "stem"])
     return timed(beats, F.concat_ws("/", "track_id", F.col("stem").cast("string")).alias("track_id"))
 
 

@@ -206,13 +206,10 @@ def b19(spark, sf):
     return v(signal.peak_limit(fx.samples(spark, sf).withColumn("v", F.col("v") * 20)))
 
 
-STEMS = ["view", "click", "purchase", "signup", "error"]
-
-
-@query("b20_stem_mix", with_views("samples", f"SELECT 'all' AS track_id, idx, {r('sum(v)')} AS v FROM samples WHERE idx <= (SELECT max(idx) FROM samples WHERE track_id = 'view') GROUP BY idx"))
+@query("b20_stem_mix", "WITH s AS (SELECT event_type AS track_id, user_id % 4 AS stem, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) - 1 AS idx, (value - 50) / 500 AS v FROM events), "
+       f"n AS (SELECT track_id, max(idx) AS last FROM s WHERE stem = 2 GROUP BY 1) SELECT track_id, idx, {r('sum(v)')} AS v FROM s JOIN n USING (track_id) WHERE idx <= last GROUP BY 1, 2")
 def b20(spark, sf):
-    stems = fx.samples(spark, sf).select(F.lit("all").alias("track_id"), F.col("track_id").alias("stem"), "idx", "v")
-    return v(signal.stem_mix(stems, first="view"))
+    return v(signal.stem_mix(fx.stem_samples(spark, sf), first=2))
 
 
 @query("b21_band_effects", with_views("frames", f"WITH {FX}, {spec('sqrt({p})')}, {BANDS} SELECT track_id, frame_idx, {r('least(bass, 1.0)')} AS zoom, {r('least(mid, 1.0)')} AS saturation, {r('least(high, 1.0)')} AS brightness FROM bands"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.lookup import nearest_beat
 from pulsegrid.operators.sequence import TRACK, dense_index, neighbours, order_statistics
 from pulsegrid.operators.tempo import dominant_interval
+from pulsegrid.session import stage
 
 SLACK = 1e-9  # float tolerance when counting grid steps
 MAX_BEATS = 1_000_001  # fixed: cap of the interactive re-grid
@@ -86,6 +87,7 @@ def fill_gaps(beats: DataFrame, durations: DataFrame, *, keys: Sequence[str] = T
     step = dominant_interval(rows, low=0.15, high=1.5, bins_per_second=100, for_gaps=True, keys=keys)
     ends = beats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"), F.min(t).alias("_first"), F.max(t).alias("_last"))
     plan = step.select(*keys, F.col("best").alias("_step")).join(ends.filter("_count >= 4"), keys).join(durations, keys)
+    plan = stage(plan, "fill-plan")  # one row per track, used three times
     gap, unit = F.col("_next") - F.col(t), F.col("_step")
     missing = F.floor(gap / unit + 0.5) - 1
     inner = (

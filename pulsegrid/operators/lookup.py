@@ -245,9 +245,9 @@ def resolve_transition(requests: DataFrame, catalog: DataFrame, *, fallback: str
     entries = catalog.select("name", "path")
     keys = entries.select(F.col("name").alias("wanted"), "name").unionByName(entries.select(F.col("path").alias("wanted"), "name"))
     lookup = keys.groupBy("wanted").agg(F.min("name").alias("found"))
-    spare = entries.filter(F.col("name") == fallback).groupBy("name").count().select(F.col("name").alias("spare"))
-    joined = requests.join(lookup, "wanted", "left").withColumn("_f", F.lit(fallback))
-    return joined.join(spare, F.col("_f") == F.col("spare"), "left").withColumn("resolved", F.coalesce("found", "spare")).drop("_f", "spare", "found")
+    spare = None if entries.filter(F.col("name") == fallback).isEmpty() else fallback
+    joined = requests.join(lookup, "wanted", "left")
+    return joined.withColumn("resolved", F.coalesce("found", F.lit(spare).cast("string"))).drop("found")
 
 
 def missing_files(segments: DataFrame, files: DataFrame) -> DataFrame:

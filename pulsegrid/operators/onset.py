@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.sequence import TRACK, neighbours, running_sum
+from pulsegrid.session import stage
 
 
 def rescue_gaps(
@@ -17,10 +18,11 @@ def rescue_gaps(
 
     ``env`` carries ``is_peak`` (flux rule). A frame's gap is the running count of peaks
     before it, so frames meet their gap by an equality join and one aggregation instead of
-    a range join. Only tracks with more than four peaks take part.
+    a range join. Only tracks with more than four peaks take part. ``env``, ``peaks`` and
+    ``thresholds`` are read several times and should be staged.
     """
     keys = list(keys)
-    numbered = running_sum(peaks.select(*keys, "frame_idx"), keys, "frame_idx", {"gap": F.lit(1).cast("long")})
+    numbered = stage(running_sum(peaks.select(*keys, "frame_idx"), keys, "frame_idx", {"gap": F.lit(1).cast("long")}), "numbered")
     following = neighbours(numbered, keys, "gap", lambda w: {"next_frame": F.lead("frame_idx").over(w)})
     stats = numbered.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), ((F.max("frame_idx") - F.min("frame_idx")) / (F.count(F.lit(1)) - 1)).alias("_mean")

@@ -14,6 +14,7 @@ from pulsegrid.operators import envelope, segments, signal
 from pulsegrid.operators.carry import minimum_gap
 from pulsegrid.operators.lookup import segment_labels
 from pulsegrid.operators.sequence import TRACK, running_sum
+from pulsegrid.session import stage
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
@@ -71,7 +72,7 @@ def activation_peaks(
     loud = marked.filter(F.col("is_peak") & (F.col(value) > level)).withColumn("t", F.col("frame_idx") / F.lit(frame_rate))
     reach = int(MIN_INTERVAL[kind] * frame_rate) + 2
     kept = minimum_gap(loud, keys, "frame_idx", "t", MIN_INTERVAL[kind], reach=reach)
-    return running_sum(kept, keys, "frame_idx", {"seg_idx": F.lit(1).cast("long")}).select(*keys, "seg_idx", "frame_idx", "t")
+    return running_sum(stage(kept, "kept"), keys, "frame_idx", {"seg_idx": F.lit(1).cast("long")}).select(*keys, "seg_idx", "frame_idx", "t")
 
 
 def labelled_segments(

@@ -67,27 +67,22 @@ def classify_gaps(beats: DataFrame, *, clip: float = 1.0) -> DataFrame:
     gap = F.col("_next") - F.col("t")
     long_gap = F.coalesce(gap > F.col("limit"), F.lit(False))
     dur = F.when(F.col("_next").isNull(), F.lit(max(clip, MIN_SEGMENT))).when(gap <= 0, F.lit(MIN_SEGMENT)).otherwise(gap)
-    body = rows.select("track_id", "beat_idx", F.when(long_gap, "BREAKDOWN").otherwise("BEAT").alias("kind"), "t", dur.alias("dur"))
-    intro = rows.filter((F.col("beat_idx") == 0) & (F.col("t") > F.col("limit"))).select(
-        "track_id", F.lit(-1).cast("long").alias("beat_idx"), F.lit("INTRO").alias("kind"), F.lit(0.0).alias("t"), F.col("t").alias("dur")
-    )
-    return body.unionByName(intro)
+    own = F.struct("beat_idx", F.when(long_gap, "BREAKDOWN").otherwise("BEAT").alias("kind"), "t", dur.alias("dur"))
+    intro = F.struct(F.lit(-1).cast("long").alias("beat_idx"), F.lit("INTRO").alias("kind"), F.lit(0.0).alias("t"), F.col("t").alias("dur"))
+    late = (F.col("beat_idx") == 0) & (F.col("t") > F.col("limit"))
+    return rows.select("track_id", F.inline(F.array_compact(F.array(own, F.when(late, intro)))))
 
 
 def round_robin(rows: DataFrame, clips: DataFrame, *, advance_on: str | None = "BEAT") -> DataFrame:
-    """H5: cycle through the clips; the pointer moves on BEAT rows, or (``None``) on every beat index.
-
-    The clip count is a one-row aggregate, attached by an equality join on a constant.
-    """
-    n = clips.agg(F.max("clip_id").alias("_last")).select(F.lit(1).alias("_one"), (F.col("_last") + 1).alias("_clips"))
+    """H5: cycle through the clips; the pointer moves on BEAT rows, or (``None``) on every beat index."""
+    n = clips.count()
     if advance_on is None:
         placed = rows.withColumn("_turn", F.col("beat_idx"))
     else:
         shifted = rows.withColumn("_i", F.col("beat_idx") + 1)
         placed = running_sum(shifted, TRACK, "_i", {"_turn": F.when(F.col("kind") == advance_on, 1).otherwise(0).cast("long")}).drop("_i")
         placed = placed.filter(F.col("kind") == advance_on)
-    turned = placed.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")  # n is always one row
-    return turned.withColumn("clip_id", F.col("_turn") % F.col("_clips")).drop("_turn", "_one", "_clips")
+    return placed.withColumn("clip_id", F.col("_turn") % F.lit(n).cast("long")).drop("_turn")
 
 
 def source_offsets(assigned: DataFrame, clips: DataFrame) -> DataFrame:
@@ -171,12 +166,11 @@ def pad_to_length(totals: DataFrame, clips: DataFrame) -> DataFrame:
     left = F.col("duration") - F.col("total")
     short = totals.withColumn("_left", left).filter("_left > 0.5")
     count = F.least(F.ceil((F.col("_left") - 0.1) / 2.0 - 1e-9).cast("long"), F.lit(1001).cast("long"))
-    n = clips.agg((F.max("clip_id") + 1).alias("_clips")).withColumn("_one", F.lit(1))
+    n = F.lit(clips.count()).cast("long")
     rows = short.withColumn("_n", count).filter("_n > 0").withColumn("_k", F.explode(F.expr("sequence(0L, _n - 1)")))
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")  # one row
     return rows.select(
         "track_id", (F.col("n_segments") + F.col("_k")).alias("segment"),
-        ((F.col("n_segments") + F.col("_k")) % F.col("_clips")).alias("clip_id"),
+        ((F.col("n_segments") + F.col("_k")) % n).alias("clip_id"),
         F.least(F.lit(2.0), F.col("_left") - 2.0 * F.col("_k")).alias("dur"),
     )
 

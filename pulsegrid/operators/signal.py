@@ -361,7 +361,7 @@ def peak_limit(samples: DataFrame, *, keys: Sequence[str] = TRACK, limit: float
     return sized.withColumn("v", F.when(F.col("_m") > limit, F.col("v") * (F.lit(limit) / F.col("_m"))).otherwise(F.col("v"))).drop("_m")
 
 
-def stem_mix(stems: DataFrame, *, first: str = "drums") -> DataFrame:
+def stem_mix(stems: DataFrame, *, first: str | int = "drums") -> DataFrame:
     """Sum of all stems over the length of the first one."""
     lengths = stems.filter(F.col("stem") == first).groupBy("track_id").agg((F.max("idx") + 1).alias("_n"))
     return stems.join(lengths, "track_id").filter(F.col("idx") < F.col("_n")).groupBy("track_id", "idx").agg(F.sum("v").alias("v"))

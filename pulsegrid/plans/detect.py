@@ -16,8 +16,8 @@ ENERGY_GAP_FRAMES = 18  # fixed: smallest distance of two energy beats, in frame
 
 
 def number_beats(kept: DataFrame, *, keys: Sequence[str] = TRACK) -> DataFrame:
-    """Beat numbers from frame numbers."""
-    return running_sum(kept, keys, "frame_idx", {"beat_idx": F.lit(1).cast("long")})
+    """Beat numbers from frame numbers. Kept peaks are few and costly, so they are written once."""
+    return running_sum(stage(kept, "kept"), keys, "frame_idx", {"beat_idx": F.lit(1).cast("long")})
 
 
 def energy_beats(

@@ -32,7 +32,7 @@ def edit_list(beats: DataFrame, clips: DataFrame, *, clip: float = 1.0) -> DataF
     gaps = rows.filter("kind <> 'BEAT'")
     fills = segments.fill_long_gaps(gaps, clips).join(gaps.select("track_id", "beat_idx", "kind"), ["track_id", "beat_idx"])
     fills = fills.select("track_id", "beat_idx", "piece", "kind", "clip_id", F.lit(0.0).alias("src_start"), "dur")
-    merged = cuts.unionByName(fills)
+    merged = stage(cuts.unionByName(fills), "merged")
     sizes = merged.groupBy("track_id", (F.col("beat_idx") + 1).alias("_i")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("dur").alias("_d")
     )

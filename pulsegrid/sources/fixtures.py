@@ -53,6 +53,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(events, ["track_id"], ["event_id"], "idx").select("track_id", "idx", "v")
 
 
+def stem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal split into four stems per track by user."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("track_id"), (F.col("user_id") % 4).alias("stem"), "event_id", ((F.col("value") - 50) / 500).alias("v")
+    )
+    return dense_index(events, ["track_id", "stem"], ["event_id"], "idx").select("track_id", "stem", "idx", "v")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("long").alias("track_id"), "vec_id", F.col("embedding").cast("array<double>").alias("x")

@@ -24,10 +24,18 @@ BLOCKS = T.StructType([
 ])
 
 
+def _with_empty_files(spark: SparkSession, files: DataFrame, found: DataFrame, blanks: dict) -> DataFrame:
+    """Spark's file scan leaves out files of length 0; add them from the listing it already holds."""
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))  # the scan's spelling
+    empty = listed.join(found.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", *[v.alias(k) for k, v in blanks.items()]))
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path, size and time of every file; the content column is pruned, so nothing is read."""
+    """Path and size of every file; the content column is pruned, so nothing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "length", "modificationTime")
+    return _with_empty_files(spark, files, files.select("path", "length"), {"length": F.lit(0).cast("long")})
 
 
 def media_catalog(files: DataFrame, *, extensions: list[str] | None = None) -> DataFrame:
@@ -116,4 +124,5 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest(spark.read.format("binaryFile").load(folder))
+    files = spark.read.format("binaryFile").load(folder)
+    return manifest(_with_empty_files(spark, files, files.select("path", "content"), {"content": F.lit(b"").cast("binary")}))
