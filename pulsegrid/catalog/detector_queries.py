@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog.envelope_queries import FLUX, FRAME_FLUX, IQR, ONSET_ENV, P, RESCUE, RULES, SMOOTH, W, gauss_sql, greedy_sql
 from pulsegrid.catalog.registry import query
-from pulsegrid.catalog.signal_queries import ENERGY, FIR, FX, MEL, MEL_ARGS, RESAMPLE, framed, spec
+from pulsegrid.catalog.signal_queries import ENERGY, FIR, FX, MEL, MEL_ARGS, RESAMPLE, framed, mel_sql, spec
 from pulsegrid.catalog.tempo_queries import CANDIDATES, DOWN, FOLD, best_sql
-from pulsegrid.catalog.views import r, with_views
+from pulsegrid.catalog.views import VIEWS, r, with_views
 from pulsegrid.functions.rounding import rnd
 from pulsegrid.operators import envelope, quality, score, segments, signal, tempo
 from pulsegrid.plans import detect
@@ -84,7 +84,24 @@ def i2_labels(spark, sf):
     return out.select("track_id", "seg_idx", "label", *[rnd(c).alias(c) for c in ("start_s", "end_s", "confidence")])
 
 
-@query("i3_separation")
+def separation_sql(length):
+    """Four spectral bands of each padded segment by discrete Fourier sums, overlap-added and limited: ``sep``."""
+    hop, fade, half = length - length // 4, length // 4, length // 2
+    edges = [(half + 1) * i // 4 for i in range(1, 4)]
+    stem = f"CASE WHEN k < {edges[0]} THEN 'drums' WHEN k < {edges[1]} THEN 'bass' WHEN k < {edges[2]} THEN 'other' ELSE 'vocals' END"
+    angle = f"2 * pi() * k * pos / {length}"
+    return (
+        f"sg AS (SELECT track_id, seg, idx - seg * {hop} AS pos, v FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((idx - {length - 1}) / {hop}.0) AS BIGINT)), idx // {hop} + 1)) AS seg FROM raw)), "
+        f"ft AS (SELECT track_id, seg, k, sum(v * cos({angle})) AS re, -sum(v * sin({angle})) AS im FROM sg, (SELECT unnest(range({half + 1})) AS k) GROUP BY 1, 2, 3), "
+        f"st AS (SELECT f.track_id, f.seg, {stem} AS stem, pos, sum(CASE WHEN k IN (0, {half}) THEN 1 ELSE 2 END * (re * cos({angle}) - im * sin({angle}))) / {length} AS v FROM ft f JOIN sg USING (track_id, seg) GROUP BY 1, 2, 3, 4), "
+        "zl AS (SELECT *, max(pos) OVER (PARTITION BY track_id, stem, seg) + 1 AS len FROM st), "
+        f"wt AS (SELECT *, seg * {hop} + pos AS idx, CASE WHEN seg > 0 AND pos < {fade} THEN pos / {fade}.0 * CASE WHEN len >= {fade} AND pos >= len - {fade} THEN (len - 1 - pos) / {fade}.0 ELSE 1.0 END END AS wt FROM zl), "
+        "oa AS (SELECT track_id, stem, idx, CASE WHEN arg_max(coalesce(wt, -1), seg) < 0 THEN arg_max(v, seg) ELSE arg_min(v, seg) * (1 - arg_max(wt, seg)) + arg_max(v, seg) * arg_max(wt, seg) END AS v FROM wt GROUP BY 1, 2, 3), "
+        "sep AS (SELECT track_id, stem, idx, CASE WHEN m > 0.99 THEN v * (0.99 / m) ELSE v END AS v FROM (SELECT *, max(abs(v)) OVER (PARTITION BY track_id, stem) AS m FROM oa))"
+    )
+
+
+@query("i3_separation", f"WITH raw AS ({VIEWS['samples']}), {separation_sql(256)} SELECT track_id, stem, idx, {r('v')} AS v FROM sep")
 def i3(spark, sf):
     return score.separate(fx.samples(spark, sf), length=256).select("track_id", "stem", "idx", rnd("v").alias("v"))
 
@@ -186,24 +203,36 @@ def j3(spark, sf):
 J4_ARGS = dict(rate=200, hop=8, n_mels=6, n_fft=32, fmin=5.0, fmax=100.0)
 
 
-@query("j4_model_detector")
+J4 = (
+    framed(32, 8, "pad") + ", fr AS (SELECT track_id, frame_idx, pos AS n, v FROM framed), " + spec("{p}", "17", 32, "fr", HANN32) + ", " + mel_sql(200, 6, 32, 5.0, 100.0)
+    + ", ml AS (SELECT track_id, frame_idx, mel AS bin, ln(greatest(sum(mag * weight), 1e-10)) AS mag FROM spec JOIN bank USING (bin) GROUP BY 1, 2, 3), " + FLUX.replace("FROM spec", "FROM ml")
+    + f", {NORM_ACT}, {peaks_sql('act', 0.4, 'flat_left', 0.27, 25)}, jb AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS beat_idx, frame_idx / CAST(25 AS DOUBLE) AS t FROM kept)"
+)
+
+
+@query("j4_model_detector", with_views("samples", f"WITH {J4} SELECT track_id, beat_idx, {r('t')} AS t FROM jb", recursive=True))
 def j4(spark, sf):
     return timed(detect.model_beats(fx.samples(spark, sf), in_rate=fx.RATE, threshold=0.4, **J4_ARGS), "track_id")
 
 
-@query("j4_model_tempo")
+@query("j4_model_tempo", with_views("samples", f"WITH {J4}, iv AS (SELECT * FROM (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY beat_idx) AS x FROM jb) WHERE x IS NOT NULL), "
+       f"md AS (SELECT track_id, 60.0 / list_sort(list(x))[count(*) // 2 + 1] AS bpm FROM iv GROUP BY 1) SELECT track_id, {r('coalesce(bpm, 0)')} AS bpm FROM (SELECT DISTINCT track_id FROM jb) LEFT JOIN md USING (track_id)", recursive=True))
 def j4_tempo(spark, sf):
     beats = stage(detect.model_beats(fx.samples(spark, sf), in_rate=fx.RATE, threshold=0.4, **J4_ARGS), "model-beats")
     return tempo.median_bpm(beats).select("track_id", rnd("bpm").alias("bpm"))
 
 
-@query("j5_stem_detector")
+def separated_energy(samples):
+    return f"WITH RECURSIVE raw AS ({VIEWS['samples']}), {separation_sql(512)}, samples AS ({samples}), {J1}"
+
+
+@query("j5_stem_detector", separated_energy("SELECT track_id, idx, v FROM sep WHERE stem = 'drums'") + f" SELECT track_id, beat_idx, {r('t')} AS t FROM jb")
 def j5(spark, sf):
     beats = detect.stem_detector(fx.samples(spark, sf), length=512, detector=lambda s: detect.energy_beats(s, rate=fx.RATE))
     return timed(beats, "track_id")
 
 
-@query("j5_per_stem_detector")
+@query("j5_per_stem_detector", separated_energy("SELECT track_id || '/' || stem AS track_id, idx, v FROM sep") + f" SELECT split_part(track_id, '/', 1) AS track_id, split_part(track_id, '/', 2) AS stem, beat_idx, {r('t')} AS t FROM jb")
 def j5_stems(spark, sf):
     keys = ["track_id", "stem"]
     beats = detect.stem_detector(fx.samples(spark, sf), length=512, per_stem=True, detector=lambda s: detect.energy_beats(s, rate=fx.RATE, keys=keys))
@@ -213,7 +242,19 @@ def j5_stems(spark, sf):
 # ---- K --------------------------------------------------------------------------------------
 
 
-@query("k1_chunk_stream")
+# Every chunk but a short last one is detected with the 20 samples kept before it
+K1 = (
+    f"WITH RECURSIVE raw AS ({VIEWS['samples']}), bf AS (SELECT track_id, unnest(CASE WHEN idx % 100 >= 80 THEN [idx // 100, idx // 100 + 1] ELSE [idx // 100] END) AS c, idx, v FROM raw), "
+    "bl AS (SELECT track_id, c, idx - greatest(c * 100 - 20, 0) AS idx, v, count(*) OVER (PARTITION BY track_id, c) AS n FROM bf), "
+    "samples AS (SELECT track_id || '/' || c AS track_id, idx, v FROM bl WHERE n >= 100), "
+    + framed(16, 4, "full") + ", fr AS (SELECT track_id, frame_idx, pos AS n, v FROM framed), " + spec("sqrt({p})", "9", 16, "fr", "CAST(0.5 AS DOUBLE) * (1 - cos(2 * pi() * n / 15))")
+    + f", {FLUX}, {NORM_ACT}, {peaks_sql('act', 0.3, 'flat_left', 0.27, 50)}, "
+    "em AS (SELECT split_part(k.track_id, '/', 1) AS track_id, CAST(split_part(k.track_id, '/', 2) AS BIGINT) AS c, frame_idx / CAST(50 AS DOUBLE) AS t, n FROM kept k JOIN (SELECT track_id, count(*) AS n FROM samples GROUP BY 1) USING (track_id)) "
+    f"SELECT track_id, {r('t + greatest(c * 100 - 20, 0) / CAST(200 AS DOUBLE)')} AS t FROM em WHERE t < (n - 20) / CAST(200 AS DOUBLE)"
+)
+
+
+@query("k1_chunk_stream", K1)
 def k1(spark, sf):
     """Chunks as a file stream, detected with keyed state, collected by an available-now run."""
     source, sink = new_path(spark, "chunks"), new_path(spark, "stream-beats")

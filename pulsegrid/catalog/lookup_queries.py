@@ -88,7 +88,9 @@ def f6(spark, sf):
     return lookup.match_truth(b, e).select("track_id", "beat_idx", "truth_idx")
 
 
-@query("f6_match_scores")
+@query("f6_match_scores", with_views("beats truth", f"WITH {MATCH}, c AS (SELECT track_id, d AS detected, e AS expected, coalesce(m, 0) AS matched FROM (SELECT track_id, count(*) AS d FROM beats GROUP BY 1) JOIN (SELECT track_id, count(*) AS e FROM truth GROUP BY 1) USING (track_id) "
+       "LEFT JOIN (SELECT track_id, count(*) AS m FROM cl WHERE truth_idx IS NOT NULL GROUP BY 1) USING (track_id)) "
+       f"SELECT track_id, detected, expected, matched, {r('matched / CAST(detected AS DOUBLE)')} AS \"precision\", {r('matched / CAST(expected AS DOUBLE)')} AS recall, {r('2.0 * matched / (detected + expected)')} AS f1 FROM c", recursive=True))
 def f6_scores(spark, sf):
     b, e = stage(fx.beats(spark, sf), "beats"), stage(fx.truth(spark, sf), "truth")
     s = lookup.match_scores(b, e, lookup.match_truth(b, e))

@@ -130,12 +130,17 @@ def b10_power(spark, sf):
     return mags.select("track_id", "frame_idx", F.posexplode("mag").alias("bin", "mag")).select("track_id", "frame_idx", F.col("bin").cast("long").alias("bin"), rnd("mag").alias("mag"))
 
 
-MEL = """edges AS (SELECT m, CAST(floor(65 * (700.0 * (pow(10, (lo + m * (hi - lo) / 9) / 2595.0) - 1)) / 4000.0) AS BIGINT) AS b
-FROM (SELECT unnest(range(10)) AS m, 2595.0 * log10(1 + 30.0 / 700.0) AS lo, 2595.0 * log10(1 + 2000.0 / 700.0) AS hi)),
+def mel_sql(rate, n_mels, n_fft, fmin, fmax):
+    """Triangular bank of ``signal.mel_filterbank`` as table ``bank(mel, bin, weight)``."""
+    return f"""edges AS (SELECT m, CAST(floor({n_fft + 1} * (700.0 * (pow(10, (lo + m * (hi - lo) / {n_mels + 1}) / 2595.0) - 1)) / {float(rate)}) AS BIGINT) AS b
+FROM (SELECT unnest(range({n_mels + 2})) AS m, 2595.0 * log10(1 + {fmin} / 700.0) AS lo, 2595.0 * log10(1 + {min(fmax, rate / 2.0)} / 700.0) AS hi)),
 tri AS (SELECT e.m AS mel, bin, CASE WHEN bin >= e.b AND bin < f.b THEN CAST(bin - e.b AS DOUBLE) / (f.b - e.b) WHEN bin >= f.b AND bin < g.b THEN CAST(g.b - bin AS DOUBLE) / (g.b - f.b) ELSE 0 END AS w
-FROM edges e JOIN edges f ON f.m = e.m + 1 JOIN edges g ON g.m = e.m + 2, (SELECT unnest(range(33)) AS bin)),
+FROM edges e JOIN edges f ON f.m = e.m + 1 JOIN edges g ON g.m = e.m + 2, (SELECT unnest(range({n_fft // 2 + 1})) AS bin)),
 bank AS (SELECT mel, bin, CASE WHEN sum(w) OVER (PARTITION BY mel) > 0 THEN w / sum(w) OVER (PARTITION BY mel) ELSE 0.0 END AS weight FROM tri)"""
+
+
 MEL_ARGS = dict(rate=4000, n_mels=8, n_fft=64, fmin=30.0, fmax=11_000.0)
+MEL = mel_sql(**MEL_ARGS)
 
 
 @query("b11_mel_filterbank_energy", with_views("frames", f"WITH {FX}, {spec('{p}')}, {MEL} SELECT mel, bin, {r('weight * avg(mag)')} AS v FROM bank JOIN spec USING (bin) GROUP BY mel, bin, weight"))
