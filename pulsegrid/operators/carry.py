@@ -87,10 +87,15 @@ def _tables(order: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> list[tup
     return [(int(o[0]), dict(zip(e.tolist(), x.tolist()))) for o, e, x in parts]
 
 
-def _follow(state: float, tables: list[tuple[int, dict[float, float]]]) -> tuple[float, list[int], list[float]]:
+def _follow(state: float, tables: list[tuple[int, dict[float, float]]], linear: bool) -> tuple[float, list[int], list[float]]:
     """Chain chunk tables; an entry a chunk does not list is out of its reach."""
     chunks, states = [], []
     for chunk, options in tables:
+        if linear:
+            chunks.append(chunk)
+            states.append(state)
+            state = float(apply_pieces(np.array(list(options)), np.array(list(options.values())), state))
+            continue
         if state not in options:
             state = NONE
         chunks.append(chunk)
@@ -99,6 +104,23 @@ def _follow(state: float, tables: list[tuple[int, dict[float, float]]]) -> tuple
     return state, chunks, states
 
 
+def apply_pieces(x: np.ndarray, y: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """Value of a function given by breakpoints: constant before the first, slope 1 after the last."""
+    return np.where(np.asarray(p) >= x[-1], y[-1] + (np.asarray(p) - x[-1]), np.interp(p, x, y))
+
+
+def compose_pieces(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Breakpoints of f2(f1(p)) for non-decreasing f1, f2 whose slopes are 0 or 1."""
+    i = np.searchsorted(y1, x2, side="right") - 1  # last breakpoint of f1 at or below the wanted value
+    back = x1[np.maximum(i, 0)] + (x2 - y1[np.maximum(i, 0)])
+    x = np.unique(np.concatenate([x1, back[i >= 0]]))
+    y = apply_pieces(x2, y2, apply_pieces(x1, y1, x))
+    left = np.diff(y) / np.diff(x)
+    bend = np.concatenate([[0.0], left]) != np.concatenate([left, [1.0]])
+    bend[-1] |= not bend.any()
+    return x[bend], y[bend]
+
+
 def carry_scan(
     rows: DataFrame,
     keys: Sequence[str],
@@ -108,11 +130,13 @@ def carry_scan(
     summarise: Callable[[Run], list[tuple[float, float]]],
     emit: Callable[[Run, float], Run],
     schema: T.StructType,
+    linear: bool = False,
 ) -> DataFrame:
     """Run ``emit(chunk_rows, entry_state)`` for every (keys, ``_chunk``) of ``rows``.
 
     ``summarise(chunk_rows)`` lists ``(entry, exit)`` pairs and must include ``NONE`` and,
-    for the first chunk, ``initial``. ``emit`` returns the columns of ``schema``.
+    for the first chunk, ``initial``. With ``linear`` the pairs are breakpoints of a function
+    of the entry state instead (see ``apply_pieces``). ``emit`` returns the columns of ``schema``.
     """
     keys = list(keys)
     rows = stage(rows, "carry-rows")
@@ -121,13 +145,13 @@ def carry_scan(
     if several.isEmpty():
         entered = rows.withColumn("_state", F.lit(initial))
     else:
-        entries = _chunk_entries(rows.join(several, keys), keys, order, initial, summarise)
+        entries = _chunk_entries(rows.join(several, keys), keys, order, initial, summarise, linear)
         entered = rows.join(entries, [*keys, "_chunk"], "left").withColumn("_state", F.coalesce("state", F.lit(initial))).drop("state")
     return map_runs(entered, [*keys, "_chunk"], order, keys, lambda run: emit(run, float(run["_state"][0])), schema)
 
 
 def _chunk_entries(
-    rows: DataFrame, keys: list[str], order: Sequence[str], initial: float, summarise: Callable[[Run], list[tuple[float, float]]]
+    rows: DataFrame, keys: list[str], order: Sequence[str], initial: float, summarise: Callable[[Run], list[tuple[float, float]]], linear: bool
 ) -> DataFrame:
     """(keys, _chunk, state) for tracks of several chunks."""
     entry, leave = T.StructField("entry", T.DoubleType()), T.StructField("exit", T.DoubleType())
@@ -142,21 +166,26 @@ def _chunk_entries(
 
     def per_link(run: Run) -> Run:
         tables = _tables(run["_chunk"], run["entry"], run["exit"])
+        if linear:
+            x, y = np.array(list(tables[0][1])), np.array(list(tables[0][1].values()))
+            for _, options in tables[1:]:
+                x, y = compose_pieces(x, y, np.array(list(options)), np.array(list(options.values())))
+            return {"entry": x, "exit": y}
         starts = list(tables[0][1])
-        return {"entry": np.array(starts, dtype=float), "exit": np.array([_follow(e, tables)[0] for e in starts], dtype=float)}
+        return {"entry": np.array(starts, dtype=float), "exit": np.array([_follow(e, tables, False)[0] for e in starts], dtype=float)}
 
     def walk_links(run: Run) -> Run:
-        _, at, states = _follow(initial, _tables(run["_link"], run["entry"], run["exit"]))
+        _, at, states = _follow(initial, _tables(run["_link"], run["entry"], run["exit"]), linear)
         return {"_link": np.array(at, dtype=np.int64), "state": np.array(states, dtype=float)}
 
     def walk_chunks(run: Run) -> Run:
-        _, at, states = _follow(float(run["state"][0]), _tables(run["_chunk"], run["entry"], run["exit"]))
+        _, at, states = _follow(float(run["state"][0]), _tables(run["_chunk"], run["entry"], run["exit"]), linear)
         return {"_chunk": np.array(at, dtype=np.int64), "state": np.array(states, dtype=float)}
 
-    joined = map_runs(links, [*keys, "_link"], ["_chunk"], [*keys, "_link"], per_link, T.StructType([entry, leave]))
-    link_entries = map_runs(joined, keys, ["_link"], keys, walk_links, T.StructType([T.StructField("_link", T.LongType()), state]))
+    joined = map_runs(links, [*keys, "_link"], ["_chunk", "entry"], [*keys, "_link"], per_link, T.StructType([entry, leave]))
+    link_entries = map_runs(joined, keys, ["_link", "entry"], keys, walk_links, T.StructType([T.StructField("_link", T.LongType()), state]))
     placed = links.join(link_entries, [*keys, "_link"])
-    return map_runs(placed, [*keys, "_link"], ["_chunk"], keys, walk_chunks, T.StructType([chunk, state]))
+    return map_runs(placed, [*keys, "_link"], ["_chunk", "entry"], keys, walk_chunks, T.StructType([chunk, state]))
 
 
 def _next_allowed(at: np.ndarray, gap: float) -> np.ndarray:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.carry import NONE, Run, carry_scan
+from pulsegrid.operators.carry import Run, carry_scan, compose_pieces
 from pulsegrid.operators.sequence import TRACK, neighbours, ordered_prefix
 
 RADIX_BITS = 2
@@ -153,55 +154,70 @@ def inside_beat_window(probes: DataFrame, beats: DataFrame, *, width: float, pro
     return joined.select("track_id", probe_id, "t", F.coalesce(F.col("t") <= F.col("_b") + F.lit(width), F.lit(False)).alias("active"))
 
 
-def match_truth(detected: DataFrame, expected: DataFrame, *, tolerance: float = 0.05, chunk_s: float = 60.0) -> DataFrame:
+def _reach(tolerance: float):
+    """The smallest and largest e with abs(t - e) <= tolerance, exactly as that test rounds."""
+
+    def settle(t: np.ndarray, sign: int) -> np.ndarray:
+        inside, outside = t + sign * (tolerance - 1e-9), t + sign * (tolerance + 1e-9)
+        while True:
+            middle = (inside + outside) / 2
+            if ((middle == inside) | (middle == outside)).all():
+                return inside
+            ok = np.abs(t - middle) <= tolerance
+            inside, outside = np.where(ok, middle, inside), np.where(ok, outside, middle)
+
+    @F.pandas_udf("first double, last double")
+    def edges(t: pd.Series) -> pd.DataFrame:
+        values = t.to_numpy(dtype=float)
+        return pd.DataFrame({"first": settle(values, -1), "last": settle(values, 1)})
+
+    return edges
+
+
+def match_truth(
+    detected: DataFrame, expected: DataFrame, *, tolerance: float = 0.05, chunk: int = 8192, partitions: int | None = None
+) -> DataFrame:
     """each detected beat claims the first unclaimed expected beat within ``tolerance``.
 
-    Both sides are in time order, so everything at or before the last claimed beat is gone
-    for good: that beat is the only state carried between chunks.
+    One range sort of both sides gives every detection the numbers a and b of expected beats
+    before and up to the end of its window. Both sides are in time order, so the only state
+    is p, the next expected beat still free: p rises to a, and if it is below b the beat p is
+    claimed. As a function of p a detection has slope 0 or 1 everywhere, and so has a chunk
+    of detections, however many beats share a window.
     """
-    window = F.floor(F.col("_t") / F.lit(chunk_s)).cast("long")
-    # an expected beat may serve detections in the chunks it is within reach of
-    d = _marks(detected, TRACK, "t", 0, "beat_idx", 0).withColumn("_chunk", window).withColumn("_home", window)
-    e = _marks(expected, TRACK, "t", 1, "truth_idx", 0).withColumn("_home", window)
-    reach = F.array_distinct(
-        F.array(
-            F.floor((F.col("_t") - tolerance - 1e-6) / chunk_s).cast("long"), window, F.floor((F.col("_t") + tolerance + 1e-6) / chunk_s).cast("long")
-        )
+    edges = detected.select("track_id", "beat_idx", _reach(tolerance)("t").alias("w"))
+    marks = (
+        _marks(edges.withColumn("e", F.col("w.first")), TRACK, "e", 0, "beat_idx", 0)
+        .unionByName(_marks(expected, TRACK, "t", 1, "truth_idx", 1))
+        .unionByName(_marks(edges.withColumn("e", F.col("w.last")), TRACK, "e", 2, "beat_idx", 0))
     )
-    e = e.withColumn("_chunk", F.explode(reach)).filter("_chunk >= 0")
-    rows = d.unionByName(e).drop("_w")
-
-    def claim(run: Run, entry: float) -> tuple[list[int], list[int], list[float]]:
-        want = run["_kind"] == 1
-        times, ids = run["_t"][want].tolist(), run["_id"][want].tolist()
-        hits: tuple[list[int], list[int], list[float]] = ([], [], [])
-        i = 0
-        while i < len(ids) and entry != NONE and ids[i] <= entry:
-            i += 1
-        for beat, t in zip(run["_id"][~want].tolist(), run["_t"][~want].tolist()):
-            while i < len(times) and times[i] < t and abs(t - times[i]) > tolerance:
-                i += 1
-            if i < len(times) and abs(t - times[i]) <= tolerance:
-                for column, value in zip(hits, (beat, ids[i], times[i])):
-                    column.append(value)
-                i += 1
-        return hits
+    ranked = ordered_prefix(marks, TRACK, ["_t", "_kind", "_id"], {"rank": F.col("_w")}, partitions=partitions)
+    rows = ranked.filter("_kind <> 1").groupBy("track_id", F.col("_id").alias("beat_idx")).agg(
+        F.max(F.when(F.col("_kind") == 0, F.col("rank"))).alias("a"), F.max(F.when(F.col("_kind") == 2, F.col("rank"))).alias("b")
+    )
+    rows = rows.withColumn("_chunk", F.expr(f"beat_idx div {chunk}"))
 
     def summarise(run: Run) -> list[tuple[float, float]]:
-        start = float(run["_chunk"][0]) * chunk_s
-        near = run["_id"][(run["_kind"] == 1) & (run["_t"] < start + 2 * tolerance + 1e-6)]
-        table = []
-        for entry in [NONE, *near.astype(float).tolist()]:
-            claimed = claim(run, entry)[1]
-            table.append((entry, float(claimed[-1]) if claimed else entry))
-        return table
+        x, y = np.array([0.0]), np.array([0.0])
+        for a, b in zip(run["a"].tolist(), run["b"].tolist()):
+            x2, y2 = ([a, b - 1, b], [a + 1, b, b]) if a < b else ([a], [a])
+            if a == b - 1:
+                x2, y2 = [a, b], [b, b]
+            x, y = compose_pieces(x, y, np.array(x2, dtype=float), np.array(y2, dtype=float))
+        return list(zip(x.tolist(), y.tolist()))
 
     def emit(run: Run, entry: float) -> Run:
-        beat, truth, at = claim(run, entry)
-        return {"beat_idx": np.array(beat, dtype=np.int64), "truth_idx": np.array(truth, dtype=np.int64), "truth_t": np.array(at, dtype=float)}
-
-    out = T.StructType([T.StructField("beat_idx", T.LongType()), T.StructField("truth_idx", T.LongType()), T.StructField("truth_t", T.DoubleType())])
-    return carry_scan(rows, TRACK, order=["_t", "_id"], initial=NONE, summarise=summarise, emit=emit, schema=out)
+        p, beats, claimed = int(entry), [], []
+        for beat, a, b in zip(run["beat_idx"].tolist(), run["a"].tolist(), run["b"].tolist()):
+            p = max(p, a)
+            if p < b:
+                beats.append(beat)
+                claimed.append(p)
+                p += 1
+        return {"beat_idx": np.array(beats, dtype=np.int64), "truth_idx": np.array(claimed, dtype=np.int64)}
+
+    out = T.StructType([T.StructField("beat_idx", T.LongType()), T.StructField("truth_idx", T.LongType())])
+    return carry_scan(rows, TRACK, order=["beat_idx"], initial=0.0, summarise=summarise, emit=emit, schema=out, linear=True)
 
 
 def match_scores(detected: DataFrame, expected: DataFrame, matches: DataFrame) -> DataFrame:

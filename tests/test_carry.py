@@ -61,14 +61,17 @@ def claims(detected, expected, tolerance):
     return pairs
 
 
-@pytest.mark.parametrize("chunk_s", [0.2, 1.0, 60.0])
-def test_match_truth(spark, chunk_s, monkeypatch):
-    monkeypatch.setattr(carry, "LINKS", 2)
+@pytest.mark.parametrize("chunk", [3, 20, 8192])
+@pytest.mark.parametrize("span", [1.0, 6.0, 40.0])
+def test_match_truth(spark, chunk, span, monkeypatch):
+    monkeypatch.setattr(carry, "LINKS", 3)
     rng = np.random.default_rng(5)
-    d, e = np.sort(rng.uniform(0, 6, 160)), np.sort(rng.uniform(0, 6, 150))
+    d, e = np.sort(rng.uniform(0, span, 160)), np.sort(rng.uniform(0, span, 150))
+    e[::7] = d[: len(e[::7])] + 0.05  # window borders, where the comparison rounds
+    e = np.sort(e)
     det = spark.createDataFrame(pd.DataFrame({"track_id": "a", "beat_idx": range(len(d)), "t": d}))
     exp = spark.createDataFrame(pd.DataFrame({"track_id": "a", "truth_idx": range(len(e)), "t": e}))
-    got = lookup.match_truth(det, exp, tolerance=0.05, chunk_s=chunk_s).toPandas()
+    got = lookup.match_truth(det, exp, tolerance=0.05, chunk=chunk).toPandas()
     assert sorted(zip(got.beat_idx, got.truth_idx)) == claims(d, e, 0.05)
 
 
