@@ -254,18 +254,34 @@ K1 = (
 )
 
 
-@query("k1_chunk_stream", K1)
-def k1(spark, sf):
-    """Chunks as a file stream, detected with keyed state, collected by an available-now run."""
-    source, sink = new_path(spark, "chunks"), new_path(spark, "stream-beats")
-    fx.chunks(spark, sf).write.parquet(source)
+def run_stream(spark, chunks, source, sink, state):
+    """Add ``chunks`` to the source folder and let the stream catch up from its checkpoint."""
+    chunks.write.mode("append").parquet(source)
     live = spark.readStream.schema("track_id string, chunk_no bigint, samples array<double>").parquet(source)
     found = stream.detect_stream(live, rate=fx.RATE)
-    job = found.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start(sink)
+    job = found.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(sink)
     job.awaitTermination()
     return spark.read.schema(stream.OUTPUT).parquet(sink).select("track_id", rnd("t").alias("t"))
 
 
+@query("k1_chunk_stream", K1)
+def k1(spark, sf):
+    """Chunks as a file stream, detected with keyed state, collected by an available-now run."""
+    return run_stream(spark, fx.chunks(spark, sf), *[new_path(spark, p) for p in ("chunks", "stream-beats", "stream-state")])
+
+
+@query("k2_stream_reset", f"WITH once AS ({K1}) SELECT * FROM once UNION ALL SELECT * FROM once")
+def k2(spark, sf):
+    """The same chunks before and after a reset give the same beats twice."""
+    places = [new_path(spark, p) for p in ("chunks", "stream-beats", "stream-state")]
+    data = stage(fx.chunks(spark, sf), "chunks")
+    empty = F.array().cast("array<double>")
+    reset = data.select("track_id").distinct().select("track_id", F.lit(-1).cast("long").alias("chunk_no"), empty.alias("samples"))
+    for part in (data, reset):
+        run_stream(spark, part, *places)
+    return run_stream(spark, data, *places)
+
+
 # ---- L --------------------------------------------------------------------------------------
 
 

@@ -66,6 +66,7 @@ def detect_stream(
     Chunks are applied in ``chunk_no`` order; early ones wait in the state and repeats are
     dropped. K2: an empty chunk numbered -1 resets a track. K3: with ``flush_after_ms`` a
     track that stays silent that long also gets the beats of its last overlap; off by default.
+    Timeouts need a running processing-time trigger; an available-now run would not end.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if flush_after_ms else GroupStateTimeout.NoTimeout
 

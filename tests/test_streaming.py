@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -67,6 +69,26 @@ def test_reset_starts_over(spark):
     assert beats(out, "a") == sorted(expected(data["a"]) * 2)
 
 
+def test_flush_after_silence(spark):
+    source, sink, state = (new_path(spark, p) for p in ("in", "out", "state"))
+    spark.createDataFrame([("a", 0, [0.0] * 150)], SCHEMA).write.mode("append").parquet(source)
+    live = spark.readStream.schema(SCHEMA).parquet(source)
+    found = stream.detect_stream(live, rate=RATE, detector=lambda v, r: [0.05], flush_after_ms=1)
+    job = found.writeStream.format("parquet").option("checkpointLocation", state).trigger(processingTime="200 milliseconds").start(sink)
+    try:
+        got = []
+        for _ in range(60):  # a timeout needs a running trigger, so poll
+            time.sleep(0.5)
+            if spark.sparkContext._jvm.java.io.File(f"{sink}/_spark_metadata").exists():
+                got = beats(spark.read.schema(stream.OUTPUT).parquet(sink).toPandas(), "a")
+            if len(got) >= 2:
+                break
+    finally:
+        job.stop()
+    # the idle track adds the beat of its last 0.1 s, which starts at 0.65 s
+    assert got == [0.05, 0.7]
+
+
 @pytest.mark.parametrize("n", [10, 100, 101])
 def test_short_buffers_wait(n):
     buffer, clock, out = stream.feed(np.zeros(0), 0.0, np.ones(n), RATE, lambda v, r: [0.0, len(v) / r - 0.01])
