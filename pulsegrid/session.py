@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
-def build_session(app: str = "pulsegrid", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session with the settings the operators are tuned for."""
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; their Python workers need it for user functions."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "pulsegrid.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
+def build_session(app: str = "pulsegrid", cores: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
+    """A session with the settings the operators are tuned for.
+
+    ``cores`` asks for a local master. Without it the master is the one that spark-submit or ``SPARK_MASTER`` names.
+    """
+    builder = SparkSession.builder
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "8g")
+    elif "SPARK_MASTER" in os.environ:
+        builder = builder.master(os.environ["SPARK_MASTER"])
     return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
