@@ -5,12 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe, html_text, langid, packing, simhash, url_filter
+from pulsegrid.llm import bpe, embed_dedup, html_text, langid, packing, simhash, url_filter
 from pulsegrid.llm.common import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op6_url_filter, op7_packing, op8_bpe, op9_language_id, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_simhash, op6_url_filter, op7_packing, op8_bpe, op9_language_id, op10_html_text)}
 
 OP6_SQL = """
 WITH rules(host, path, verdict) AS (VALUES {rules}),
