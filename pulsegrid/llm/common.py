@@ -10,7 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_TEXT = 8 << 20  # bytes of text that Python code handles at once
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_TEXT = 4 << 20  # bytes of text that Python code handles at once
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound what Python workers hold at once: long texts make the usual 10,000 rows of an Arrow batch too much."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import row_runs
+from pulsegrid.llm.common import prepare, row_runs
 from pulsegrid.llm.components import components
 from pulsegrid.llm.simhash import Forest
 from pulsegrid.session import stage
@@ -139,6 +139,7 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", threshold: fl
     Vectors of different lengths never link. Vectors that are null, zero or hold a null or non-finite component, and
     rows with a null id, link with nothing and are kept. Repeated rows count as copies. Other columns are ignored.
     """
+    prepare(vectors.sparkSession)
     spark = vectors.sparkSession
     rows = stage(usable(vectors, column), "vectors")
     linkable = rows.where("bytes IS NOT NULL AND vec_id IS NOT NULL")

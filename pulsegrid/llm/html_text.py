@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulsegrid.llm.common import text_slices
+from pulsegrid.llm.common import prepare, text_slices
 
 # Element kinds of HTML and the words that mark page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,6 +228,8 @@ def extract(pages: DataFrame) -> DataFrame:
     columns are ignored.
     """
 
+    prepare(pages.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, sources in text_slices(batch, "html"):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import text_slices
+from pulsegrid.llm.common import prepare, text_slices
 
 BITS = 15  # 2 ** BITS hashed n-gram features
 ORDERS = (1, 2, 3)
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_rows: i
     by follow-the-regularised-leader with per-coordinate rates and an elastic-net penalty. A fifth of the sample is kept
     apart to set the temperature. Without a labelled row the model knows no language.
     """
+    prepare(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL")
     sample = sampled_rows(labelled, rows_per_language, max_rows)
     languages = sorted({lang for lang, *_ in sample})

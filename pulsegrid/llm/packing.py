@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import vocab
-from pulsegrid.llm.common import text_slices
+from pulsegrid.llm.common import prepare, text_slices
 from pulsegrid.session import stage
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,7 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, length: int = LEN
     One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``ids``. A null or empty text is
     the ``end`` id alone. Repeated rows are documents of their own; other columns are ignored.
     """
+    prepare(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import row_runs, text_slices
+from pulsegrid.llm.common import prepare, row_runs, text_slices
 from pulsegrid.llm.components import components
 from pulsegrid.session import stage
 
@@ -66,6 +66,8 @@ def fingerprint_texts(texts: list[str], words: int = SHINGLE, seed: int = SEED)
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id`` and signed 64-bit ``fp`` of every row. Null and empty texts and texts without a word have 0."""
 
+    prepare(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_slices(batch, "text"):
