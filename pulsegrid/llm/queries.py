@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, simhash, url_filter
+from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, secret_scan, simhash, url_filter
 from pulsegrid.llm.common import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -23,6 +23,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -44,7 +48,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_simhash, op4_fingerprints, op6_url_filter, op7_packing, op8_bpe, op9_language_id, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_simhash, op4_fingerprints, op5_secret_scan, op6_url_filter, op7_packing, op8_bpe, op9_language_id, op10_html_text)}
 
 OP6_SQL = """
 WITH rules(host, path, verdict) AS (VALUES {rules}),
