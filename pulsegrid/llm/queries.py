@@ -4,8 +4,9 @@ from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, secret_scan, simhash, url_filter
+from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, secret_scan, simhash, suffix_dedup, url_filter
 from pulsegrid.llm.common import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -15,6 +16,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_simhash, op4_fingerprints, op5_secret_scan, op6_url_filter, op7_packing, op8_bpe, op9_language_id, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_secret_scan, op6_url_filter, op7_packing, op8_bpe, op9_language_id, op10_html_text)}
 
 OP6_SQL = """
 WITH rules(host, path, verdict) AS (VALUES {rules}),
