@@ -15,11 +15,13 @@ BATCH_TEXT = 4 << 20  # bytes of text that Python code handles at once
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what Python workers hold at once: long texts make the usual 10,000 rows of an Arrow batch too much."""
+    """Session settings of the corpus operators: small Arrow batches, as texts may be long, and no stale shuffle files."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
+    # what a staged step has shuffled is of no use once its files are written
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

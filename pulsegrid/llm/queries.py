@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +78,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM add
 ORACLES = {"op6_url_filter": OP6_SQL}
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

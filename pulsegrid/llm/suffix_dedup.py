@@ -225,24 +225,25 @@ def merge(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[begins, 0], reach[np.append(np.flatnonzero(begins)[1:] - 1, len(ranges) - 1)]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
     """Every text without the bytes covered by a ``window``-byte string that also starts anywhere else.
 
-    ``doc_id, mark, n_bytes, n_removed, n_spans, kept`` (the remaining bytes), one row per row of ``docs``; ``mark`` is
-    the XXH64 of the text. Texts are UTF-8 bytes, null counts as empty, and strings never cross documents. Rows that
-    repeat are documents of their own, so their texts repeat. Other columns are ignored.
+    ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) and the ``carry`` columns, one row per row of
+    ``docs``. Texts are UTF-8 bytes, null counts as empty, and strings never cross documents. Rows that repeat are
+    documents of their own, so their texts repeat. Null ids are allowed; columns not carried are ignored.
     """
     prepare(docs.sparkSession)
     rows = rows_of(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     ranges = repeated_ranges(rows, window).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    joined = rows.join(stage(ranges, "ranges").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    ranges = stage(ranges, "ranges").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "ranges")
+    carried = docs.select(F.struct("doc_id", *(carry or [])).alias("carried"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = carried.join(ranges, F.col("carried.doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 sizes, removed, spans, kept = [], [], [], []
-                for raw, ranges in zip(texts.cast(pa.binary()).to_pylist(), part.column(3), strict=True):
+                for raw, ranges in zip(texts.cast(pa.binary()).to_pylist(), part.column(2), strict=True):
                     own = ranges.values
                     found = merge(np.stack([own.field("a").to_numpy(), own.field("b").to_numpy()], axis=1)) if own is not None and len(own) else np.zeros((0, 2), np.int64)
                     edges = [0, *found.ravel().tolist(), len(raw)]
@@ -251,8 +252,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     spans.append(len(found))
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column(0), "mark": part.column(1), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
+                    {"carried": part.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
                 )
 
-    out = f"doc_id {kind}, mark long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.select("doc_id", "mark", "text", "ranges").mapInArrow(strip, out)
+    out = f"carried {carried.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    stripped = joined.select("carried", "text", "ranges").mapInArrow(strip, out)
+    return stripped.select("carried.*", "n_bytes", "n_removed", "n_spans", "kept")
