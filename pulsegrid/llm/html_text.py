@@ -88,7 +88,9 @@ class Page:
             if name in SCOPE or name in ("tr", "li") and tag not in ("li", "tr"):
                 break
         above = stack[-1]
-        if tag not in INLINE:
+        if tag == "br":
+            self.texts.append((above, self.block, " "))
+        elif tag not in INLINE:
             self.block += 1
         inside = any(self.tag[n] in ("article", "main") for n in stack) if tag == "header" else False
         node = len(self.parent)
