@@ -157,6 +157,18 @@ def j1_beats(spark, sf):
     return timed(detect.energy_beats(fx.samples(spark, sf), rate=fx.RATE), "track_id")
 
 
+HINT = "CASE length(track_id) % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 120 ELSE 400 END"
+
+
+@query("j1_energy_hint", with_views("samples", f"WITH {J1}, an AS (SELECT s.track_id, duration, f, CASE WHEN h <= 0 THEN 0 ELSE least(greatest(h, 20), 300) END AS bpm FROM (SELECT track_id, count(*) / CAST(200 AS DOUBLE) AS duration, {HINT} AS h FROM samples GROUP BY 1) s "
+       "JOIN (SELECT track_id, min(t) AS f FROM jb GROUP BY 1) USING (track_id)), ev AS (SELECT track_id, f, 60 / CAST(bpm AS DOUBLE) AS step, unnest(range(CAST(ceil((duration - f) / (60 / CAST(bpm AS DOUBLE)) - 1e-9) AS BIGINT))) AS beat_idx FROM an WHERE bpm > 0) "
+       f"SELECT track_id, beat_idx, {r('f + beat_idx * step')} AS t FROM ev UNION ALL SELECT track_id, beat_idx, {r('t')} AS t FROM jb SEMI JOIN (SELECT track_id FROM an WHERE bpm = 0) z USING (track_id)", recursive=True))
+def j1_hint(spark, sf):
+    kind = F.length("track_id") % 4
+    hint = F.when(kind == 0, 0).when(kind == 1, 10).when(kind == 2, 120).otherwise(400)
+    return timed(detect.hinted_beats(fx.samples(spark, sf), rate=fx.RATE, hint=hint), "track_id")
+
+
 J2 = (
     framed(32, 8, "full") + ", fr AS (SELECT track_id, frame_idx, pos AS n, v FROM framed), " + spec("sqrt({p})", "17", 32, "fr", HANN32) + f", {FLUX}, "
     f"zs AS (SELECT track_id, frame_idx, (v - avg(v) OVER {P}) / (coalesce(stddev_samp(v) OVER {P}, 0) + 1e-9) AS v FROM flux), {gauss_sql('CAST(1.5 AS DOUBLE)', 5, 'zs', 'gs')}, "

@@ -143,25 +143,25 @@ def h13(spark, sf):
 
 
 @query("h14_filter_chain", "WITH c AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'colorbalance=rs=0.1:gs=0.05:bs=-0.05' WHEN '2-HIGH' THEN 'colorbalance=rs=-0.05:gs=0.0:bs=0.1' WHEN '3-MEDIUM' THEN 'eq=saturation=1.4:contrast=1.1' END AS col, "
-       "CASE WHEN o_orderkey % 2 = 0 THEN 'vignette=PI/' || CASE o_orderkey % 4 WHEN 0 THEN '8' ELSE '4' END END AS vig, CASE WHEN o_orderkey % 3 = 0 THEN 'gblur=sigma=' || CASE o_orderkey % 9 WHEN 0 THEN '2' ELSE '2.5' END END AS blur FROM orders) "
+       "CASE WHEN o_orderkey % 2 = 0 THEN 'vignette=PI/' || printf('%.6g', CAST(4 AS DOUBLE) / (CAST(o_custkey % 191 + 1 AS DOUBLE) / 100)) END AS vig, CASE WHEN o_orderkey % 3 = 0 THEN 'gblur=sigma=' || printf('%.6g', CAST(o_custkey % 173 + 1 AS DOUBLE) / 7) END AS blur FROM orders) "
        "SELECT o_orderkey, concat_ws(',', col, vig, blur) AS chain FROM c")
 def h14(spark, sf):
     preset = F.create_map(*[F.lit(x) for x in ("1-URGENT", "warm", "2-HIGH", "cool", "3-MEDIUM", "vibrant", "4-NOT SPECIFIED", "none", "5-LOW", "none")])
     k = F.col("o_orderkey")
     c = fx.table(spark, sf, "orders").select(
         "o_orderkey", F.lit(True).alias("enable_color"), F.try_element_at(preset, "o_orderpriority").alias("preset"),
-        (k % 2 == 0).alias("enable_vignette"), F.when(k % 4 == 0, 0.5).otherwise(1.0).alias("vignette"),
-        (k % 3 == 0).alias("enable_blur"), F.when(k % 9 == 0, 2.0).otherwise(2.5).alias("blur"),
+        (k % 2 == 0).alias("enable_vignette"), ((F.col("o_custkey") % 191 + 1).cast("double") / 100).alias("vignette"),
+        (k % 3 == 0).alias("enable_blur"), ((F.col("o_custkey") % 173 + 1).cast("double") / 7).alias("blur"),
     )
     return segments.filter_chain(c).select("o_orderkey", "chain")
 
 
 @query("h15_transition_chain", "WITH j AS (SELECT o_orderkey, o_orderkey % 120 AS n, 'fx/it''s_' || o_orderstatus || '.glsl' AS path FROM orders) "
-       "SELECT o_orderkey, CASE WHEN n BETWEEN 2 AND 100 THEN list_aggregate(list_transform(range(n - 1), lambda i: CASE WHEN i = 0 THEN '[0:v]' ELSE '[t' || i || ']' END || '[' || (i + 1) || ':v]gltransition=source=''' || replace(path, '''', '\\''') || ''':duration=0.300[t' || (i + 1) || ']'), 'string_agg', ';') ELSE '' END AS graph FROM j")
+       "SELECT o_orderkey, CASE WHEN n >= 2 THEN list_aggregate(list_transform(range(n - 1), lambda i: CASE WHEN i = 0 THEN '[0:v]' ELSE '[t' || i || ']' END || '[' || (i + 1) || ':v]gltransition=source=''' || replace(path, '''', '\\''') || ''':duration=0.300[t' || (i + 1) || ']'), 'string_agg', ';') ELSE '' END AS graph FROM j")
 def h15(spark, sf):
     o = fx.table(spark, sf, "orders")
     jobs = o.select("o_orderkey", (F.col("o_orderkey") % 120).alias("n_inputs"), F.concat(F.lit("fx/it's_"), F.col("o_orderstatus"), F.lit(".glsl")).alias("path"), F.lit(0.3).alias("duration"))
-    return segments.transition_chain(jobs).select("o_orderkey", "graph")
+    return segments.transition_chain(jobs, "o_orderkey").select("o_orderkey", "graph")
 
 
 SEG = "sg AS (SELECT track_id, seg, idx - seg * 48 AS pos, v FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((idx - 63) / 48.0) AS BIGINT)), idx // 48 + 1)) AS seg FROM samples))"

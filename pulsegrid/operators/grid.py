@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.lookup import nearest_beat
-from pulsegrid.operators.sequence import TRACK, dense_index, neighbours, order_statistics
+from pulsegrid.operators.sequence import TRACK, counted, dense_index, neighbours, order_statistics
 from pulsegrid.operators.tempo import dominant_interval
 from pulsegrid.session import stage
 
 SLACK = 1e-9  # float tolerance when counting grid steps
-MAX_BEATS = 1_000_001  # fixed: cap of the interactive re-grid
 BPM_RANGE = (20.0, 300.0)
-BLOCK = 4096
 
 
 def clamp_hint(bpm: Column) -> Column:
@@ -23,20 +21,11 @@ def clamp_hint(bpm: Column) -> Column:
     return F.when(bpm <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(bpm, F.lit(BPM_RANGE[0])), F.lit(BPM_RANGE[1])))
 
 
-def even_steps(rows: DataFrame, start: Column, step: Column, end: Column, *, cap: int | None = None) -> DataFrame:
-    """Explode ``start + i * step`` for every i with the time before ``end``.
-
-    Long grids are expanded in two steps with a shuffle between, so one long track does not
-    expand inside one task.
-    """
+def even_steps(rows: DataFrame, start: Column, step: Column, end: Column) -> DataFrame:
+    """Explode ``start + i * step`` for every i with the time before ``end``."""
     count = F.greatest(F.ceil((end - start) / step - F.lit(SLACK)), F.lit(0))
-    if cap is not None:
-        count = F.least(count, F.lit(cap))
-    sized = rows.withColumns({"_t0": start, "_step": step, "_n": count.cast("long")}).filter("_n > 0")
-    blocks = sized.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_n - 1) div {BLOCK})")))
-    spread = blocks.repartition("track_id", "_b")
-    inside = spread.withColumn("beat_idx", F.explode(F.expr(f"sequence(_b * {BLOCK}L, least((_b + 1) * {BLOCK}L, _n) - 1)")))
-    return inside.withColumn("t", F.col("_t0") + F.col("beat_idx") * F.col("_step"))
+    sized = rows.withColumns({"_t0": start, "_step": step, "_n": count.cast("long")})
+    return counted(sized, "_n", "beat_idx").withColumn("t", F.col("_t0") + F.col("beat_idx") * F.col("_step"))
 
 
 def even_grid(anchors: DataFrame) -> DataFrame:
@@ -47,10 +36,10 @@ def even_grid(anchors: DataFrame) -> DataFrame:
 
 
 def regrid(anchors: DataFrame) -> DataFrame:
-    """A first beat at or past the end restarts at 0; BPM outside 20-300 is ignored; the count is capped."""
+    """A first beat at or past the end restarts at 0; BPM outside 20-300 is ignored."""
     valid = anchors.filter(F.col("bpm").between(*BPM_RANGE) & (F.col("duration") > 0))
     start = F.when(F.col("first_beat") >= F.col("duration"), F.lit(0.0)).otherwise(F.col("first_beat"))
-    grid = even_steps(valid, start, F.lit(60.0) / F.col("bpm"), F.col("duration"), cap=MAX_BEATS)
+    grid = even_steps(valid, start, F.lit(60.0) / F.col("bpm"), F.col("duration"))
     return grid.select("track_id", "beat_idx", "t")
 
 
@@ -100,15 +89,13 @@ def fill_gaps(beats: DataFrame, durations: DataFrame, *, keys: Sequence[str] = T
     lead_in = F.ceil((F.col("_first") - 0.1) / unit - F.lit(SLACK)) - 1
     head = (
         plan.filter((F.col("_first") > unit * 1.5) & (unit > 0)).withColumn("_m", lead_in.cast("long")).filter("_m > 0")
-        .withColumn("_j", F.explode(F.expr("sequence(1L, _m)")))
-        .select(*keys, (F.col("_first") - F.col("_j") * unit).alias(t))
     )
+    head = counted(head, "_m", "_k", keys).select(*keys, (F.col("_first") - (F.col("_k") + 1) * unit).alias(t))
     lead_out = F.ceil((F.col("duration") - 0.1 - F.col("_last")) / unit - F.lit(SLACK)) - 1
     tail = (
         plan.filter(unit >= 0.1).withColumn("_m", lead_out.cast("long")).filter("_m > 0")
-        .withColumn("_j", F.explode(F.expr("sequence(1L, _m)")))
-        .select(*keys, (F.col("_last") + F.col("_j") * unit).alias(t))
     )
+    tail = counted(tail, "_m", "_k", keys).select(*keys, (F.col("_last") + (F.col("_k") + 1) * unit).alias(t))
     filled = inner.unionByName(head).unionByName(tail).withColumn("filled", F.lit(True))
     return beats.select(*keys, t).withColumn("filled", F.lit(False)).unionByName(filled)
 

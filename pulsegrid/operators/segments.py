@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.operators.carry import NONE, Run, carry_scan
-from pulsegrid.operators.sequence import TRACK, neighbours, running_sum, with_stats
+from pulsegrid.operators.sequence import TRACK, counted, dense_index, neighbours, running_sum, with_stats
 from pulsegrid.operators.tempo import filtered_average_interval
 
 DEFAULT_CLIP = 30.0  # fixed: length assumed for a clip of unknown duration
 MIN_SEGMENT = 0.1
 LONG_GAP = 3.0
 PER_CHUNK = 30  # fixed: beats per filter expression
-MAX_TRANSITION_INPUTS = 100
 COLOR_FILTERS = {  # fixed values: filter text per colour preset
     "warm": "colorbalance=rs=0.1:gs=0.05:bs=-0.05",
     "cool": "colorbalance=rs=-0.05:gs=0.0:bs=0.1",
@@ -73,9 +72,17 @@ def classify_gaps(beats: DataFrame, *, clip: float = 1.0) -> DataFrame:
     return rows.select("track_id", F.inline(F.array_compact(F.array(own, F.when(late, intro)))))
 
 
+def number_of(clips: DataFrame) -> int:
+    """Size of a clip catalogue; there must be one clip to place."""
+    n = clips.count()
+    if n == 0:
+        raise ValueError("the clip catalogue is empty")
+    return n
+
+
 def round_robin(rows: DataFrame, clips: DataFrame, *, advance_on: str | None = "BEAT") -> DataFrame:
     """H5: cycle through the clips; the pointer moves on BEAT rows, or (``None``) on every beat index."""
-    n = clips.count()
+    n = number_of(clips)
     if advance_on is None:
         placed = rows.withColumn("_turn", F.col("beat_idx"))
     else:
@@ -99,53 +106,58 @@ def source_offsets(assigned: DataFrame, clips: DataFrame) -> DataFrame:
     }).drop("_p", "_d")
 
 
-def fill_long_gaps(gaps: DataFrame, clips: DataFrame, *, chunk: int = 4096, max_clips: int = 20_000) -> DataFrame:
+def fill_long_gaps(gaps: DataFrame, clips: DataFrame, *, chunk: int = 4096) -> DataFrame:
     """H8: fill each gap with whole clips, longest first, cycling on across gaps.
 
-    The carried state is the position in the clip cycle, so a chunk of gaps is a map from
-    start position to end position. ``clips`` is a catalogue whose size is checked before it
-    travels to the tasks; larger catalogues are refused rather than cut.
+    The carried state is the position in the clip cycle, so a chunk of gaps is a map from start position to end
+    position. Where a fill ends is read from the prefix sums of the cycle for all starts at once. Gaps are numbered
+    densely and a chunk holds no fewer gaps than there are clips, so all maps together have as many rows as there are
+    gaps, and one catalogue per track at most. The catalogue itself (16 bytes a clip) goes to the tasks as a broadcast.
     Returns (track_id, beat_idx, piece, clip_id, dur).
     """
+    spark = gaps.sparkSession
     length = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.lit(DEFAULT_CLIP))
-    if clips.count() > max_clips:
-        raise ValueError(f"more than {max_clips} clips; split the catalogue")
+    n = number_of(clips)
     ordered = clips.select("clip_id", length.alias("d")).orderBy(F.desc("d"), "clip_id").toPandas()
-    ids, lengths = ordered["clip_id"].to_numpy(), ordered["d"].to_numpy(dtype=float)
-    n = len(ids)
+    lengths = ordered["d"].to_numpy(dtype=float)
+    shared = spark.sparkContext.broadcast((ordered["clip_id"].to_numpy(), lengths, np.concatenate([[0.0], np.cumsum(np.concatenate([lengths, lengths]))])))
 
-    def pieces(start: int, dur: float) -> list[float]:
-        used, left, i = [], dur, start
-        while dur >= MIN_SEGMENT and left > MIN_SEGMENT:
-            used.append(min(lengths[i % n], left))
-            left -= used[-1]
-            i += 1
-        return used
+    def ends(starts: np.ndarray, dur: float) -> np.ndarray:
+        """How many clips fill ``dur`` from each start: the fewest that leave no more than MIN_SEGMENT."""
+        if dur <= MIN_SEGMENT:
+            return np.zeros(len(starts), dtype=np.int64)
+        sums = shared.value[2]
+        rounds, rest = divmod(dur - MIN_SEGMENT, sums[n])
+        return int(rounds) * n + np.searchsorted(sums, sums[starts] + rest, side="left") - starts
 
     def summarise(run: Run) -> list[tuple[float, float]]:
         state = np.arange(n)
         for dur in run["dur"].tolist():
             # starts that have met stay together, so only distinct positions are advanced
             live, back = np.unique(state, return_inverse=True)
-            moved = np.array([(s + len(pieces(int(s), dur))) % n for s in live])
-            state = moved[back]
+            state = ((live + ends(live, dur)) % n)[back]
         return [(NONE, float(state[0])), *zip(np.arange(n, dtype=float).tolist(), state.astype(float).tolist())]
 
     def emit(run: Run, entry: float) -> Run:
-        at, beats, piece, clip, length = max(int(entry), 0), [], [], [], []
+        ids, lengths, _ = shared.value
+        at, beats, piece, clip, used = max(int(entry), 0), [], [], [], []
         for beat, dur in zip(run["beat_idx"].tolist(), run["dur"].tolist()):
-            used = pieces(at, dur)
-            beats += [beat] * len(used)
-            piece += range(len(used))
-            clip += [ids[(at + k) % n] for k in range(len(used))]
-            length += used
-            at = (at + len(used)) % n
+            many = int(ends(np.array([at]), dur)[0])
+            cycle = (at + np.arange(many)) % n
+            own = lengths[cycle]
+            own = np.minimum(own, dur - (np.cumsum(own) - own))
+            beats.append(np.full(many, beat))
+            piece.append(np.arange(many))
+            clip.append(ids[cycle])
+            used.append(own)
+            at = (at + many) % n
         return {
-            "beat_idx": np.array(beats, dtype=np.int64), "piece": np.array(piece, dtype=np.int64),
-            "clip_id": np.array(clip, dtype=np.int64), "dur": np.array(length, dtype=float),
+            "beat_idx": np.concatenate(beats).astype(np.int64), "piece": np.concatenate(piece).astype(np.int64),
+            "clip_id": np.concatenate(clip).astype(np.int64), "dur": np.concatenate(used).astype(float),
         }
 
-    rows = gaps.select("track_id", "beat_idx", "dur", F.expr(f"(beat_idx + 1) div {chunk}").alias("_chunk"))
+    dense = dense_index(gaps.select("track_id", "beat_idx", "dur"), TRACK, ["beat_idx"], "_gap")
+    rows = dense.withColumn("_chunk", F.expr(f"_gap div {max(chunk, n)}")).drop("_gap")
     out = T.StructType([
         T.StructField("beat_idx", T.LongType()), T.StructField("piece", T.LongType()),
         T.StructField("clip_id", T.LongType()), T.StructField("dur", T.DoubleType()),
@@ -165,9 +177,9 @@ def pad_to_length(totals: DataFrame, clips: DataFrame) -> DataFrame:
     """``totals(track_id, n_segments, total, duration)``; pieces of at most 2 s while over 0.1 s is missing."""
     left = F.col("duration") - F.col("total")
     short = totals.withColumn("_left", left).filter("_left > 0.5")
-    count = F.least(F.ceil((F.col("_left") - 0.1) / 2.0 - 1e-9).cast("long"), F.lit(1001).cast("long"))
-    n = F.lit(clips.count()).cast("long")
-    rows = short.withColumn("_n", count).filter("_n > 0").withColumn("_k", F.explode(F.expr("sequence(0L, _n - 1)")))
+    count = F.ceil((F.col("_left") - 0.1) / 2.0 - 1e-9).cast("long")
+    n = F.lit(number_of(clips)).cast("long")
+    rows = counted(short.withColumn("_n", count), "_n", "_k")
     return rows.select(
         "track_id", (F.col("n_segments") + F.col("_k")).alias("segment"),
         ((F.col("n_segments") + F.col("_k")) % n).alias("clip_id"),
@@ -195,9 +207,9 @@ def window_expressions(beats: DataFrame, *, width: float, per: int = PER_CHUNK)
 
 
 def _plain_number(value: Column) -> Column:
-    """Shortest decimal text with at most six digits, without trailing zeros."""
-    text = F.format_string("%.4f", value)
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Decimal text with six significant digits, without trailing zeros."""
+    text = F.format_string("%.6g", value.cast("double"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
 
 
 def filter_chain(configs: DataFrame) -> DataFrame:
@@ -209,20 +221,23 @@ def filter_chain(configs: DataFrame) -> DataFrame:
     return configs.withColumn("chain", F.concat_ws(",", color, vignette, blur))
 
 
-def transition_chain(jobs: DataFrame) -> DataFrame:
-    """``jobs(n_inputs, path, duration)``; empty below 2 inputs or above 100."""
+def transition_edges(jobs: DataFrame) -> DataFrame:
+    """One row ``edge`` per joint of ``jobs(n_inputs, path, duration)``; columns of the job are kept."""
     source = F.replace(F.col("path"), F.lit("'"), F.lit("\\'"))
     part = F.concat(F.lit("gltransition=source='"), source, F.lit("':duration="), F.format_string("%.3f", F.col("duration")))
-
-    def edge(i: Column) -> Column:
-        left = F.when(i == 0, F.lit("[0:v]")).otherwise(F.concat(F.lit("[t"), i.cast("string"), F.lit("]")))
-        n = (i + 1).cast("string")
-        return F.concat(left, F.lit("["), n, F.lit(":v]"), F.col("_part"), F.lit("[t"), n, F.lit("]"))
-
-    usable = F.col("n_inputs").between(2, MAX_TRANSITION_INPUTS)
-    count = F.when(usable, F.col("n_inputs").cast("int")).otherwise(2)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), count - 2), edge), ";")
-    return jobs.withColumn("_part", part).withColumn("graph", F.when(usable, text).otherwise("")).drop("_part")
+    job = [c for c in jobs.columns if c not in ("path", "duration")]
+    rows = jobs.withColumn("_part", part).withColumn("_joints", F.col("n_inputs").cast("long") - 1)
+    edges = counted(rows, "_joints", "joint", keys=job)
+    left = F.when(F.col("joint") == 0, F.lit("[0:v]")).otherwise(F.concat(F.lit("[t"), F.col("joint").cast("string"), F.lit("]")))
+    right = (F.col("joint") + 1).cast("string")
+    return edges.withColumn("edge", F.concat(left, F.lit("["), right, F.lit(":v]"), F.col("_part"), F.lit("[t"), right, F.lit("]"))).drop("_part", "_joints")
+
+
+def transition_chain(jobs: DataFrame, key: str) -> DataFrame:
+    """H15 as text: the edges of each job joined in order; empty below 2 inputs. ``key`` names a job."""
+    parts = F.array_sort(F.collect_list(F.struct("joint", "edge")))
+    graphs = transition_edges(jobs).groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["edge"]), ";").alias("graph"))
+    return jobs.join(graphs, key, "left").withColumn("graph", F.coalesce("graph", F.lit("")))
 
 
 def overlap_segments(samples: DataFrame, *, length: int) -> DataFrame:

@@ -246,3 +246,13 @@ def order_statistics(
         for name in positions
     }
     return counted.groupBy(*keys, "n").agg(*[F.max(F.when(hit[name], F.col("_x"))).alias(name) for name in positions])
+
+
+def counted(rows: DataFrame, count: str, out: str, keys: Sequence[str] = TRACK, block: int = 4096) -> DataFrame:
+    """Repeat each row ``count`` times, numbered from 0 in ``out``; rows with a count of 0 or less go.
+
+    Long counts are expanded in two steps with a shuffle between, so one long track does not expand inside one task.
+    """
+    blocks = rows.filter(F.col(count) > 0).withColumn("_b", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {block})")))
+    inside = F.expr(f"sequence(_b * {block}L, least((_b + 1) * {block}L, {count}) - 1)")
+    return blocks.repartition(*keys, "_b").withColumn(out, F.explode(inside)).drop("_b")

@@ -122,8 +122,7 @@ def one_pole(samples: DataFrame, *, ratio: float, keys: Sequence[str] = TRACK, s
     span = 1
     while q**span > 2.0**-60:
         span *= 2
-    if span > size:
-        raise ValueError("filter memory exceeds the chunk; raise size")
+    size = max(size, span)  # a chunk holds the filter's whole memory
     counted = with_stats(samples, keys, _n=F.max("idx") + 1)
     driven = counted.withColumn("_y", F.when(F.col("idx") == 0, F.col("v")).otherwise(F.col("v") * F.lit(a)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import envelope, grid, onset, score, signal, tempo
@@ -50,6 +50,20 @@ def frame_tempo(beats: DataFrame, *, seconds_per_frame: float, keys: Sequence[st
     return medians.select(*keys, tempo.bpm_from_median(F.col("median") * F.lit(seconds_per_frame)).alias("raw_bpm"))
 
 
+def hinted_beats(samples: DataFrame, *, rate: int, hint: Column, sensitivity: float = 0.5) -> DataFrame:
+    """J1 with a tempo hint per track (E1): an even grid from the first beat found; without a hint the beats found.
+
+    ``hint`` is an expression over ``track_id``; hints of 0 or less count as none, others are kept within 20-300. Tracks
+    without a beat have no anchor and give no rows.
+    """
+    beats = stage(energy_beats(samples, rate=rate, sensitivity=sensitivity).select("track_id", "beat_idx", "t"), "beats")
+    spans = samples.groupBy("track_id").agg(((F.max("idx") + 1) / F.lit(float(rate))).alias("duration"))
+    firsts = beats.groupBy("track_id").agg(F.min("t").alias("first_beat"))
+    anchors = spans.join(firsts, "track_id").withColumn("bpm", grid.clamp_hint(hint.cast("double")))
+    plain = beats.join(anchors.filter("bpm = 0").select("track_id"), "track_id", "left_semi")
+    return grid.even_grid(anchors).unionByName(plain)
+
+
 def energy_tempo(samples: DataFrame, *, rate: int, sensitivity: float = 0.5, keys: Sequence[str] = TRACK) -> DataFrame:
     """Beats per track, median BPM and folded BPM; tracks without beats keep a row."""
     keys = list(keys)
@@ -144,10 +158,11 @@ def model_beats(
     samples: DataFrame, *, in_rate: int, scorer: score.Scorer | None = None, threshold: float | None = None, rate: int = 22_050,
     hop: int = 441, keys: Sequence[str] = TRACK, **mel,
 ) -> DataFrame:
-    """Mel spectra, any scorer, activation peaks."""
+    """Mel spectra, any scorer, activation peaks. The built-in scorer has no scale of its own and is normalised per
+    track; what another scorer returns is compared with the threshold as it is."""
     spectra = log_mel(samples, in_rate=in_rate, rate=rate, hop=hop, keys=keys, **mel)
     scored = stage(score.score_frames(spectra, scorer, keys=keys), "scores")
-    activation = envelope.max_normalise(scored, keys=keys)
+    activation = envelope.max_normalise(scored, keys=keys) if scorer is None else scored
     peaks = score.activation_peaks(activation, "beat", frame_rate=rate / hop, threshold=threshold, keys=keys)
     return peaks.withColumnRenamed("seg_idx", "beat_idx")
 
