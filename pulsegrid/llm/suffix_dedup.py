@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ TRIGGER = 8  # bytes under the rolling hash
 REACH_BITS = 7
 REACH = 1 << REACH_BITS  # windows of one phrase part
 CHUNK = 1 << 20  # window starts that are parsed at once
+SMALL = 8  # windows of a small part, where a core has very many parts
 GROUP = 256  # different phrase parts that one task compares; more go by single windows
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,19 +153,19 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 lists = part.column(3)
-                owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
+                owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
                 own = lists.flatten()
                 place = own.field("place").to_numpy()
-                first, count, _ = unpack_place(place)
+                first, count, ahead = unpack_place(place)
                 raws = texts.cast(pa.binary()).to_pylist()
                 pieces = [raws[k][a : a + n] for k, a, n in zip(owner.tolist(), first.tolist(), (count + window - 1).tolist(), strict=True)]
                 index = pa.array(owner)
                 yield pa.RecordBatch.from_pydict(
-                    {"core": own.field("core"), "open": own.field("open"), "hot": own.field("hot"), "doc_id": part.column(0).take(index), "mark": part.column(1).take(index), "first": pa.array(first), "piece": pa.array(pieces, pa.binary())}
+                    {"core": own.field("core"), "open": own.field("open"), "hot": own.field("hot"), "doc_id": part.column(0).take(index), "mark": part.column(1).take(index), "first": pa.array(first), "ahead": pa.array(ahead), "piece": pa.array(pieces, pa.binary())}
                 )
 
     joined = rows.join(lists, same_row(rows, lists)).select(rows["doc_id"], rows["mark"], "text", "parts")
-    pieces = stage(joined.mapInArrow(cut, f"core long, open boolean, hot boolean, doc_id {kind}, mark long, first long, piece binary"), "pieces")
+    pieces = stage(joined.mapInArrow(cut, f"core long, open boolean, hot boolean, doc_id {kind}, mark long, first long, ahead long, piece binary"), "pieces")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,20 +188,71 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             a, b = first + np.array(begin, np.int64), first + np.array(end, np.int64) + window - 1
             yield pa.RecordBatch.from_pydict({"doc_id": group.column("doc_id").combine_chunks().take(index), "mark": group.column("mark").combine_chunks().take(index), "a": pa.array(a), "b": pa.array(b)})
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cold = pieces.where("NOT hot").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(compare, f"doc_id {kind}, mark long, a long, b long")
+    return full.unionByName(cold).unionByName(hot_ranges(pieces.where("hot"), window))
+
+
+def hot_ranges(pieces: DataFrame, window: int) -> DataFrame:
+    """Repeated ranges of phrase parts whose core has very many of them, by counts alone.
+
+    As before with smaller parts: a part is cut into ``SMALL`` windows each; those that occur twice as a whole are
+    repeated whole, and of the others only those whose own core occurs in different parts go on window by window. So a
+    part costs a row per small part and the windows around the place where it begins to differ.
+    """
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    place = f"open boolean, doc_id {kind}, mark long, first long"
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
-            for k, piece in enumerate(batch.column(4).to_pylist()):
-                marks = np.frombuffer(b"".join(windows(piece, window)), np.int64).reshape(-1, 2)
-                same = pa.array(np.full(len(marks), k))
-                yield pa.RecordBatch.from_pydict(
-                    {"w1": pa.array(marks[:, 0]), "w2": pa.array(marks[:, 1]), "open": batch.column(0).take(same), "doc_id": batch.column(1).take(same), "mark": batch.column(2).take(same), "a": pa.array(batch.column(3)[k].as_py() + np.arange(len(marks)))}
-                )
+            owner, begin, small, cores, wholes = [], [], [], [], []
+            for k, (piece, ahead) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                count = len(piece) - window + 1
+                # cut where the distance to the trigger passes a multiple of SMALL, which is the same in every copy
+                starts = [0, *range(ahead % SMALL + 1, count, SMALL)]
+                for a, z in zip(starts, [*starts[1:], count], strict=True):
+                    owner.append(k)
+                    begin.append(a)
+                    small.append(piece[a : z + window - 1])
+                    low = ahead % SMALL if a == 0 else a + SMALL - 1  # the last start that a whole small part would have
+                    cores.append(short(piece[low : low - SMALL + 1 + window]))
+                    wholes.append(long(small[-1]))
+            both = np.frombuffer(b"".join(wholes), np.int64).reshape(-1, 2)
+            index = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "open": batch.column(0).take(index), "doc_id": batch.column(1).take(index), "mark": batch.column(2).take(index),
+                    "first": pc.add(batch.column(3).take(index), pa.array(begin, pa.int64())), "piece": pa.array(small, pa.binary()),
+                    "core": pa.array(np.array(cores, np.uint64).view(np.int64)), "k1": pa.array(both[:, 0]), "k2": pa.array(both[:, 1]),
+                }
+            )
 
-    cold = pieces.where("NOT hot").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(compare, f"doc_id {kind}, mark long, a long, b long")
-    split = pieces.where("hot").select("open", "doc_id", "mark", "first", "piece").mapInArrow(single, f"w1 long, w2 long, open boolean, doc_id {kind}, mark long, a long")
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [windows(piece, window) for piece in batch.column(4).to_pylist()]
+            count = np.array([len(m) for m in marks], np.int64)
+            both = np.frombuffer(b"".join(m for own in marks for m in own), np.int64).reshape(-1, 2)
+            index = pa.array(np.repeat(np.arange(len(marks)), count))
+            inner = np.arange(len(both)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1]), "open": batch.column(0).take(index), "doc_id": batch.column(1).take(index),
+                    "mark": batch.column(2).take(index), "a": pc.add(batch.column(3).take(index), pa.array(inner)),
+                }
+            )
+
+    small = stage(pieces.select("open", "doc_id", "mark", "first", "piece", "ahead").mapInArrow(divide, f"{place}, piece binary, core long, k1 long, k2 long"), "small")
+    whole = stage(
+        small.groupBy("core", "k1", "k2").agg(F.count("*").alias("n"), F.max("open").alias("open"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "first", "piece")]), "small-wholes"
+    )
+    twice = stage(whole.where("n > 1").select("k1", "k2"), "small-twice")
+    full = small.where("open").join(twice, ["k1", "k2"]).select("doc_id", "mark", F.col("first").alias("a"), (F.col("first") + F.length("piece")).alias("b"))
+    lone = whole.withColumn("open", F.col("open") & (F.col("n") == 1))
+    wanted = stage(lone.groupBy("core").agg(F.count("*").alias("kinds"), F.max("open").alias("open")).where("kinds > 1 AND open").select("core"), "small-cores")
+    asked = lone.join(wanted, "core").select("open", "doc_id", "mark", "first", "piece")
+    split = stage(asked.mapInArrow(single, f"w1 long, w2 long, open boolean, doc_id {kind}, mark long, a long"), "windows")
     again = stage(split.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "again")
-    hot = split.where("open").join(again, ["w1", "w2"]).select("doc_id", "mark", "a", (F.col("a") + window).alias("b"))
-    return full.unionByName(cold).unionByName(hot)
+    return full.unionByName(split.where("open").join(again, ["w1", "w2"]).select("doc_id", "mark", "a", (F.col("a") + window).alias("b")))
 
 
 def windows(piece: bytes, window: int) -> list[bytes]:
