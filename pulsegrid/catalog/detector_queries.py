@@ -266,32 +266,54 @@ K1 = (
 )
 
 
+CHUNKS = "track_id string, epoch bigint, chunk_no bigint, samples array<double>"
+
+
 def run_stream(spark, chunks, source, sink, state):
     """Add ``chunks`` to the source folder and let the stream catch up from its checkpoint."""
-    chunks.write.mode("append").parquet(source)
-    live = spark.readStream.schema("track_id string, chunk_no bigint, samples array<double>").parquet(source)
+    chunks.select("track_id", "epoch", "chunk_no", "samples").write.mode("append").parquet(source)
+    live = spark.readStream.schema(CHUNKS).parquet(source)
     found = stream.detect_stream(live, rate=fx.RATE)
     job = found.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(sink)
     job.awaitTermination()
-    return spark.read.schema(stream.OUTPUT).parquet(sink).select("track_id", rnd("t").alias("t"))
+    return spark.read.schema(stream.OUTPUT).parquet(sink).filter("kind = 'beat'").select("track_id", "epoch", rnd("t").alias("t"))
+
+
+def stream_places(spark):
+    return [new_path(spark, p) for p in ("chunks", "stream-beats", "stream-state")]
 
 
 @query("k1_chunk_stream", K1)
 def k1(spark, sf):
     """Chunks as a file stream, detected with keyed state, collected by an available-now run."""
-    return run_stream(spark, fx.chunks(spark, sf), *[new_path(spark, p) for p in ("chunks", "stream-beats", "stream-state")])
+    return run_stream(spark, fx.chunks(spark, sf).withColumn("epoch", F.lit(0).cast("long")), *stream_places(spark)).drop("epoch")
 
 
-@query("k2_stream_reset", f"WITH once AS ({K1}) SELECT * FROM once UNION ALL SELECT * FROM once")
+@query("k2_stream_reset", f"WITH once AS ({K1}) SELECT track_id, CAST(unnest([0, 1, 2]) AS BIGINT) AS epoch, t FROM once")
 def k2(spark, sf):
-    """The same chunks before and after a reset give the same beats twice."""
-    places = [new_path(spark, p) for p in ("chunks", "stream-beats", "stream-state")]
+    """The same chunks in three epochs, two of them in one batch, give the same beats in each."""
+    data, places = stage(fx.chunks(spark, sf), "chunks"), stream_places(spark)
+    both = data.withColumn("epoch", F.explode(F.expr("array(1L, 0L)")))
+    run_stream(spark, both, *places)
+    return run_stream(spark, data.withColumn("epoch", F.lit(2).cast("long")), *places)
+
+
+# The last 100 samples once more as chunk -1, for the beats behind the last cut
+K3 = K1.replace(
+    "samples AS (SELECT track_id || '/' || c AS track_id, idx, v FROM bl WHERE n >= 100)",
+    "ct AS (SELECT track_id, count(*) AS total, CASE WHEN total % 100 = 0 OR total % 100 >= 80 THEN total - 20 ELSE total // 100 * 100 - 20 END AS done FROM raw GROUP BY 1), "
+    "samples AS (SELECT track_id || '/' || c AS track_id, idx, v FROM bl WHERE n >= 100 UNION ALL SELECT track_id || '/-1', idx - (total - 100), v FROM raw JOIN ct USING (track_id) WHERE idx >= total - 100)",
+)
+K3 = K3.replace("FROM em WHERE t <", "FROM em WHERE c >= 0 AND t <") + f" UNION ALL SELECT track_id, {r('t + (total - 100) / CAST(200 AS DOUBLE)')} AS t FROM em JOIN ct USING (track_id) WHERE c = -1 AND t >= (done - (total - 100)) / CAST(200 AS DOUBLE)"
+
+
+@query("k3_stream_flush", K3)
+def k3(spark, sf):
+    """Chunks and an end mark for every track: the beats of the last samples come out as well."""
     data = stage(fx.chunks(spark, sf), "chunks")
-    empty = F.array().cast("array<double>")
-    reset = data.select("track_id").distinct().select("track_id", F.lit(-1).cast("long").alias("chunk_no"), empty.alias("samples"))
-    for part in (data, reset):
-        run_stream(spark, part, *places)
-    return run_stream(spark, data, *places)
+    ends = data.groupBy("track_id").agg((F.max("chunk_no") + 1).alias("chunk_no")).withColumn("samples", F.lit(None).cast("array<double>"))
+    marked = data.unionByName(ends).withColumn("epoch", F.lit(0).cast("long"))
+    return run_stream(spark, marked, *stream_places(spark)).drop("epoch")
 
 
 # ---- L --------------------------------------------------------------------------------------

@@ -188,7 +188,7 @@ def _chunk_entries(
     return map_runs(placed, [*keys, "_link"], ["_chunk", "entry"], keys, walk_chunks, T.StructType([chunk, state]))
 
 
-def _next_allowed(at: np.ndarray, gap: float) -> np.ndarray:
+def next_allowed(at: np.ndarray, gap: float) -> np.ndarray:
     """For each position the index of the first later one at least ``gap`` away."""
     nxt = np.maximum(np.searchsorted(at, at + gap, side="left"), np.arange(len(at)) + 1)
     # at + gap rounds; settle the comparison the operator defines: at[j] - at[i] >= gap
@@ -244,7 +244,7 @@ def minimum_gap(
 
     def summarise(run: Run) -> list[tuple[float, float]]:
         _, pos, own = split(run)
-        nxt = _next_allowed(pos, gap)
+        nxt = next_allowed(pos, gap)
         last = np.arange(len(pos))
         for i in range(len(pos) - 1, own - 1, -1):
             if nxt[i] < len(pos):
@@ -260,7 +260,7 @@ def minimum_gap(
 
     def emit(run: Run, entry: float) -> Run:
         index, pos, own = split(run)
-        nxt = _next_allowed(pos, gap).tolist()
+        nxt = next_allowed(pos, gap).tolist()
         keep, i = [], _first_own(pos, own, entry, gap)
         while i < len(pos):
             keep.append(i)
