@@ -15,8 +15,9 @@ from pulsegrid.llm.common import prepare, text_slices
 
 BITS = 15  # 2 ** BITS hashed n-gram features
 ORDERS = (1, 2, 3)
-ROWS_PER_LANGUAGE = 1_000  # about so many rows of each language fit the model
-MAX_ROWS = 20_000  # and so many in all at most
+ROWS_PER_LANGUAGE = 400  # about so many rows of each language fit the model
+MAX_ROWS = 8_000  # and so many in all at most
+SLICE = 1 << 20  # bytes of text whose n-grams are held at once
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
@@ -38,7 +39,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letter_table()[points]
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letters = np.bincount(owner, letter, len(texts)).astype(np.int64)
     points = np.where(letter, points, 32).astype(np.uint32)
     keep = letter.copy()
@@ -104,7 +105,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width + 1, np.int64)
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, "text", SLICE):
                 own = texts.to_pylist()
                 for at in range(0, len(own), 256):
                     part = own[at : at + 256]
@@ -133,7 +134,7 @@ def sampled_rows(docs: DataFrame, rows_per_language: int, max_rows: int) -> list
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, "text", SLICE):
                 for k, text in enumerate(texts.to_pylist()):
                     code, _, letters = features([text])
                     if letters[0]:
@@ -192,7 +193,7 @@ def temperature_of(logits: np.ndarray, truth: np.ndarray) -> float:
     """The divisor of the logits with the least log loss."""
     if not len(truth):
         return 1.0
-    tried = np.exp(np.linspace(np.log(0.05), np.log(20.0), 121))
+    tried = np.exp(np.linspace(np.log(0.25), np.log(20.0), 121))
     losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-300)).mean() for t in tried]
     return float(tried[int(np.argmin(losses))])
 
@@ -210,7 +211,7 @@ def classify(docs: DataFrame, model: LanguageModel, out: str = "_language") -> D
             column = pa.array(series.where(series.notna(), ""), pa.string())
             names: list[str] = []
             scores: list[np.ndarray] = []
-            for _, part in text_slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
+            for _, part in text_slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", SLICE):
                 name, score = shared.value.predict(part.to_pylist())
                 names += name
                 scores.append(score)
