@@ -188,8 +188,12 @@ J3 = (
 )
 
 
+def onset_of(samples):
+    return detect.onset_beats(samples, in_rate=fx.RATE, rate=100, n_fft=32, hop=8)
+
+
 def onset(spark, sf):
-    return detect.onset_beats(fx.samples(spark, sf), in_rate=fx.RATE, rate=100, n_fft=32, hop=8)
+    return onset_of(fx.samples(spark, sf))
 
 
 @query("j3_onset_beats", with_views("samples", f"WITH {J3} SELECT track_id, beat_idx, {r('t')} AS t FROM beats", recursive=True))
@@ -234,17 +238,32 @@ def j4_tempo(spark, sf):
     return tempo.median_bpm(beats).select("track_id", rnd("bpm").alias("bpm"))
 
 
-def separated_energy(samples):
-    return f"WITH RECURSIVE raw AS ({VIEWS['samples']}), {separation_sql(512)}, samples AS ({samples}), {J1}"
+def separated(samples, detector):
+    parts = f"WITH RECURSIVE raw AS ({VIEWS['samples']}), {separation_sql(512)}, samples AS ({samples}), "
+    return parts.replace("raw", "plain_samples") + detector
+
 
+DRUMS = "SELECT track_id, idx, v FROM sep WHERE stem = 'drums'"
 
-@query("j5_stem_detector", separated_energy("SELECT track_id, idx, v FROM sep WHERE stem = 'drums'") + f" SELECT track_id, beat_idx, {r('t')} AS t FROM jb")
+
+@query("j5_stem_detector", separated(DRUMS, J1) + f" SELECT track_id, beat_idx, {r('t')} AS t FROM jb")
 def j5(spark, sf):
     beats = detect.stem_detector(fx.samples(spark, sf), length=512, detector=lambda s: detect.energy_beats(s, rate=fx.RATE))
     return timed(beats, "track_id")
 
 
-@query("j5_per_stem_detector", separated_energy("SELECT track_id || '/' || stem AS track_id, idx, v FROM sep") + f" SELECT split_part(track_id, '/', 1) AS track_id, split_part(track_id, '/', 2) AS stem, beat_idx, {r('t')} AS t FROM jb")
+@query("j5_stem_onset", separated(DRUMS, J3) + f" SELECT track_id, beat_idx, {r('t')} AS t FROM beats")
+def j5_onset(spark, sf):
+    return timed(detect.stem_detector(fx.samples(spark, sf), length=512, detector=onset_of), "track_id")
+
+
+@query("j5_stem_model", separated(DRUMS, J4) + f" SELECT track_id, beat_idx, {r('t')} AS t FROM jb")
+def j5_model(spark, sf):
+    beats = detect.stem_detector(fx.samples(spark, sf), length=512, detector=lambda s: detect.model_beats(s, in_rate=fx.RATE, threshold=0.4, **J4_ARGS))
+    return timed(beats, "track_id")
+
+
+@query("j5_per_stem_detector", separated("SELECT track_id || '/' || stem AS track_id, idx, v FROM sep", J1) + f" SELECT split_part(track_id, '/', 1) AS track_id, split_part(track_id, '/', 2) AS stem, beat_idx, {r('t')} AS t FROM jb")
 def j5_stems(spark, sf):
     keys = ["track_id", "stem"]
     beats = detect.stem_detector(fx.samples(spark, sf), length=512, per_stem=True, detector=lambda s: detect.energy_beats(s, rate=fx.RATE, keys=keys))

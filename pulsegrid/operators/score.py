@@ -120,9 +120,11 @@ def separate(samples: DataFrame, separator: Callable[[np.ndarray], np.ndarray] |
             for i, name in enumerate(STEMS)
         ])
 
-    parts = cut.groupBy("track_id", "seg").applyInPandas(run, schema)
+    # written once: the overlap-add and the limit read it several times, and the separator may be costly
+    parts = stage(cut.groupBy("track_id", "seg").applyInPandas(run, schema), "stems")
     keyed = parts.withColumn("track_id", F.struct("track_id", "stem")).drop("stem")
-    joined = segments.overlap_add(keyed, length=length).select(F.col("track_id.track_id").alias("track_id"), F.col("track_id.stem").alias("stem"), "idx", "v")
+    merged = segments.overlap_add(keyed, length=length).select(F.col("track_id.track_id").alias("track_id"), F.col("track_id.stem").alias("stem"), "idx", "v")
+    joined = stage(merged, "separated")
     return signal.peak_limit(joined, keys=["track_id", "stem"]) if limit else joined
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -218,35 +218,35 @@ def spectrum(frames: DataFrame, *, kind: str = "magnitude", windowed: bool = Tru
     return frames.mapInArrow(run, schema)
 
 
-def stft(
-    samples: DataFrame, *, length: int, hop: int, kind: str = "magnitude", keys: Sequence[str] = TRACK, per_block: int = 512, pad: bool = False
+def _per_block(
+    samples: DataFrame, fields: list[T.StructField], fn: Callable[[np.ndarray, bool], dict], *, length: int, hop: int, kind: str,
+    keys: Sequence[str], per_block: int, pad: bool, lead: int = 0,
 ) -> DataFrame:
-    """B7, B8 and B10 in one pass: (track, frame_idx, mag).
+    """B7, B8 and B10 in one pass: ``fn`` turns the spectra of a block of frames into columns, one value per own frame.
 
-    Samples are shuffled once by (track, block of frames); a block holds ``per_block`` frames
-    plus the overlap, whatever the track length. ``pad`` keeps one zero-padded frame for
-    tracks shorter than a frame.
+    Samples are shuffled once by (track, block of frames); a block holds ``per_block`` frames plus the overlap, whatever
+    the track length, and ``lead`` frames of the block before. ``fn`` gets all of them and whether it is the first block,
+    which has no lead. ``pad`` keeps one zero-padded frame for tracks shorter than a frame.
     """
     keys = list(keys)
     stride = per_block * hop
     reach = (per_block - 1) * hop + length
     low = F.greatest(F.ceil((F.col("idx") - (reach - 1)) / F.lit(stride)), F.lit(0)).cast("long")
-    high = F.expr(f"idx div {stride}")
+    high = F.expr(f"(idx + {lead * hop}) div {stride}")
     blocks = samples.withColumn("_block", F.explode(F.when(low <= high, F.sequence(low, high))))
-    schema = T.StructType(
-        [samples.schema[k] for k in keys] + [T.StructField("frame_idx", T.LongType()), T.StructField("mag", T.ArrayType(T.DoubleType()))]
-    )
+    schema = T.StructType([samples.schema[k] for k in keys] + [T.StructField("frame_idx", T.LongType())] + fields)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(key[-1])
         values = pdf.sort_values("idx")["v"].to_numpy(dtype=float)
         if pad and block == 0 and len(values) < length:
             values = np.concatenate([values, np.zeros(length - len(values))])
-        if len(values) < length:
+        borrowed = lead if block else 0
+        if len(values) < length + borrowed * hop:
             return pd.DataFrame({name: pd.Series([], dtype=object) for name in schema.names})
-        rows = np.lib.stride_tricks.sliding_window_view(values, length)[::hop][:per_block]
-        mags = _fft(rows, kind, True)
-        out = pd.DataFrame({"frame_idx": block * per_block + np.arange(len(mags)), "mag": list(mags)})
+        rows = np.lib.stride_tricks.sliding_window_view(values, length)[::hop][: per_block + borrowed]
+        made = fn(_fft(rows, kind, True), block == 0)
+        out = pd.DataFrame({"frame_idx": block * per_block + np.arange(len(rows) - borrowed), **made})
         for name, value in reversed(list(zip(keys, key))):
             out.insert(0, name, value)
         return out
@@ -254,6 +254,43 @@ def stft(
     return blocks.groupBy(*keys, "_block").applyInPandas(run, schema)
 
 
+def stft(
+    samples: DataFrame, *, length: int, hop: int, kind: str = "magnitude", keys: Sequence[str] = TRACK, per_block: int = 512, pad: bool = False
+) -> DataFrame:
+    """Spectra: (track, frame_idx, mag)."""
+    fields = [T.StructField("mag", T.ArrayType(T.DoubleType()))]
+    return _per_block(samples, fields, lambda mags, first: {"mag": list(mags)}, length=length, hop=hop, kind=kind, keys=keys, per_block=per_block, pad=pad)
+
+
+def stft_flux(samples: DataFrame, *, length: int, hop: int, keys: Sequence[str] = TRACK, per_block: int = 512) -> DataFrame:
+    """C3 on samples: (track, frame_idx, v). The spectra never leave the task that made them."""
+
+    def flux(mags: np.ndarray, first: bool) -> dict:
+        before = np.vstack([np.zeros(mags.shape[1]), mags[:-1]]) if first else mags[:-1]
+        return {"v": np.maximum((mags if first else mags[1:]) - before, 0.0).sum(axis=1)}
+
+    return _per_block(samples, [T.StructField("v", T.DoubleType())], flux, length=length, hop=hop, kind="magnitude", keys=keys, per_block=per_block, pad=False, lead=1)
+
+
+def stft_mel(samples: DataFrame, bank: DataFrame, *, length: int, hop: int, keys: Sequence[str] = TRACK, per_block: int = 512) -> DataFrame:
+    """B10 and B12 on samples: (track, frame_idx, mel array) of padded tracks, as one matrix product per block."""
+    weights = bank_matrix(bank)
+    fields = [T.StructField("mel", T.ArrayType(T.DoubleType()))]
+    return _per_block(samples, fields, lambda power, first: {"mel": list(_log_mel(power, weights))}, length=length, hop=hop, kind="power", keys=keys, per_block=per_block, pad=True)
+
+
+def bank_matrix(bank: DataFrame) -> np.ndarray:
+    """The filterbank as a (bins, bands) array; its size is set by parameters."""
+    rows = bank.toPandas()
+    out = np.zeros((int(rows["bin"].max()) + 1, int(rows["mel"].max()) + 1))
+    out[rows["bin"], rows["mel"]] = rows["weight"]
+    return out
+
+
+def _log_mel(power: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(power @ weights[: power.shape[1]], 1e-10))
+
+
 def mel_filterbank(spark: SparkSession, *, rate: int, n_mels: int, n_fft: int, fmin: float, fmax: float) -> DataFrame:
     """(mel, bin, weight). Its size is fixed by ``n_mels`` and ``n_fft``."""
 
@@ -284,17 +321,25 @@ def mel_filterbank(spark: SparkSession, *, rate: int, n_mels: int, n_fft: int, f
 def mel_project(power: DataFrame, bank: DataFrame, *, n_mels: int, keys: Sequence[str] = TRACK, mag: str = "mag") -> DataFrame:
     """(track, frame_idx, mel, v) with v = ln(max(sum(power * weight), 1e-10)).
 
-    ``bank`` has at most n_mels * bins rows, set by parameters, so it is always broadcast.
-    Bands without any bin still give a row at the floor.
+    One matrix product per Arrow batch, no shuffle. ``bank`` has at most n_mels * bins rows, set by parameters. Bands
+    without any bin still give a row at the floor.
     """
-    lines = power.select(*keys, "frame_idx", F.posexplode(mag).alias("bin", "p"))
-    used = bank.filter("weight > 0").select("mel", F.col("bin").cast("int").alias("bin"), "weight")
-    sums = lines.join(F.broadcast(used), "bin").groupBy(*keys, "frame_idx", "mel").agg(F.sum(F.col("p") * F.col("weight")).alias("e"))
-    packed = sums.groupBy(*keys, "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("mel", "e"))).alias("m"))
-    full = power.select(*keys, "frame_idx").join(packed, [*keys, "frame_idx"], "left")
-    each = full.withColumn("mel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_mels - 1).cast("long"))))
-    energy = F.coalesce(F.try_element_at("m", F.col("mel")), F.lit(0.0))
-    return each.select(*keys, "frame_idx", "mel", F.log(F.greatest(energy, F.lit(1e-10))).alias("v"))
+    weights = bank_matrix(bank)
+    kept = [*keys, "frame_idx"]
+    schema = T.StructType([power.schema[k] for k in kept] + [T.StructField("mels", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            column = batch.column(len(kept))
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            offsets = pa.array(np.arange(0, (batch.num_rows + 1) * n_mels, n_mels, dtype=np.int32))
+            mels = pa.ListArray.from_arrays(offsets, pa.array(_log_mel(values, weights).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], mels], names=[*kept, "mels"])
+
+    projected = power.select(*kept, mag).mapInArrow(run, schema)
+    return projected.select(*kept, F.posexplode("mels").alias("mel", "v")).withColumn("mel", F.col("mel").cast("long"))
 
 
 # ---- bands and overviews --------------------------------------------------------------------

@@ -81,7 +81,7 @@ def energy_tempo(samples: DataFrame, *, rate: int, sensitivity: float = 0.5, key
 
 def flux_envelope(samples: DataFrame, *, window: int, hop: int, sigma: float, keys: Sequence[str] = TRACK) -> DataFrame:
     """J2 up to the smoothed envelope: spectra, flux, z-score, Gaussian smoothing."""
-    flux = envelope.spectral_flux(signal.stft(samples, length=window, hop=hop, keys=keys), keys=keys)
+    flux = signal.stft_flux(samples, length=window, hop=hop, keys=keys)
     scored = envelope.z_normalise(stage(flux, "flux"), keys=keys)
     return envelope.gaussian_smooth(scored, sigma=sigma, keys=keys)
 
@@ -108,7 +108,7 @@ def onset_beats(
     """
     keys = list(keys)
     slow = signal.resample_antialias(samples, in_rate=in_rate, out_rate=rate, keys=keys)
-    flux = stage(envelope.spectral_flux(signal.stft(slow, length=n_fft, hop=hop, keys=keys), keys=keys), "flux")
+    flux = stage(signal.stft_flux(slow, length=n_fft, hop=hop, keys=keys), "flux")
     env = stage(envelope.local_maximum(envelope.max_normalise(flux, keys=keys), keys=keys, rule="flat_right"), "onset")
     limits = stage(envelope.iqr_threshold(env, keys=keys), "limits")
     loud = env.filter("is_peak").join(limits, keys).filter(F.col("v") > F.col("threshold"))
@@ -147,11 +147,8 @@ def log_mel(
     keys = list(keys)
     if in_rate != rate:
         samples = signal.resample_linear(samples, in_rate=in_rate, out_rate=rate, keys=keys)
-    power = signal.stft(samples, length=n_fft, hop=hop, kind="power", keys=keys, pad=True)
     bank = signal.mel_filterbank(samples.sparkSession, rate=rate, n_mels=n_mels, n_fft=n_fft, fmin=fmin, fmax=fmax)
-    lines = signal.mel_project(power, bank, n_mels=n_mels, keys=keys)
-    packed = lines.groupBy(*keys, "frame_idx").agg(F.array_sort(F.collect_list(F.struct("mel", "v"))).alias("m"))
-    return packed.select(*keys, "frame_idx", F.transform("m", lambda s: s["v"]).alias("mel"))
+    return signal.stft_mel(samples, bank, length=n_fft, hop=hop, keys=keys)
 
 
 def model_beats(
