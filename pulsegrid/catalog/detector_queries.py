@@ -219,9 +219,12 @@ def j3(spark, sf):
 J4_ARGS = dict(rate=200, hop=8, n_mels=6, n_fft=32, fmin=5.0, fmax=100.0)
 
 
-J4 = (
+J4_MEL = (
     framed(32, 8, "pad") + ", fr AS (SELECT track_id, frame_idx, pos AS n, v FROM framed), " + spec("{p}", "17", 32, "fr", HANN32) + ", " + mel_sql(200, 6, 32, 5.0, 100.0)
-    + ", ml AS (SELECT track_id, frame_idx, mel AS bin, ln(greatest(sum(mag * weight), 1e-10)) AS mag FROM spec JOIN bank USING (bin) GROUP BY 1, 2, 3), " + FLUX.replace("FROM spec", "FROM ml")
+    + ", ml AS (SELECT track_id, frame_idx, mel AS bin, ln(greatest(sum(mag * weight), 1e-10)) AS mag FROM spec JOIN bank USING (bin) GROUP BY 1, 2, 3), "
+)
+J4 = (
+    J4_MEL + FLUX.replace("FROM spec", "FROM ml")
     + f", {NORM_ACT}, {peaks_sql('act', 0.4, 'flat_left', 0.27, 25)}, jb AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS beat_idx, frame_idx / CAST(25 AS DOUBLE) AS t FROM kept)"
 )
 
@@ -243,6 +246,35 @@ def separated(samples, detector):
     return parts.replace("raw", "plain_samples") + detector
 
 
+HEAD_LEVELS = {"beat": 0.4, "downbeat": 0.3, "segment": 0.2}
+
+
+def heads(spark, sf):
+    return detect.model_analysis(fx.samples(spark, sf), in_rate=fx.RATE, thresholds=HEAD_LEVELS, **J4_ARGS)
+
+
+J4_DOWN = J4_MEL + FLUX.replace("FROM spec", "FROM (SELECT * FROM ml WHERE bin < 3)") + f", {NORM_ACT}, {peaks_sql('act', 0.3, 'flat_left', 0.54, 25)}"
+
+
+@query("j4_downbeats", with_views("samples", f"WITH {J4_DOWN} SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS beat_idx, {r('frame_idx / CAST(25 AS DOUBLE)')} AS t FROM kept", recursive=True))
+def j4_downbeats(spark, sf):
+    return timed(heads(spark, sf)["downbeats"], "track_id")
+
+
+J4_SEG = (
+    J4_MEL + FLUX.replace("FROM spec", "FROM ml").replace("greatest(d, 0)", "abs(d)") + f", {NORM_ACT}, {peaks_sql('act', 0.2, 'flat_left', 1.0, 25)}, "
+    "sg AS (SELECT track_id, frame_idx, row_number() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS seg_idx, lead(frame_idx) OVER (PARTITION BY track_id ORDER BY frame_idx) AS nf FROM kept), "
+    "hs AS (SELECT track_id, frame_idx, list(mag ORDER BY bin) AS h FROM ml GROUP BY 1, 2), ds AS (SELECT track_id, count(*) / CAST(200 AS DOUBLE) AS duration FROM samples GROUP BY 1), "
+    "lb AS (SELECT s.*, h, duration FROM sg s JOIN ds USING (track_id) JOIN hs ON hs.track_id = s.track_id AND hs.frame_idx = CAST(floor(s.frame_idx / CAST(25 AS DOUBLE) * 25) AS BIGINT))"
+)
+
+
+@query("j4_segments", with_views("samples", f"WITH {J4_SEG} SELECT track_id, seg_idx, {r('frame_idx / CAST(25 AS DOUBLE)')} AS start_s, {r('coalesce(nf / CAST(25 AS DOUBLE), duration)')} AS end_s, "
+       f"{LABEL_LIST}[list_position(h, list_max(h))] AS label, {r('1 / (1 + exp(-list_max(h)))')} AS confidence FROM lb", recursive=True))
+def j4_segments(spark, sf):
+    return heads(spark, sf)["segments"].select("track_id", "seg_idx", "label", *[rnd(c).alias(c) for c in ("start_s", "end_s", "confidence")])
+
+
 DRUMS = "SELECT track_id, idx, v FROM sep WHERE stem = 'drums'"
 
 

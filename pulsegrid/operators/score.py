@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 from pulsegrid.operators import envelope, segments, signal
 from pulsegrid.operators.carry import minimum_gap
 from pulsegrid.operators.lookup import segment_labels
-from pulsegrid.operators.sequence import TRACK, running_sum
+from pulsegrid.operators.sequence import TRACK, running_sum, with_stats
 from pulsegrid.session import stage
 
 Scorer = Callable[[np.ndarray], np.ndarray]
+HeadScorer = Callable[[np.ndarray], dict[str, np.ndarray]]
+HEADS = ["beat", "downbeat", "segment"]
 
 THRESHOLDS = {"beat": 0.7, "downbeat": 0.7, "segment": 0.5}  # fixed: default activation thresholds
 MIN_INTERVAL = {"beat": 0.27, "downbeat": 0.54, "segment": 1.0}  # fixed: seconds
@@ -32,21 +34,22 @@ def flux_scorer(rows: np.ndarray) -> np.ndarray:
     return np.maximum(np.diff(rows, axis=0), 0.0).sum(axis=1)
 
 
-def score_frames(
-    mel: DataFrame, scorer: Scorer | None = None, *, keys: Sequence[str] = TRACK, x: str = "mel", per_block: int = 2048, context: int = 1
-) -> DataFrame:
-    """(keys, frame_idx, v) from a scorer applied to blocks of frames.
+def flux_heads(rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Default scorer with all heads: rise for beats, rise of the lower half for downbeats, change for segments, bands as classes."""
+    change = np.diff(rows, axis=0)
+    rise = np.maximum(change, 0.0)
+    return {"beat": rise.sum(axis=1), "downbeat": rise[:, : rows.shape[1] // 2].sum(axis=1), "segment": np.abs(change).sum(axis=1), "classes": rows[1:]}
 
-    A block carries ``context`` frames before it (zeros at the track start), so any scorer
-    with a bounded look-back gives the same result for every block size. The scorer gets
-    (context + frames) rows and returns one activation per frame after the context.
-    """
-    scorer = scorer or flux_scorer
+
+def _score_blocks(
+    mel: DataFrame, fields: list[T.StructField], fn: Callable[[np.ndarray], dict], *, keys: Sequence[str], x: str, per_block: int, context: int
+) -> DataFrame:
+    """Columns that ``fn`` makes of blocks of frames, each with ``context`` frames before it (zeros at the track start)."""
     keys = list(keys)
     home = F.expr(f"frame_idx div {per_block}")
     spill = F.when(F.col("frame_idx") % per_block >= per_block - context, home + 1)
     blocks = mel.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(home, spill))))
-    schema = T.StructType([mel.schema[k] for k in keys] + [T.StructField("frame_idx", T.LongType()), T.StructField("v", T.DoubleType())])
+    schema = T.StructType([mel.schema[k] for k in keys] + [T.StructField("frame_idx", T.LongType())] + fields)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
@@ -55,7 +58,8 @@ def score_frames(
         if borrowed == len(rows):
             return pd.DataFrame({name: pd.Series([], dtype=object) for name in schema.names})
         rows = np.concatenate([np.zeros((context - borrowed, rows.shape[1])), rows])
-        out = pd.DataFrame({"frame_idx": pdf["frame_idx"].to_numpy()[borrowed:], "v": scorer(rows)})
+        made = {name: list(v) if v.ndim > 1 else v for name, v in fn(rows).items()}
+        out = pd.DataFrame({"frame_idx": pdf["frame_idx"].to_numpy()[borrowed:], **made})
         for name, value in reversed(list(zip(keys, key))):
             out.insert(0, name, value)
         return out
@@ -63,6 +67,36 @@ def score_frames(
     return blocks.groupBy(*keys, "_block").applyInPandas(run, schema)
 
 
+def score_frames(
+    mel: DataFrame, scorer: Scorer | None = None, *, keys: Sequence[str] = TRACK, x: str = "mel", per_block: int = 2048, context: int = 1
+) -> DataFrame:
+    """I1, one head: (keys, frame_idx, v) from a scorer applied to blocks of frames.
+
+    A block carries ``context`` frames before it (zeros at the track start), so any scorer
+    with a bounded look-back gives the same result for every block size. The scorer gets
+    (context + frames) rows and returns one activation per frame after the context.
+    """
+    scorer = scorer or flux_scorer
+    return _score_blocks(mel, [T.StructField("v", T.DoubleType())], lambda rows: {"v": scorer(rows)}, keys=keys, x=x, per_block=per_block, context=context)
+
+
+def score_heads(
+    mel: DataFrame, scorer: HeadScorer | None = None, *, keys: Sequence[str] = TRACK, x: str = "mel", per_block: int = 2048, context: int = 1
+) -> DataFrame:
+    """I1, all heads: (keys, frame_idx, beat, downbeat, segment, classes).
+
+    The scorer returns a dictionary of these names: one activation per frame for the first three, one row of class
+    scores per frame for ``classes``. What it returns is passed on as it is. The built-in scorer has no scale of its
+    own, so its activations are divided by their maximum in the track.
+    """
+    fields = [T.StructField(h, T.DoubleType()) for h in HEADS] + [T.StructField("classes", T.ArrayType(T.DoubleType()))]
+    raw = _score_blocks(mel, fields, scorer or flux_heads, keys=keys, x=x, per_block=per_block, context=context)
+    if scorer is not None:
+        return raw
+    scaled = with_stats(stage(raw, "heads"), list(keys), **{f"_{h}": F.max(h) for h in HEADS})
+    return scaled.withColumns({h: F.when(F.col(f"_{h}") > 0, F.col(h) / F.col(f"_{h}")).otherwise(F.col(h)) for h in HEADS}).drop(*[f"_{h}" for h in HEADS])
+
+
 def activation_peaks(
     activation: DataFrame, kind: str, *, frame_rate: float, threshold: float | None = None, keys: Sequence[str] = TRACK, value: str = "v"
 ) -> DataFrame:

@@ -164,6 +164,24 @@ def model_beats(
     return peaks.withColumnRenamed("seg_idx", "beat_idx")
 
 
+def model_analysis(
+    samples: DataFrame, *, in_rate: int, scorer: score.HeadScorer | None = None, thresholds: dict[str, float] | None = None, rate: int = 22_050,
+    hop: int = 441, **mel,
+) -> dict[str, DataFrame]:
+    """J4 with all heads: ``beats``, ``downbeats`` and labelled ``segments`` from one scoring of the track."""
+    spectra = log_mel(samples, in_rate=in_rate, rate=rate, hop=hop, **mel)
+    scored = stage(score.score_heads(spectra, scorer), "scores")
+    levels, frames = {**score.THRESHOLDS, **(thresholds or {})}, rate / hop
+
+    def head(name: str) -> DataFrame:
+        return scored.select("track_id", "frame_idx", F.col(name).alias("v"))
+
+    durations = samples.groupBy("track_id").agg(((F.max("idx") + 1) / F.lit(float(in_rate))).alias("duration"))
+    classes = scored.select("track_id", "frame_idx", F.col("classes").alias("x"))
+    found = {f"{h}s": score.activation_peaks(head(h), h, frame_rate=frames, threshold=levels[h]).withColumnRenamed("seg_idx", "beat_idx") for h in ("beat", "downbeat")}
+    return {**found, "segments": score.labelled_segments(head("segment"), classes, durations, frame_rate=frames, threshold=levels["segment"])}
+
+
 def stem_detector(samples: DataFrame, *, length: int, detector: Callable[[DataFrame], DataFrame], per_stem: bool = False) -> DataFrame:
     """Separate, then detect on the drums, or on every stem with ``stem`` as one more key."""
     stems = score.separate(samples, length=length)
