@@ -106,11 +106,19 @@ def i3(spark, sf):
     return score.separate(fx.samples(spark, sf), length=256).select("track_id", "stem", "idx", rnd("v").alias("v"))
 
 
-@query("i3_separation_mix", with_views("samples", f"WITH n AS (SELECT track_id, idx, v, count(*) OVER (PARTITION BY track_id) AS n FROM samples) SELECT track_id, count(*) AS n, {r('sum(abs(v)) FILTER (idx >= 64 AND idx < 192)', 5)} AS level FROM n GROUP BY 1"))
+MIX = (
+    "WITH sg AS (SELECT track_id, seg, idx - seg * 192 AS pos, v FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((idx - 255) / 192.0) AS BIGINT)), idx // 192 + 1)) AS seg FROM samples)), "
+    "z AS (SELECT *, max(pos) OVER (PARTITION BY track_id, seg) + 1 AS len FROM sg), "
+    "w AS (SELECT *, seg * 192 + pos AS idx, CASE WHEN seg > 0 AND pos < 64 THEN pos / 64.0 * CASE WHEN len >= 64 AND pos >= len - 64 THEN (len - 1 - pos) / 64.0 ELSE 1.0 END END AS wt FROM z), "
+    "mx AS (SELECT track_id, idx, CASE WHEN arg_max(coalesce(wt, -1), seg) < 0 THEN arg_max(v, seg) ELSE arg_min(v, seg) * (1 - arg_max(wt, seg)) + arg_max(v, seg) * arg_max(wt, seg) END AS v FROM w GROUP BY 1, 2) "
+)
+
+
+@query("i3_separation_mix", with_views("samples", MIX + f"SELECT track_id, count(*) AS n, {r('sum(abs(v))', 5)} AS level FROM mx GROUP BY 1"))
 def i3_mix(spark, sf):
-    """The four bands add up to the signal where no segment is blended."""
+    """The four bands add up to the blended segments of the signal itself."""
     mix = signal.stem_mix(score.separate(fx.samples(spark, sf), length=256, limit=False))
-    return mix.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum(F.when((F.col("idx") >= 64) & (F.col("idx") < 192), F.abs("v"))), 5).alias("level"))
+    return mix.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum(F.abs("v")), 5).alias("level"))
 
 
 def by_stem(sql):
@@ -377,10 +385,11 @@ def l1(spark, sf):
     return quality.not_ascending(coarse).select("track_id", "beat_idx", rnd("t").alias("t"))
 
 
-@query("l2_beats_without_bpm", with_views("beats", "SELECT track_id, count(*) AS n_beats FROM beats WHERE track_id % 4 > 0 OR beat_idx = 0 GROUP BY 1 HAVING count(*) < 2"))
+@query("l2_beats_without_bpm", with_views("beats", "SELECT track_id, count(*) AS n_beats FROM (SELECT CASE WHEN track_id % 4 = 0 THEN track_id * 1000000 + beat_idx ELSE track_id END AS track_id FROM beats) GROUP BY 1 HAVING count(*) < 2"))
 def l2(spark, sf):
-    few = fx.beats(spark, sf).filter("track_id % 4 > 0 OR beat_idx = 0")
-    return quality.beats_without_bpm(tempo.grid_summary(few)).select("track_id", "n_beats")
+    # every beat of each fourth track becomes a track of its own
+    parted = fx.beats(spark, sf).selectExpr("CASE WHEN track_id % 4 = 0 THEN track_id * 1000000 + beat_idx ELSE track_id END AS track_id", "CASE WHEN track_id % 4 = 0 THEN 0L ELSE beat_idx END AS beat_idx", "t")
+    return quality.beats_without_bpm(tempo.grid_summary(parted)).select("track_id", "n_beats")
 
 
 @query("l3_peaks_out_of_range", with_views("samples", f"SELECT track_id, idx AS bucket, {r('abs(v) * 12')} AS peak FROM samples WHERE abs(v) * 12 > 1"))

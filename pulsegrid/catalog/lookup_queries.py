@@ -199,11 +199,10 @@ def g5(spark, sf):
     return out.select("track_id", "region_id", "effect", rnd("start_s").alias("start_s"), rnd("end_s").alias("end_s"))
 
 
-@query("g6_first_region_bounds", with_views("tracks regions", f"WITH {SEL}, f AS (SELECT track_id, arg_min(start_s, region_id) AS s, arg_min(end_s, region_id) AS e FROM regions WHERE enabled AND start_s < 3 GROUP BY 1) "
+@query("g6_first_region_bounds", with_views("tracks regions", f"WITH {SEL}, f AS (SELECT track_id, arg_min(start_s, region_id) AS s, arg_min(end_s, region_id) AS e FROM regions GROUP BY 1) "
        f"SELECT track_id, {r('coalesce(greatest(0.0, s - sel_start), 0.0)')} AS effect_start, {r('coalesce(e - sel_start, -1.0)')} AS effect_end FROM sel LEFT JOIN f USING (track_id)"))
 def g6(spark, sf):
-    few = fx.regions(spark, sf).filter("enabled AND start_s < 3")
-    out = timeline.first_region_bounds(selection(spark, sf), few)
+    out = timeline.first_region_bounds(selection(spark, sf), fx.regions(spark, sf))
     return out.select("track_id", rnd("effect_start").alias("effect_start"), rnd("effect_end").alias("effect_end"))
 
 

@@ -105,10 +105,12 @@ def b8(spark, sf):
     return rows.select("track_id", "frame_idx", F.col("pos").cast("long").alias("pos"), rnd(F.col("v") * signal.hann(F.col("pos"), 64)).alias("v"))
 
 
-@query("b9_zero_pad", "SELECT doc_id, CAST(pow(2, ceil(log2(greatest(len(string_split(text, ' ')), 1)))) AS BIGINT) AS padded, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents")
+@query("b9_zero_pad", "SELECT doc_id, CAST(pow(2, ceil(log2(greatest(len(string_split(text, ' ')), 1)))) AS BIGINT) AS padded, CAST(len(string_split(text, ' ')) AS BIGINT) AS n, CAST(length(text) - len(string_split(text, ' ')) + 1 AS DOUBLE) AS total, CAST(length(string_split(text, ' ')[-1]) AS DOUBLE) AS last FROM documents")
 def b9(spark, sf):
-    words = fx.table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.lit(0.0)).alias("x"))
-    return words.select("doc_id", F.size(signal.zero_pad(F.col("x"))).cast("long").alias("padded"), F.size("x").cast("long").alias("n"))
+    words = fx.table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w).cast("double")).alias("x"))
+    padded = words.withColumn("p", signal.zero_pad(F.col("x")))
+    total = F.aggregate("p", F.lit(0.0), lambda acc, v: acc + v)
+    return padded.select("doc_id", F.size("p").cast("long").alias("padded"), F.size("x").cast("long").alias("n"), total.alias("total"), F.element_at("p", F.size("x")).alias("last"))
 
 
 def spec(expr, bins="33", size=64, src="fx", window=HANN):

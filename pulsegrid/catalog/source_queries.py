@@ -164,12 +164,22 @@ def a8(spark, sf):
     cuts = segments.cut_at_beats(fx.beats(spark, sf)).select(
         "track_id", F.col("beat_idx").alias("seg_no"), F.format_string("seg/%d_%05d.mp4", "track_id", "beat_idx").alias("path")
     )
+    counts = fx.event_times(spark, sf).groupBy("track_id").agg(F.count("*").alias("n"))  # the file list comes from elsewhere
+    listed = counts.withColumn("k", F.explode(F.expr("sequence(0L, n - 1)"))).select(F.format_string("seg/%d_%05d.mp4", "track_id", "k").alias("path"))
     path = new_path(spark, "edl")
-    sinks.write_edl(cuts, cuts.select("path"), path)
+    sinks.write_edl(cuts, listed, path)
     return spark.read.text(path).select(F.col("track_id").cast("long").alias("track_id"), F.col("value").alias("line"))
 
 
-@query("a9_file_manifest")
+CRC = (
+    "WITH steps AS (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)), "
+    "tbl AS (SELECT list(c ORDER BY i) AS t FROM steps), "
+    "b AS (SELECT doc_id, octet_length(encode(text)) AS size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents) "
+    "SELECT doc_id || '.txt' AS name, xor(list_reduce(list_concat([4294967295], bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS crc32, CAST(size AS BIGINT) AS size FROM b, tbl"
+)
+
+
+@query("a9_file_manifest", CRC)
 def a9(spark, sf):
     d = fx.table(spark, sf, "documents")
     files = d.select(F.format_string("%s/%d.txt", "source", "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))

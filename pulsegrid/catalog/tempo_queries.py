@@ -226,10 +226,11 @@ def e8(spark, sf):
 RANK = {"signup": 0, "purchase": 1, "click": 2}
 
 
-@query("e9_detector_fallback", with_views("ev", "WITH k AS (SELECT track_id, stem, t, CASE stem WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 END AS k FROM ev WHERE stem IN ('signup', 'purchase', 'click') AND (value > 80 OR stem <> 'signup')) "
+@query("e9_detector_fallback", with_views("ev", "WITH d AS (SELECT track_id, t, CASE WHEN stem = 'signup' AND value <= 80 THEN 'view' ELSE stem END AS stem FROM ev), k AS (SELECT track_id, stem, t, CASE stem WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 END AS k FROM d WHERE stem IN ('signup', 'purchase', 'click')) "
        f"SELECT track_id, detector, {r('t')} AS t FROM (SELECT track_id, stem AS detector, t, k, min(k) OVER (PARTITION BY track_id) AS best FROM k) WHERE k = best"))
 def e9(spark, sf):
-    found = fx.event_times(spark, sf).filter((F.col("value") > 80) | (F.col("stem") != "signup")).withColumnRenamed("stem", "detector")
+    weak = (F.col("stem") == "signup") & (F.col("value") <= 80)
+    found = fx.event_times(spark, sf).withColumn("detector", F.when(weak, "view").otherwise(F.col("stem")))
     return grid.detector_fallback(found, RANK).select("track_id", "detector", rnd("t").alias("t"))
 
 
