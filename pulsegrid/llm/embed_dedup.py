@@ -16,9 +16,10 @@ from pulsegrid.llm.simhash import Forest
 from pulsegrid.session import stage
 
 THRESHOLD = 0.95
-MISS = 1e-4  # accepted chance that a pair right at the threshold shares no bucket
-BUCKET = 48  # vectors of a bucket, about, among unrelated vectors
-BLOCK = 512  # larger buckets are compared block by block
+MISS = 1e-3  # accepted chance that a pair right at the threshold shares no bucket
+BUCKET = 1024  # vectors of a bucket, at most about, among unrelated vectors
+BLOCK = 2048  # larger buckets are compared block by block
+STRIPE = 512  # rows of a similarity matrix at once
 SEED = 20
 
 
@@ -26,7 +27,8 @@ def table_sizes(vectors: int, threshold: float, miss: float = MISS) -> tuple[int
     """Bits of a signature and number of tables.
 
     Bits grow with the logarithm of the number of vectors, so buckets of unrelated vectors stay as small at any size;
-    tables are as many as a pair at the threshold needs to meet in one of them but for the chance ``miss``.
+    tables are as many as a pair at the threshold needs to meet in one of them but for the chance ``miss``. Each table
+    ships every vector once, so large buckets, compared as matrices, are cheaper than many tables.
     """
     bits = min(30, max(4, math.ceil(math.log2(max(2, vectors) / BUCKET))))
     same = (1.0 - math.acos(threshold) / math.pi) ** bits
@@ -34,27 +36,33 @@ def table_sizes(vectors: int, threshold: float, miss: float = MISS) -> tuple[int
 
 
 def usable(docs: DataFrame, column: str = "embedding") -> DataFrame:
-    """``vec_id`` and the vector's float64 ``bytes``; null where it cannot link (null, zero, or not all finite)."""
+    """``vec_id`` and the vector's ``bytes`` in its own precision; null where it cannot link (null, zero, not all finite)."""
+    kind = precision(docs, column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
-                x = np.array(v, np.float64) if v else np.zeros(0)  # a null component reads as nan
+                x = np.array(v, kind) if v else np.zeros(0)  # a null component reads as nan
                 out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "bytes": pa.array(out, pa.binary())})
 
-    return docs.select("vec_id", F.col(column).cast("array<double>")).mapInArrow(work, f"vec_id {docs.schema['vec_id'].dataType.simpleString()}, bytes binary")
+    return docs.select("vec_id", F.col(column).cast("array<float>" if kind == "f4" else "array<double>")).mapInArrow(work, f"vec_id {docs.schema['vec_id'].dataType.simpleString()}, bytes binary")
 
 
-def unit(raw: pa.Array) -> np.ndarray:
-    """Rows of float64 bytes, all of one length, scaled to length 1 (through their largest component, against overflow)."""
-    x = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
+def precision(docs: DataFrame, column: str) -> str:
+    return "f4" if docs.schema[column].dataType.simpleString() == "array<float>" else "f8"
+
+
+def unit(raw: pa.Array, kind: str) -> np.ndarray:
+    """Rows of vector bytes, all of one length, in double precision and scaled to length 1 (through their largest
+    component, against overflow)."""
+    x = np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def signatures(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
+def signatures(distinct: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
     """``distinct`` with one ``bits``-bit sign signature for each table."""
     rep = distinct.schema["rep"].dataType.simpleString()
 
@@ -65,8 +73,8 @@ def signatures(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
             sizes = np.array([len(b) for b in raw.to_pylist()], np.int64)
             for size in np.unique(sizes).tolist():
                 mine = pa.array(np.flatnonzero(sizes == size))
-                planes = np.random.default_rng([SEED, size]).standard_normal((size // 8, bits * tables))
-                sign = (unit(raw.take(mine)) @ planes >= 0).reshape(len(mine), tables, bits)
+                planes = np.random.default_rng([SEED, size]).standard_normal((size // int(kind[1]), bits * tables))
+                sign = (unit(raw.take(mine), kind) @ planes >= 0).reshape(len(mine), tables, bits)
                 found = (sign * weights).sum(axis=2, dtype=np.int32)
                 ends = np.arange(0, found.size + 1, tables, dtype=np.int32)
                 yield pa.RecordBatch.from_pydict(
@@ -94,7 +102,7 @@ def candidates(signed: DataFrame) -> DataFrame:
     )
 
 
-def compare(dealt: DataFrame, threshold: float, parts: int) -> DataFrame:
+def compare(dealt: DataFrame, threshold: float, parts: int, kind: str) -> DataFrame:
     """Verified links of all groups, summed up: ``rep``, ``n`` (rows linked to each row of it), ``b`` (a forest link).
 
     A pair that shares buckets in several tables counts in the first of them only, which both signatures tell; pairs
@@ -116,16 +124,17 @@ def compare(dealt: DataFrame, threshold: float, parts: int) -> DataFrame:
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
-                x = unit(raw.slice(a, b - a))
-                i, j = np.nonzero(x @ x.T >= threshold)
-                keep = (i < j) & ((side[a + i] != side[a + j]) | (side[a + i] == 0))
-                i, j = i[keep] + a, j[keep] + a
-                first = t[a]
-                fresh = (sig[i, first] == sig[j, first]) & ~(sig[i, :first] == sig[j, :first]).any(axis=1)
-                i, j = i[fresh], j[fresh]
-                np.add.at(linked, i, copies[j])
-                np.add.at(linked, j, copies[i])
-                forest.join(i, j)
+                x, first = unit(raw.slice(a, b - a), kind), t[a]
+                for at in range(0, len(x), STRIPE):
+                    i, j = np.nonzero(x[at : at + STRIPE] @ x.T >= threshold)
+                    i += at
+                    keep = (i < j) & ((side[a + i] != side[a + j]) | (side[a + i] == 0))
+                    i, j = i[keep] + a, j[keep] + a
+                    fresh = (sig[i, first] == sig[j, first]) & ~(sig[i, :first] == sig[j, :first]).any(axis=1)
+                    i, j = i[fresh], j[fresh]
+                    np.add.at(linked, i, copies[j])
+                    np.add.at(linked, j, copies[i])
+                    forest.join(i, j)
             out = np.flatnonzero(linked)
             yield pa.RecordBatch.from_pydict({"rep": reps.take(pa.array(out)), "n": pa.array(linked[out]), "b": reps.take(pa.array(forest.root[out]))})
 
@@ -141,12 +150,13 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", threshold: fl
     """
     prepare(vectors.sparkSession)
     spark = vectors.sparkSession
+    kind = precision(vectors, column)
     rows = stage(usable(vectors, column), "vectors")
     linkable = rows.where("bytes IS NOT NULL AND vec_id IS NOT NULL")
     distinct = stage(linkable.groupBy("bytes").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct")
     bits, tables = table_sizes(distinct.count(), threshold, miss)
-    signed = stage(signatures(distinct, bits, tables), "signatures")
-    found = stage(compare(candidates(signed), threshold, int(spark.conf.get("spark.sql.shuffle.partitions"))), "links")
+    signed = stage(signatures(distinct, bits, tables, kind), "signatures")
+    found = stage(compare(candidates(signed), threshold, int(spark.conf.get("spark.sql.shuffle.partitions")), kind), "links")
     named = components(found.select(F.col("rep").alias("a"), "b"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     table = stage(

@@ -17,6 +17,7 @@ from pulsegrid.llm.queries import RULES
 @pytest.mark.parametrize("block", [embed_dedup.BLOCK, 7])
 def test_vectors(corpus_spark, monkeypatch, block):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "BUCKET", 16)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
     rows = [(int(k), (base[k % 60] + 0.02 * (k // 60) * rng.standard_normal(16)).tolist()) for k in range(400)]
