@@ -278,12 +278,13 @@ def merge(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[begins, 0], reach[np.append(np.flatnonzero(begins)[1:] - 1, len(ranges) - 1)]], axis=1)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Every text without the bytes covered by a ``window``-byte string that also starts anywhere else.
 
     ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) and the ``carry`` columns, one row per row of
     ``docs``. Texts are UTF-8 bytes, null counts as empty, and strings never cross documents. Rows that repeat are
-    documents of their own, so their texts repeat. Null ids are allowed; columns not carried are ignored.
+    documents of their own, so their texts repeat. Null ids are allowed; columns not carried are ignored. With
+    ``as_text`` the remaining bytes are read as UTF-8, without the rest of characters that were cut.
     """
     prepare(docs.sparkSession)
     rows = rows_of(docs)
@@ -305,9 +306,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
                     spans.append(len(found))
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_pydict(
-                    {"carried": part.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
+                    {"carried": part.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())}
                 )
 
-    out = f"carried {carried.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    out = f"carried {carried.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     stripped = joined.select("carried", "text", "ranges").mapInArrow(strip, out)
     return stripped.select("carried.*", "n_bytes", "n_removed", "n_spans", "kept")
