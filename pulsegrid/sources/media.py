@@ -94,18 +94,18 @@ def ingest_wav(spark: SparkSession, folder: str, *, block: int = 65_536) -> Data
     return files.mapInPandas(run, BLOCKS)
 
 
-def read_transitions(spark: SparkSession, folder: str) -> DataFrame:
+def read_transitions(spark: SparkSession, folder: str, *, header_lines: int = HEADER_LINES) -> DataFrame:
     """The transition catalogue of a folder; an empty folder is an error."""
     texts = spark.read.option("pathGlobFilter", "*.glsl").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    catalog = parse_transitions(texts)
+    catalog = parse_transitions(texts, header_lines=header_lines)
     if catalog.isEmpty():
         raise ValueError(f"no transition files in {folder}")
     return catalog
 
 
-def parse_transitions(texts: DataFrame) -> DataFrame:
-    """Name and category from the first 64 lines, last match wins; defaults are the file stem and 'unknown'."""
-    lines = F.slice(F.split("text", "\r?\n"), 1, HEADER_LINES)
+def parse_transitions(texts: DataFrame, *, header_lines: int = HEADER_LINES) -> DataFrame:
+    """Name and category from the header, by rule the first 64 lines; last match wins; defaults are the file stem and 'unknown'."""
+    lines = F.slice(F.split("text", "\r?\n"), 1, header_lines)
 
     def tag(label: str):
         pattern = rf"(?i)^\s*//\s*{label}:\s*(.+)\s*$"
