@@ -16,6 +16,7 @@ from pulsegrid.operators.tempo import filtered_average_interval
 DEFAULT_CLIP = 30.0  # fixed: length assumed for a clip of unknown duration
 MIN_SEGMENT = 0.1
 LONG_GAP = 3.0
+TIE = 1e-6
 PER_CHUNK = 30  # fixed: beats per filter expression
 COLOR_FILTERS = {  # fixed values: filter text per colour preset
     "warm": "colorbalance=rs=0.1:gs=0.05:bs=-0.05",
@@ -126,9 +127,20 @@ def fill_long_gaps(gaps: DataFrame, clips: DataFrame, *, chunk: int = 4096) -> D
         """How many clips fill ``dur`` from each start: the fewest that leave no more than MIN_SEGMENT."""
         if dur <= MIN_SEGMENT:
             return np.zeros(len(starts), dtype=np.int64)
-        sums = shared.value[2]
+        _, lengths, sums = shared.value
         rounds, rest = divmod(dur - MIN_SEGMENT, sums[n])
-        return int(rounds) * n + np.searchsorted(sums, sums[starts] + rest, side="left") - starts
+        wanted = sums[starts] + rest
+        at = np.searchsorted(sums, wanted, side="left")
+        many = int(rounds) * n + at - starts
+        # where a fill ends within rounding of the limit, what decides is the remainder after one subtraction per clip
+        close = (np.abs(sums[np.minimum(at, 2 * n)] - wanted) < TIE) | (np.abs(sums[np.maximum(at - 1, 0)] - wanted) < TIE)
+        for k in np.flatnonzero(close).tolist():
+            left, count = dur, 0
+            while left > MIN_SEGMENT:
+                left -= min(lengths[(starts[k] + count) % n], left)
+                count += 1
+            many[k] = count
+        return many
 
     def summarise(run: Run) -> list[tuple[float, float]]:
         state = np.arange(n)
