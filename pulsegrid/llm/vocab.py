@@ -19,7 +19,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from pulsegrid.llm.common import spread
 
-MAX_PARTS = 800_000  # parts remembered per worker before the memory starts afresh
+MAX_PARTS = 500_000  # parts remembered per worker before the memory starts afresh
 CLOSING = ".,;:!?%#$&*()[]\"-"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LINE_BREAK = re.compile(r"(?<=\S)(\n)(?=\S)")
