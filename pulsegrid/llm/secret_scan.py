@@ -22,7 +22,7 @@ NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|
 PROVIDERS = (
     r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}"
     r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|npm_[A-Za-z0-9]{30,}"
-    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----.*)"
+    r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*)"
 )
 ORDINARY = (
     r"^(?:[\w.+-]+@[\w-]+\.[\w.]+|[a-z]+://.*|/?(?:[\w.-]+/){2,}[\w.-]*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
@@ -36,11 +36,20 @@ COMMON_WORDS = (
 ).split()
 
 WORD_START = r"(?<![^\s\"'=:`,;(<\[])"
+# A private key block up to its END, whatever stands between; without one, header lines and key characters. Line breaks
+# may be written as \n and \r. All repetitions are possessive, so their length is not limited by the stack.
+BLOCK_START = r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----"
+BREAK = r"\s|\\++[nrt]"
+BLOCK = (
+    rf"{BLOCK_START}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END \1-----"
+    rf"|(?:(?:{BREAK})*+[A-Z][A-Za-z0-9-]{{1,30}}+:[^\r\n\\]*+)*+(?:[A-Za-z0-9+/=]++|{BREAK})*+)"
+)
+BEFORE, AFTER, SHORTEST = 80, 40, 6
+BLOCK_FEATURES = 20_000  # characters of a private key block that make its features
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    rf"|{WORD_START}(?:[^\s\"'=:`,;(<\[0-9]*+[0-9][^\s\"'`,;)>\]]*+|(?<=(?i:{NAMES})[\"']?\s?[=:]\s?[\"']?)[^\s\"'`,;)>\]]{{6,}})"
+    rf"{BLOCK}"
+    rf"|{WORD_START}(?:[^\s\"'=:`,;(<\[0-9]*+[0-9][^\s\"'`,;)>\]]*+|(?<=(?i:{NAMES})[\"']?\s?[=:]\s?[\"']?)[^\s\"'`,;)>\]]{{{SHORTEST},}})"
 )
-BEFORE, AFTER, SHORTEST = 80, 40, 8
 FEATURES = [
     "length", "turns", "digits", "upper", "lower", "marks", "variety", "hex_only", "covered", "longest_word", "path_like", "address_like",
     "named", "name_near", "quoted", "assigned", "placeholder", "common_before", "common_after",
@@ -69,6 +78,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     return placed.withColumn("candidate", trimmed).where(F.length("candidate") >= SHORTEST).select("doc_id", "start", "candidate", "before", "after")
 
 
+def is_block() -> Column:
+    return F.col("candidate").rlike("^" + BLOCK_START)
+
+
 def share(text: str, pattern: str) -> Column:
     """Share of the characters that ``pattern`` (a character class) matches."""
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
@@ -76,6 +89,7 @@ def share(text: str, pattern: str) -> Column:
 
 def with_features(found: DataFrame, words: list[str] = COMMON_WORDS) -> DataFrame:
     """Add the columns ``FEATURES``: length, character transitions, dictionary coverage, path and neighbouring words."""
+    found = found.withColumn("_whole", F.col("candidate")).withColumn("candidate", F.when(is_block(), F.left("candidate", F.lit(BLOCK_FEATURES))).otherwise(F.col("candidate")))
     c = F.col("candidate")
     size = F.greatest(F.length(c), F.lit(1))
     kinds = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "bcdefghijklmnopqrstuvwxyz" + "123456789", "A" * 26 + "a" * 25 + "0" * 9)
@@ -107,17 +121,18 @@ def with_features(found: DataFrame, words: list[str] = COMMON_WORDS) -> DataFram
         "common_before": F.array_contains(common, last).cast("double"),
         "common_after": F.array_contains(common, following).cast("double"),
     }
-    return found.withColumns(made)
+    return found.withColumns(made).withColumn("candidate", F.col("_whole")).drop("_whole")
 
 
 def weak_label(featured: DataFrame) -> DataFrame:
-    """Label findings that stand for themselves: 1.0 a provider's format or a random-looking value given to a secret's
-    name; 0.0 addresses, paths, numbers, dates, placeholders and words; others keep a null ``label``."""
+    """Label findings that stand for themselves: 1.0 a private key block, a provider's format or a random-looking value given to a
+    secret's name; 0.0 addresses, paths, numbers, dates, placeholders and words; others keep a null ``label``."""
     ordinary = F.col("candidate").rlike(ORDINARY) | (F.col("covered") > 0.6) | (F.col("placeholder") == 1)
     random = (F.col("named") == 1) & (F.col("digits") > 0.1) & (F.col("length") >= 10) & (F.col("variety") > 0.2)
     sure = F.col("candidate").rlike("(?s)" + PROVIDERS) & (F.col("placeholder") == 0)
     unnamed = (F.col("named") == 0) & (F.col("name_near") == 0) & ((F.col("digits") < 0.15) | (F.col("turns") < 0.2))
-    return featured.withColumn("label", F.when(sure, 1.0).when(ordinary, 0.0).when(random, 1.0).when(unnamed, 0.0))
+    unnamed = unnamed & ~F.col("candidate").rlike("^[A-Za-z0-9+/]{40,}={0,2}$")  # might be a line of a key without its BEGIN
+    return featured.withColumn("label", F.when(is_block() | sure, 1.0).when(ordinary, 0.0).when(random, 1.0).when(unnamed, 0.0))
 
 
 @dataclass
@@ -159,13 +174,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     """Secrets in the whole texts: ``doc_id, start, length, secret, score``, one row each.
 
     ``labelled`` has findings as ``candidates`` gives them with a ``label`` (1.0 secret, 0.0 not); without it the
-    findings that ``weak_label`` is sure of teach the forest, which then judges all. Rows with a null id are scanned as
+    findings that ``weak_label`` is sure of teach the forest, which then judges all but private key blocks, whose score
+    is 1. Rows with a null id are scanned as
     well; other columns are ignored. An empty table has no secrets.
     """
     prepare(docs.sparkSession)
     found = stage(weak_label(with_features(candidates(docs))), "findings")
     model = fit(found if labelled is None else with_features(labelled))
-    judged = judge(found, model).where(F.col("score") >= threshold)
+    judged = judge(found, model).withColumn("score", F.when(is_block(), 1.0).otherwise(F.col("score"))).where(F.col("score") >= threshold)
     return judged.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.col("candidate").alias("secret"), F.round("score", 6).alias("score"))
 
 
