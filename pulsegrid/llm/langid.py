@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import prepare, text_slices
 
 BITS = 15  # 2 ** BITS hashed n-gram features
 ORDERS = (1, 2, 3)
-ROWS_PER_LANGUAGE = 400  # about so many rows of each language fit the model
-MAX_ROWS = 8_000  # and so many in all at most
+ROWS_PER_LANGUAGE = 400  # so many rows of each language fit the model
+MAX_ROWS = 8_000  # and so many in all at most; with more than 20 languages each has its part
+DRAWS = 10**15
 SLICE = 1 << 20  # bytes of text whose n-grams are held at once
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNKNOWN = "und"
@@ -124,13 +126,18 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def sampled_rows(docs: DataFrame, rows_per_language: int, max_rows: int) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
-    """Language, features, shares and calibration flag of a bounded sample, about equally many rows of each language.
+    """Language, features, shares and calibration flag of a bounded sample, equally many rows of each language that has so many.
 
-    Rows are drawn by a hash of their id, so a run draws the same rows again.
+    ``max_rows`` is divided among the languages before rows are drawn. They are drawn by a hash of id and text, so a run draws the same rows again.
     """
-    drawn = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1_000_000))
-    rates = F.create_map(*[x for r in docs.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(1_000_000 * rows_per_language // r["count"] + 1))] or [F.lit(""), F.lit(0)])
-    chosen = docs.where(drawn < rates[F.col("lang")]).select(drawn.alias("draw"), "doc_id", "lang", "text").orderBy("draw", "doc_id").limit(max_rows)
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    share = max(1, min(rows_per_language, max_rows // max(1, len(sizes))))
+    wide = share + 6 * math.isqrt(share) + 6  # so many are drawn that chance hardly leaves fewer than the share
+    drawn = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text")), F.lit(DRAWS))
+    rates = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(DRAWS * wide // n + 1))] or [F.lit(""), F.lit(0)])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = docs.where(drawn < rates[F.col("lang")]).select(drawn.alias("draw"), "doc_id", "lang", "text").withColumn("place", place).where(F.col("place") <= share)
+    chosen = chosen.select("draw", "doc_id", "lang", "text")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +148,7 @@ def sampled_rows(docs: DataFrame, rows_per_language: int, max_rows: int) -> list
                         at, n = np.unique(code, return_counts=True)
                         yield pa.RecordBatch.from_pydict({"draw": rows.column(0).slice(k, 1), "lang": rows.column(2).slice(k, 1), "at": pa.array([at.astype(np.int32)]), "share": pa.array([(n / len(code)).astype(np.float32)])})
 
-    found = chosen.mapInArrow(shrink, "draw long, lang string, at array<int>, share array<float>").toPandas().sort_values("draw", kind="stable")
+    found = chosen.mapInArrow(shrink, "draw long, lang string, at array<int>, share array<float>").toPandas().sort_values(["draw", "lang"], kind="stable")
     return [(r.lang, np.asarray(r.at), np.asarray(r.share, np.float64), k % 5 == 0) for k, r in enumerate(found.itertuples())]
 
 
@@ -193,7 +200,7 @@ def temperature_of(logits: np.ndarray, truth: np.ndarray) -> float:
     """The divisor of the logits with the least log loss."""
     if not len(truth):
         return 1.0
-    tried = np.exp(np.linspace(np.log(0.25), np.log(20.0), 121))
+    tried = np.exp(np.linspace(np.log(0.05), np.log(20.0), 121))
     losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-300)).mean() for t in tried]
     return float(tried[int(np.argmin(losses))])
 
