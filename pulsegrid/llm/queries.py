@@ -7,7 +7,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, secret_scan, simhash, suffix_dedup, token_align, url_filter
+from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, prefix_trie, secret_scan, simhash, suffix_dedup, token_align, url_filter
 from pulsegrid.llm.common import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -55,6 +55,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuilt=True)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_secret_scan, op6_url_filter, op7_packing, op8_bpe,
-        op9_language_id, op10_html_text, op12_token_alignment,
+        op9_language_id, op10_html_text, op11_prefix_trie, op12_token_alignment,
     )
 }
 
