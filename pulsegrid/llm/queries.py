@@ -7,7 +7,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, embed_dedup, html_text, langid, merkle, packing, prefix_trie, secret_scan, simhash, suffix_dedup, token_align, url_filter
+from pulsegrid.llm import bpe, embed_dedup, graph_search, html_text, langid, merkle, packing, prefix_trie, secret_scan, simhash, suffix_dedup, token_align, url_filter
 from pulsegrid.llm.common import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -63,11 +63,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_secret_scan, op6_url_filter, op7_packing, op8_bpe,
-        op9_language_id, op10_html_text, op11_prefix_trie, op12_token_alignment,
+        op9_language_id, op10_html_text, op11_prefix_trie, op12_token_alignment, op13_nearest,
     )
 }
 
