@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import query
@@ -10,7 +13,7 @@ from pulsegrid.functions.rounding import rnd
 from pulsegrid.operators import segments, tempo
 from pulsegrid.session import new_path
 from pulsegrid.sources import fixtures as fx
-from pulsegrid.sources import media, sinks, text
+from pulsegrid.sources import files, media, sinks, text
 
 EXT = ["mp4", "MOV", "txt", "webm", "Avi", "mkv", "jpg"]
 
@@ -40,6 +43,21 @@ def a1_gui(spark, sf):
     return media.media_catalog(_files(spark, sf), extensions=media.GUI_EXTENSIONS).groupBy("ext").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _below(path, root):
+    """The part of a listed path below ``root``."""
+    return F.substring_index(path, f"/{root.rsplit('/', 1)[-1]}/", -1)
+
+
+@query("a1_media_folder", f"WITH {FILES_SQL} SELECT row_number() OVER (ORDER BY path) - 1 AS clip_id, path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, "
+       "CAST(regexp_extract(path, '_(\\d+)\\.[^.]*$', 1) AS BIGINT) % 4 AS length FROM files WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('mp4','avi','mov','mkv')")
+def a1_folder(spark, sf):
+    root = new_path(spark, "media")
+    content = F.expr("repeat('x', cast(regexp_extract(path, r'_(\\d+)\\.[^.]*$', 1) as int) % 4)")
+    files.write_files(_files(spark, sf).select("path", content.alias("content")), root)
+    found = media.media_catalog(media.list_files(spark, root))
+    return found.select("clip_id", _below(F.col("path"), root).alias("path"), "ext", "length")
+
+
 @query("a2_sample_blocks", with_views("samples", f"SELECT track_id, idx, {r('CAST(CAST(v AS FLOAT) AS DOUBLE)')} AS v FROM samples"))
 def a2(spark, sf):
     path = new_path(spark, "blocks")
@@ -52,6 +70,31 @@ def a2_dur(spark, sf):
     return media.block_durations(media.to_blocks(fx.samples(spark, sf), rate=fx.RATE, block=512)).select("track_id", rnd("duration").alias("duration"))
 
 
+WAVE_FRAMES, WAVE_RANGE = 1500, 400
+
+
+def _write_waves(spark, sf, root):
+    """Wave files of 1,500 samples of a track each, the last shorter."""
+    rows = fx.samples(spark, sf).select("track_id", F.expr(f"idx div {WAVE_FRAMES}").alias("part"), "idx", F.floor(F.col("v") * 32768).cast("short").alias("pcm"))
+
+    def work(table):
+        pcm = table.sort_by("idx").column("pcm").to_numpy().astype("<i2").tobytes()
+        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, fx.RATE, 2 * fx.RATE, 2, 16, b"data", len(pcm))
+        name = f"{table.column('track_id')[0].as_py()}/{table.column('part')[0].as_py()}.wav"
+        return pa.table({"path": [name.replace("/", "-", 1)], "content": pa.array([head + pcm], pa.binary())})
+
+    return files.write_files(rows.groupBy("track_id", "part").applyInArrow(work, "path string, content binary"), root)
+
+
+@query("a2_wave_ranges", with_views("samples", f"SELECT track_id || '-' || (idx // {WAVE_FRAMES}) || '.wav' AS track_id, (idx % {WAVE_FRAMES}) // 100 AS block_id, idx % {WAVE_FRAMES} AS idx, "
+       "floor(v * 32768) / 32768 AS v FROM samples"))
+def a2_waves(spark, sf):
+    root = new_path(spark, "waves")
+    _write_waves(spark, sf, root)
+    blocks = media.ingest_wav(spark, root, block=100, range_frames=WAVE_RANGE)
+    return media.explode_blocks(blocks).select("track_id", F.expr("idx div 100").alias("block_id"), "idx", "v")
+
+
 DOC_BEATS = 64
 
 
@@ -140,6 +183,14 @@ def a6(spark, sf):
     return media.parse_transitions(_shader_texts(spark, sf)).select("path", "name", "category")
 
 
+@query("a6_transition_folder", "SELECT 'p' || p_partkey || '.glsl' AS file, CASE WHEN p_partkey % 3 > 0 THEN trim(p_name) ELSE 'p' || p_partkey END AS name, "
+       "CASE WHEN p_partkey % 5 > 0 THEN lower(p_type) ELSE 'unknown' END AS category FROM part")
+def a6_folder(spark, sf):
+    root = new_path(spark, "shaders")
+    files.write_files(_shader_texts(spark, sf).select(F.substring_index("path", "/", -1).alias("path"), F.col("text").alias("content")), root)
+    return media.read_transitions(spark, root).select(F.substring_index("path", "/", -1).alias("file"), "name", "category")
+
+
 @query("a7_grid_report", with_views("beats", "SELECT track_id, beat_idx, printf('%.3f', t) AS text FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM beats) "
        "WHERE n <= 10 OR beat_idx < 5 OR beat_idx >= n - 5"))
 def a7(spark, sf):
@@ -186,6 +237,19 @@ def a9(spark, sf):
     return media.manifest(files)
 
 
+FOLDER_CRC = CRC.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE coalesce(text, '') END AS text FROM documents))")
+
+
+@query("a9_folder_manifest", FOLDER_CRC)
+def a9_folder(spark, sf):
+    """Texts as files, every fiftieth empty, read in ranges of 700 bytes."""
+    root = new_path(spark, "texts")
+    name = F.format_string("%s/%d.txt", F.coalesce("source", F.lit("none")), "doc_id")
+    content = F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+    files.write_files(fx.table(spark, sf, "documents").select(name.alias("path"), content.alias("content")), root)
+    return media.read_manifest(spark, root, range_bytes=700)
+
+
 @query("a10_segment_names", with_views("beats", "SELECT track_id, beat_idx, 'out/v' || track_id || '_seg' || beat_idx || CASE WHEN track_id % 2 = 0 THEN '.mov' ELSE '.mp4' END AS seg_name, "
        "'segment_' || lpad(CAST(beat_idx AS VARCHAR), 5, '0') || '.mp4' AS padded, printf('part-%03d.mp4', beat_idx) AS part FROM beats"))
 def a10(spark, sf):

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.operators.sequence import dense_index
+from pulsegrid.sources import files
 
 CLI_EXTENSIONS = ["mp4", "avi", "mov", "mkv"]  # fixed values
 GUI_EXTENSIONS = [*CLI_EXTENSIONS, "webm"]
@@ -24,23 +19,14 @@ BLOCKS = T.StructType([
 ])
 
 
-def _with_empty_files(spark: SparkSession, files: DataFrame, found: DataFrame, blanks: dict) -> DataFrame:
-    """Spark's file scan leaves out files of length 0; add them from the listing it already holds."""
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
-    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))  # the scan's spelling
-    empty = listed.join(found.select("path"), "path", "left_anti")
-    return found.unionByName(empty.select("path", *[v.alias(k) for k, v in blanks.items()]))
-
-
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path and size of every file; the content column is pruned, so nothing is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return _with_empty_files(spark, files, files.select("path", "length"), {"length": F.lit(0).cast("long")})
+    """Path and length of every file, empty ones included; tasks list the folders and nothing is read."""
+    return files.list_folder(spark, folder, pattern)
 
 
-def media_catalog(files: DataFrame, *, extensions: list[str] | None = None) -> DataFrame:
+def media_catalog(listed: DataFrame, *, extensions: list[str] | None = None) -> DataFrame:
     """A1: files with a media extension in any case, numbered in path order."""
-    kept = files.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).filter(F.col("ext").isin(extensions or CLI_EXTENSIONS))
+    kept = listed.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).filter(F.col("ext").isin(extensions or CLI_EXTENSIONS))
     ranked = dense_index(kept.withColumn("_all", F.lit(0)), ["_all"], ["path"], "clip_id")
     return ranked.drop("_all")
 
@@ -74,24 +60,9 @@ def block_durations(blocks: DataFrame, declared: DataFrame | None = None) -> Dat
     return joined.select("track_id", F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.col("_own")).alias("duration"))
 
 
-def ingest_wav(spark: SparkSession, folder: str, *, block: int = 65_536) -> DataFrame:
-    """A2: PCM16 WAV files to sample blocks, streamed file by file in parallel tasks."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with wave.open(io.BytesIO(content)) as wav:
-                    channels, rate, number = wav.getnchannels(), wav.getframerate(), 0
-                    while data := wav.readframes(block):
-                        values = np.frombuffer(data, dtype="<i2").astype(np.float32) / 32768.0
-                        yield pd.DataFrame({
-                            "track_id": [path.rsplit("/", 1)[-1]], "block_id": [number], "start_idx": [number * block * channels],
-                            "sample_rate": [rate], "channels": [channels], "samples": [values],
-                        })
-                        number += 1
-
-    return files.mapInPandas(run, BLOCKS)
+def ingest_wav(spark: SparkSession, folder: str, *, block: int = 65_536, range_frames: int = files.RANGE_FRAMES) -> DataFrame:
+    """A2: wave files to sample blocks, by ranges of frames in parallel tasks."""
+    return files.read_waves(spark, folder, block=block, range_frames=range_frames)
 
 
 def read_transitions(spark: SparkSession, folder: str, *, header_lines: int = HEADER_LINES) -> DataFrame:
@@ -116,13 +87,15 @@ def parse_transitions(texts: DataFrame, *, header_lines: int = HEADER_LINES) ->
     return texts.select("path", F.coalesce(tag("Name"), stem).alias("name"), F.coalesce(tag("Category"), F.lit("unknown")).alias("category"))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """Base name, CRC-32 and size of ``files(path, content)``."""
-    return files.select(
-        F.substring_index(F.translate("path", "\\", "/"), "/", -1).alias("name"), F.crc32("content").alias("crc32"), F.octet_length("content").cast("long").alias("size")
-    )
+def base_name(path: str | Column) -> Column:
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+
+
+def manifest(contents: DataFrame) -> DataFrame:
+    """Base name, CRC-32 and size of ``contents(path, content)``."""
+    return contents.select(base_name("path").alias("name"), F.crc32("content").alias("crc32"), F.octet_length("content").cast("long").alias("size"))
 
 
-def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(folder)
-    return manifest(_with_empty_files(spark, files, files.select("path", "content"), {"content": F.lit(b"").cast("binary")}))
+def read_manifest(spark: SparkSession, folder: str, *, range_bytes: int = files.RANGE) -> DataFrame:
+    """Base name, CRC-32 and size of every file below ``folder``, of any size; files are read by ranges."""
+    return files.checksums(list_files(spark, folder), range_bytes).select(base_name("path").alias("name"), "crc32", F.col("length").alias("size"))
