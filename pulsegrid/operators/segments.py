@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 from pulsegrid.operators.carry import NONE, Run, carry_scan
 from pulsegrid.operators.sequence import TRACK, counted, dense_index, neighbours, running_sum, with_stats
 from pulsegrid.operators.tempo import filtered_average_interval
+from pulsegrid.session import new_path, stage
+from pulsegrid.sources import files
 
 DEFAULT_CLIP = 30.0  # fixed: length assumed for a clip of unknown duration
 MIN_SEGMENT = 0.1
@@ -107,74 +111,89 @@ def source_offsets(assigned: DataFrame, clips: DataFrame) -> DataFrame:
     }).drop("_p", "_d")
 
 
+def clip_cycle(clips: DataFrame) -> DataFrame:
+    """The order in which gaps take clips, longest first: ``rank, clip_id, d`` and ``before``, the time of all earlier ones."""
+    length = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.lit(DEFAULT_CLIP)).cast("double")
+    rows = clips.select(F.lit(0).alias("_all"), "clip_id", length.alias("d")).withColumn("_falling", -F.col("d"))
+    ranked = stage(dense_index(rows, ["_all"], ["_falling", "clip_id"], "rank").select("_all", "rank", "clip_id", "d"), "ranked-clips")
+    return running_sum(ranked, ["_all"], "rank", {"before": F.col("d")}).select("rank", "clip_id", "d", "before")
+
+
+@lru_cache(maxsize=1)
+def cycle_times(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the clips of a written cycle, and the n + 1 sums of what lies before each and after all."""
+    store, inner, _ = files.open_store(path)
+    table = pq.read_table(inner, columns=["rank", "d", "before"], filesystem=store, use_threads=False)
+    order = np.argsort(table.column("rank").to_numpy())
+    lengths, before = table.column("d").to_numpy()[order], table.column("before").to_numpy()[order]
+    return lengths, np.append(before, before[-1] + lengths[-1])
+
+
+def clips_needed(starts: np.ndarray, dur: float, lengths: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """How many clips fill ``dur`` from each start of the cycle: the fewest that leave no more than MIN_SEGMENT."""
+    if dur <= MIN_SEGMENT:
+        return np.zeros(len(starts), dtype=np.int64)
+    n = len(lengths)
+    rounds, rest = divmod(dur - MIN_SEGMENT, sums[n])
+    wanted = sums[starts] + rest
+    over = wanted > sums[n]
+    inner = np.where(over, wanted - sums[n], wanted)
+    at = np.searchsorted(sums, inner, side="left")
+    many = int(rounds) * n + at + n * over - starts
+    # where a fill ends within rounding of the limit, what decides is the remainder after one subtraction per clip
+    close = (np.abs(sums[np.minimum(at, n)] - inner) < TIE) | (np.abs(sums[np.maximum(at - 1, 0)] - inner) < TIE)
+    for k in np.flatnonzero(close).tolist():
+        left, count = dur, 0
+        while left > MIN_SEGMENT:
+            left -= min(lengths[(starts[k] + count) % n], left)
+            count += 1
+        many[k] = count
+    return many
+
+
 def fill_long_gaps(gaps: DataFrame, clips: DataFrame, *, chunk: int = 4096) -> DataFrame:
     """H8: fill each gap with whole clips, longest first, cycling on across gaps.
 
-    The carried state is the position in the clip cycle, so a chunk of gaps is a map from start position to end
-    position. Where a fill ends is read from the prefix sums of the cycle for all starts at once. Gaps are numbered
-    densely and a chunk holds no fewer gaps than there are clips, so all maps together have as many rows as there are
-    gaps, and one catalogue per track at most. The catalogue itself (16 bytes a clip) goes to the tasks as a broadcast.
-    Returns (track_id, beat_idx, piece, clip_id, dur).
+    The cycle is a table ranked by a range sort, with prefix sums of its times, in the shared folder. The carried state is
+    the position in it, so a chunk of gaps is a map from start position to end position; where a fill ends is read from
+    the sums for all starts at once. Gaps are numbered densely and a chunk holds no fewer gaps than there are clips, so all
+    maps together have as many rows as there are gaps, and one cycle per track at most. That step needs the times alone:
+    a Python worker reads them from the shared folder once, 16 bytes a clip; nothing passes through the driver and nothing
+    is broadcast. It leaves one row per gap, a position and a number of clips; the pieces are then counted out and meet
+    their clips by a join on rank. Returns (track_id, beat_idx, piece, clip_id, dur).
     """
     spark = gaps.sparkSession
-    length = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.lit(DEFAULT_CLIP))
     n = number_of(clips)
-    ordered = clips.select("clip_id", length.alias("d")).orderBy(F.desc("d"), "clip_id").toPandas()
-    lengths = ordered["d"].to_numpy(dtype=float)
-    shared = spark.sparkContext.broadcast((ordered["clip_id"].to_numpy(), lengths, np.concatenate([[0.0], np.cumsum(np.concatenate([lengths, lengths]))])))
-
-    def ends(starts: np.ndarray, dur: float) -> np.ndarray:
-        """How many clips fill ``dur`` from each start: the fewest that leave no more than MIN_SEGMENT."""
-        if dur <= MIN_SEGMENT:
-            return np.zeros(len(starts), dtype=np.int64)
-        _, lengths, sums = shared.value
-        rounds, rest = divmod(dur - MIN_SEGMENT, sums[n])
-        wanted = sums[starts] + rest
-        at = np.searchsorted(sums, wanted, side="left")
-        many = int(rounds) * n + at - starts
-        # where a fill ends within rounding of the limit, what decides is the remainder after one subtraction per clip
-        close = (np.abs(sums[np.minimum(at, 2 * n)] - wanted) < TIE) | (np.abs(sums[np.maximum(at - 1, 0)] - wanted) < TIE)
-        for k in np.flatnonzero(close).tolist():
-            left, count = dur, 0
-            while left > MIN_SEGMENT:
-                left -= min(lengths[(starts[k] + count) % n], left)
-                count += 1
-            many[k] = count
-        return many
+    path = new_path(spark, "cycle")
+    clip_cycle(clips).write.parquet(path)
+    cycle = spark.read.parquet(path)
 
     def summarise(run: Run) -> list[tuple[float, float]]:
-        state = np.arange(n)
+        state, times = np.arange(n), cycle_times(path)
         for dur in run["dur"].tolist():
             # starts that have met stay together, so only distinct positions are advanced
             live, back = np.unique(state, return_inverse=True)
-            state = ((live + ends(live, dur)) % n)[back]
+            state = ((live + clips_needed(live, dur, *times)) % n)[back]
         return [(NONE, float(state[0])), *zip(np.arange(n, dtype=float).tolist(), state.astype(float).tolist())]
 
     def emit(run: Run, entry: float) -> Run:
-        ids, lengths, _ = shared.value
-        at, beats, piece, clip, used = max(int(entry), 0), [], [], [], []
-        for beat, dur in zip(run["beat_idx"].tolist(), run["dur"].tolist()):
-            many = int(ends(np.array([at]), dur)[0])
-            cycle = (at + np.arange(many)) % n
-            own = lengths[cycle]
-            own = np.minimum(own, dur - (np.cumsum(own) - own))
-            beats.append(np.full(many, beat))
-            piece.append(np.arange(many))
-            clip.append(ids[cycle])
-            used.append(own)
-            at = (at + many) % n
-        return {
-            "beat_idx": np.concatenate(beats).astype(np.int64), "piece": np.concatenate(piece).astype(np.int64),
-            "clip_id": np.concatenate(clip).astype(np.int64), "dur": np.concatenate(used).astype(float),
-        }
+        at, first, many, times = max(int(entry), 0), [], [], cycle_times(path)
+        for dur in run["dur"].tolist():
+            first.append(at)
+            many.append(int(clips_needed(np.array([at]), dur, *times)[0]))
+            at = (at + many[-1]) % n
+        first = np.array(first, dtype=np.int64)
+        return {"beat_idx": run["beat_idx"], "at": first, "many": np.array(many, dtype=np.int64), "gap": run["dur"].astype(float), "offset": times[1][first], "turn": np.full(len(first), times[1][n])}
 
     dense = dense_index(gaps.select("track_id", "beat_idx", "dur"), TRACK, ["beat_idx"], "_gap")
     rows = dense.withColumn("_chunk", F.expr(f"_gap div {max(chunk, n)}")).drop("_gap")
-    out = T.StructType([
-        T.StructField("beat_idx", T.LongType()), T.StructField("piece", T.LongType()),
-        T.StructField("clip_id", T.LongType()), T.StructField("dur", T.DoubleType()),
-    ])
-    return carry_scan(rows, TRACK, order=["beat_idx"], initial=0.0, summarise=summarise, emit=emit, schema=out)
+    longs, doubles = ("beat_idx", "at", "many"), ("gap", "offset", "turn")
+    out = T.StructType([*(T.StructField(c, T.LongType()) for c in longs), *(T.StructField(c, T.DoubleType()) for c in doubles)])
+    placed = stage(carry_scan(rows, TRACK, order=["beat_idx"], initial=0.0, summarise=summarise, emit=emit, schema=out), "placed-gaps")
+    pieces = counted(placed, "many", "piece", keys=("track_id", "beat_idx")).withColumn("_pos", F.col("at") + F.col("piece"))
+    joined = pieces.withColumns({"rank": F.col("_pos") % n, "_turns": F.expr(f"_pos div {n}")}).join(cycle, "rank")
+    earlier = F.col("_turns") * F.col("turn") + F.col("before") - F.col("offset")
+    return joined.select("track_id", "beat_idx", "piece", "clip_id", F.least("d", F.col("gap") - earlier).alias("dur"))
 
 
 def cli_segments(beats: DataFrame, durations: DataFrame, *, clip: float = 0.0) -> DataFrame:

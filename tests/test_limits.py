@@ -45,6 +45,25 @@ def test_thirty_thousand_clips(spark):
     assert [tuple(r) for r in got] == want
 
 
+def test_a_million_clips(spark):
+    """Fills run past the end of the cycle and on; lengths are whole 64ths, so sums are exact."""
+    n = 1_000_000
+    clips = spark.range(n).selectExpr("id AS clip_id", "(5 + id * 7919 % 396) / 64D AS duration")
+    rows = spark.createDataFrame([(1, k, d) for k, d in enumerate([9.0, 2_000_000.0, 0.05, 1_300_000.5, 77.25])] + [(2, 4, 12.0)], "track_id long, beat_idx long, dur double")
+    got = segments.fill_long_gaps(rows, clips).groupBy("track_id", "beat_idx").agg(F.count("*").alias("n"), F.sum("dur").alias("d"), F.max("piece").alias("last"), F.sum("clip_id").alias("ids")).collect()
+    lengths = (5 + np.arange(n) * 7919 % 396) / 64
+    order = np.lexsort((np.arange(n), -lengths))
+    sums, want, at = np.concatenate([[0], np.cumsum(np.tile(lengths[order], 3))]), {}, 0
+    for k, dur in enumerate([9.0, 2_000_000.0, 0.05, 1_300_000.5, 77.25]):
+        many = int(np.searchsorted(sums, sums[at] + dur - 0.1)) - at if dur > 0.1 else 0
+        if many:
+            want[1, k] = (many, min(dur, sums[at + many] - sums[at]), many - 1, int(np.tile(order, 3)[at : at + many].sum()))
+        at = (at + many) % n
+    many = int(np.searchsorted(sums, 11.9))
+    want[2, 4] = (many, min(12.0, sums[many]), many - 1, int(order[:many].sum()))
+    assert {(r.track_id, r.beat_idx): (r.n, r.d, r["last"], r.ids) for r in got} == want
+
+
 def test_one_pole_of_a_tiny_ratio(spark):
     x = np.random.default_rng(2).standard_normal(3_000)
     samples = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "track_id long, idx long, v double")
