@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.operators.carry import Run, carry_scan, compose_pieces
+from pulsegrid.operators.carry import Run, carry_scan
 from pulsegrid.operators.sequence import TRACK, neighbours, ordered_prefix
 
 RADIX_BITS = 2
+FAR = 2.0**52  # no beat has this number
 LABELS = [  # fixed values: class order of the label head
     "intro", "verse", "pre-chorus", "chorus", "post-chorus", "bridge", "outro", "instrumental", "solo", "silence",
 ]
@@ -174,16 +175,32 @@ def _reach(tolerance: float):
     return edges
 
 
+def held_between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each detection the interval that holds p, less the number of detections up to there, whatever p was before the first.
+
+    One detection holds it between ``a`` and ``b - 1``, less those before. An earlier interval followed by a later one is
+    the earlier one's ends moved into the later, so each round doubles the run of detections that an interval stands for.
+    """
+    before = np.arange(len(a))
+    high = b.astype(np.int64) - before - 1
+    low = np.minimum(a.astype(np.int64) - before, high)
+    step = 1
+    while step < len(a):
+        low[step:], high[step:] = np.clip(low[:-step], low[step:], high[step:]), np.clip(high[:-step], low[step:], high[step:])
+        step *= 2
+    return low, high
+
+
 def match_truth(
     detected: DataFrame, expected: DataFrame, *, tolerance: float = 0.05, chunk: int = 8192, partitions: int | None = None
 ) -> DataFrame:
     """each detected beat claims the first unclaimed expected beat within ``tolerance``.
 
-    One range sort of both sides gives every detection the numbers a and b of expected beats
-    before and up to the end of its window. Both sides are in time order, so the only state
-    is p, the next expected beat still free: p rises to a, and if it is below b the beat p is
-    claimed. As a function of p a detection has slope 0 or 1 everywhere, and so has a chunk
-    of detections, however many beats share a window.
+    One range sort of both sides gives every detection the numbers a and b of expected beats before and up to the end of
+    its window. Both sides are in time order, so the only state is p, the next expected beat still free: p rises to a, and
+    if it is below b the beat p is claimed. As b never falls, p never passes it, so a detection maps p to p + 1 held
+    between a + 1 and b. Less one for each detection so far these are plain intervals, which compose to intervals: a chunk
+    is two numbers, and all states inside it follow from doubling.
     """
     edges = detected.select("track_id", "beat_idx", _reach(tolerance)("t").alias("w"))
     marks = (
@@ -198,23 +215,17 @@ def match_truth(
     rows = rows.withColumn("_chunk", F.expr(f"beat_idx div {chunk}"))
 
     def summarise(run: Run) -> list[tuple[float, float]]:
-        x, y = np.array([0.0]), np.array([0.0])
-        for a, b in zip(run["a"].tolist(), run["b"].tolist()):
-            x2, y2 = ([a, b - 1, b], [a + 1, b, b]) if a < b else ([a], [a])
-            if a == b - 1:
-                x2, y2 = [a, b], [b, b]
-            x, y = compose_pieces(x, y, np.array(x2, dtype=float), np.array(y2, dtype=float))
-        return list(zip(x.tolist(), y.tolist()))
+        low, high = held_between(run["a"], run["b"])
+        a, b, n = float(low[-1]), float(high[-1]), float(len(low))
+        return [(a, a + n), *([(b, b + n)] if a < b else []), (FAR, b + n)]
 
     def emit(run: Run, entry: float) -> Run:
-        p, beats, claimed = int(entry), [], []
-        for beat, a, b in zip(run["beat_idx"].tolist(), run["a"].tolist(), run["b"].tolist()):
-            p = max(p, a)
-            if p < b:
-                beats.append(beat)
-                claimed.append(p)
-                p += 1
-        return {"beat_idx": np.array(beats, dtype=np.int64), "truth_idx": np.array(claimed, dtype=np.int64)}
+        a, b = run["a"], run["b"]
+        low, high = held_between(a, b)
+        after = np.clip(int(entry), low, high) + np.arange(1, len(a) + 1)
+        free = np.maximum(np.concatenate([[int(entry)], after[:-1]]), a)
+        claims = free < b
+        return {"beat_idx": run["beat_idx"][claims], "truth_idx": free[claims]}
 
     out = T.StructType([T.StructField("beat_idx", T.LongType()), T.StructField("truth_idx", T.LongType())])
     return carry_scan(rows, TRACK, order=["beat_idx"], initial=0.0, summarise=summarise, emit=emit, schema=out, linear=True)

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from pulsegrid.operators import carry, lookup, segments
 from pulsegrid.plans import edit_list
 
@@ -90,6 +92,37 @@ def fill(gaps, lengths):
     return out
 
 
+def test_states_by_doubling_are_those_one_by_one():
+    rng = np.random.default_rng(21)
+    for n in (1, 2, 3, 17, 400):
+        for _ in range(40):
+            a = np.sort(rng.integers(0, max(2, n // rng.integers(1, 5)), n))
+            b = np.maximum.accumulate(np.maximum(a, a + rng.integers(0, 4, n)))
+            low, high = lookup.held_between(a, b)
+            for p in {0, int(a[0]), int(rng.integers(0, b[0] + 1)), int(b[0])}:
+                got = np.clip(p, low, high) + np.arange(1, n + 1)
+                for k in range(n):
+                    p = max(p, a[k])
+                    p += p < b[k]
+                    assert got[k] == p
+
+
+def test_a_long_track_is_matched_without_a_loop(spark):
+    """Detections as dense as a window holds, so most of them compete; the state runs through several chunks."""
+    n = 400_000
+    det = spark.range(n).selectExpr("1 AS track_id", "id AS beat_idx", "id * 0.01D AS t")
+    exp = spark.range(n // 3).selectExpr("1 AS track_id", "id AS truth_idx", "id * 0.03D + 0.004D AS t")
+    got = lookup.match_truth(det, exp, tolerance=0.05).agg(F.count("*"), F.countDistinct("truth_idx"), F.max("truth_idx"), F.sum("beat_idx")).first()
+    t, truth, p, total = np.arange(n) * 0.01, np.arange(n // 3) * 0.03 + 0.004, 0, 0
+    first, last = np.searchsorted(truth, t - 0.05 - 1e-12), np.searchsorted(truth, t + 0.05 + 1e-12)
+    claimed = 0
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        p = max(p, a)
+        if p < b:
+            p, claimed, total = p + 1, claimed + 1, total + k
+    assert tuple(got) == (claimed, claimed, p - 1, total)
+
+
 @pytest.mark.parametrize("chunk", [2, 4096])
 def test_fill_long_gaps(spark, chunk, monkeypatch):
     monkeypatch.setattr(carry, "LINKS", 2)
