@@ -251,6 +251,29 @@ def g10(spark, sf):
     return timeline.viewport_peaks(peaks, v, width=100).select("track_id", "peak_idx", rnd("peak").alias("peak"))
 
 
+BANDS3 = {"bass": ("abs(v) * 12",), "mid": ("abs(v) * (idx % 3 + 1) * 3",), "high": ("abs(v) * (idx % 5) * 2.5D", "abs(v) * (idx % 5) * CAST(2.5 AS DOUBLE)")}
+VIEWS3 = [(0, 1.0, 0.0), (1, 3.0, 0.25), (2, 40.0, 0.6), (3, 0.5, 0.9)]
+
+
+@query("g10_band_viewport", with_views("samples", "WITH pk AS (SELECT track_id, idx AS bucket, " + ", ".join(f"{e[-1]} AS {b}" for b, e in BANDS3.items()) + " FROM samples), "
+       "n AS (SELECT track_id, max(bucket) + 1 AS n, (max(bucket) + 1) / 200.0 AS duration FROM pk GROUP BY 1), "
+       "w AS (SELECT *, least(greatest(z0, 1.0), 50.0) AS zoom FROM n, (VALUES " + ", ".join(f"({i}, CAST({z} AS DOUBLE), CAST({c} AS DOUBLE))" for i, z, c in VIEWS3) + ") t(view_id, z0, s0)), "
+       "v AS (SELECT *, least(greatest(s0, 0.0), 1.0 - 1.0 / zoom) * duration AS a FROM w), z AS (SELECT *, least(a + duration / zoom, duration) AS b FROM v), "
+       "lim AS (SELECT *, CAST(greatest(0, floor(a / duration * n) - 1) AS BIGINT) AS lo, CAST(least(n, ceil(b / duration * n) + 1) AS BIGINT) AS hi FROM z), "
+       "st AS (SELECT *, greatest(1, CAST(floor(greatest(1, ceil((hi - lo) / CAST(60 AS DOUBLE))) / 2) AS BIGINT)) AS step FROM lim), "
+       "br AS (SELECT *, greatest(1.0, CAST(60 AS DOUBLE) * step / (hi - lo + 1)) AS bar FROM st), "
+       "g AS (SELECT br.*, (bucket - lo) // step * step + lo AS peak_idx, bass, mid, high FROM pk JOIN br USING (track_id) WHERE bucket >= lo AND bucket < hi), "
+       "x AS (SELECT *, (CAST(peak_idx AS DOUBLE) / n * duration - a) / (b - a) * 60 AS x FROM g) "
+       f"SELECT track_id, view_id, peak_idx, {r('x')} AS x, {r('bar')} AS bar_width, {r('least(max(bass), 1.0)')} AS bass, {r('least(max(mid), 1.0)')} AS mid, {r('least(max(high), 1.0)')} AS high "
+       "FROM x WHERE x >= -bar AND x <= 60 + bar GROUP BY ALL"))
+def g10_bands(spark, sf):
+    peaks = fx.samples(spark, sf).select("track_id", F.col("idx").alias("bucket"), *[F.expr(e[0]).alias(b) for b, e in BANDS3.items()])
+    levels, sizes = timeline.peak_pyramid(peaks, list(BANDS3))
+    asked = sizes.select("track_id", (F.col("n_peaks") / 200.0).alias("duration"), F.explode(F.array(*[F.struct(F.lit(i).alias("view_id"), F.lit(z).alias("zoom"), F.lit(c).alias("scroll")) for i, z, c in VIEWS3])).alias("v"))
+    bars = timeline.viewport_bars(levels, sizes, asked.select("track_id", "duration", "v.*"), list(BANDS3), width=60)
+    return bars.select("track_id", "view_id", "peak_idx", *[rnd(c).alias(c) for c in ("x", "bar_width", *BANDS3)])
+
+
 @query("g11_config_errors", "SELECT o_orderkey, CASE WHEN (o_orderstatus <> 'P' AND o_orderpriority IN ('5-LOW')) OR o_orderkey % 5 - 1 <= 0 THEN 2 ELSE 0 END AS error_code FROM orders")
 def g11(spark, sf):
     o = fx.table(spark, sf, "orders")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.operators.sequence import TRACK, with_stats
+from pulsegrid.session import stage
 
 
 def _clamp(value: Column, low: Column, high: Column) -> Column:
@@ -124,6 +131,76 @@ def viewport_peaks(peaks: DataFrame, views: DataFrame, *, width: int) -> DataFra
     return inside.groupBy("track_id", place.alias("peak_idx")).agg(_clamp(F.max("peak"), F.lit(0.0), F.lit(1.0)).alias("peak"))
 
 
+def peak_pyramid(peaks: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = TRACK, block_levels: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Maxima of 2^level buckets for every level, and (keys, n_peaks).
+
+    (keys, level, bucket, columns) with level 0 as given; each level has half the rows of the one below, so all together
+    have twice those of ``peaks``. A task builds ``block_levels`` levels of one aligned block, and the tops of all blocks
+    are the input of the next round, so a track of any length takes a shuffle per ``block_levels`` levels. Null values
+    count for nothing, and blocks without a value have no row. Meant to be written once and read by many views.
+    """
+    keys, columns = list(keys), list(columns)
+    size = 1 << block_levels
+    out = T.StructType([*[peaks.schema[k] for k in keys], T.StructField("level", T.IntegerType()), T.StructField("bucket", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in columns]])
+
+    def levels(base: int):
+        def work(rows: pa.Table) -> pa.Table:
+            at = rows.column("bucket").to_numpy()
+            block = int(at[0]) // size
+            values = np.full((len(columns), size), -np.inf)
+            for k, name in enumerate(columns):
+                np.fmax.at(values[k], at - block * size, rows.column(name).to_numpy().astype(float))
+            parts = []
+            for up in range(block_levels + 1):
+                if up or not base:
+                    held = np.flatnonzero(np.isfinite(values).any(axis=0))
+                    parts.append((np.full(len(held), base + up), held + (block << (block_levels - up)), values[:, held]))
+                values = np.maximum(values[:, ::2], values[:, 1::2]) if up < block_levels else values
+            level, bucket, held = (np.concatenate(p, axis=-1) for p in zip(*parts))
+            own = {k: rows.column(k).take(pa.array(np.zeros(len(level), np.int64))) for k in keys}
+            shown = {c: pa.array(held[k], mask=~np.isfinite(held[k])) for k, c in enumerate(columns)}
+            return pa.table({**own, "level": pa.array(level.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int64)), **shown})
+
+        return work
+
+    rows = peaks.select(*keys, F.col("bucket").cast("long").alias("bucket"), *[F.col(c).cast("double").alias(c) for c in columns])
+    sizes = stage(rows.groupBy(*keys).agg((F.max("bucket") + 1).alias("n_peaks")), "peak-counts")
+    longest = sizes.agg(F.max("n_peaks")).first()[0] or 0
+    made, base = [], 0
+    while base == 0 or longest > 1 << base:
+        built = stage(rows.groupBy(*keys, F.expr(f"bucket div {size}").alias("_block")).applyInArrow(levels(base), out), "pyramid")
+        made.append(built)
+        base += block_levels
+        rows = built.filter(F.col("level") == base).drop("level")
+    return reduce(DataFrame.unionByName, made), sizes
+
+
+def viewport_bars(levels: DataFrame, sizes: DataFrame, views: DataFrame, columns: Sequence[str], *, width: int) -> DataFrame:
+    """The bars of each view (``track_id, view_id, duration, zoom, scroll``) from a ``peak_pyramid``.
+
+    One bar per step of peaks, one extra peak at each side: (track_id, view_id, peak_idx, x, bar_width, columns), each
+    column the step's maximum clamped to [0, 1]. A step is the union of at most two blocks of each level below its own
+    length, so a view asks for O(width * log(step)) entries, however many peaks lie under it. Bars off the view go.
+    """
+    ranged = visible_range(views).join(sizes, "track_id").filter("duration > 0")
+    lo = F.greatest(F.lit(0), F.floor(F.col("vis_start") / F.col("duration") * F.col("n_peaks")) - 1)
+    hi = F.least(F.col("n_peaks"), F.ceil(F.col("vis_end") / F.col("duration") * F.col("n_peaks")) + 1)
+    bounds = ranged.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}).withColumn("_n", F.col("_hi") - F.col("_lo"))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.greatest(F.lit(1), F.ceil(F.col("_n") / width)) / 2).cast("long"))
+    stepped = bounds.withColumn("_step", step).filter("_n > 0").withColumn("bar_width", F.greatest(F.lit(1.0), F.lit(float(width)) * F.col("_step") / (F.col("_n") + 1)))
+    bars = stepped.withColumn("peak_idx", F.explode(F.expr("sequence(_lo, _hi - 1, _step)")))
+    bars = bars.withColumn("x", time_to_pixel(F.col("peak_idx") / F.col("n_peaks") * F.col("duration"), F.lit(float(width))))
+    bars = bars.filter((F.col("x") >= -F.col("bar_width")) & (F.col("x") <= width + F.col("bar_width")))
+    asked = bars.withColumns({"_from": F.col("peak_idx"), "_to": F.least(F.col("peak_idx") + F.col("_step"), F.col("_hi"))})
+    asked = asked.withColumn("level", F.explode(F.expr("sequence(0, cast(floor(log2(_to - _from)) as int))")))
+    asked = asked.withColumns({"_l": F.expr("shiftright(_from + shiftleft(1L, level) - 1, level)"), "_r": F.expr("shiftright(_to, level)")})
+    ends = F.array_compact(F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1)))
+    asked = asked.filter("_l < _r").withColumn("bucket", F.explode(ends)).select("track_id", "view_id", "peak_idx", "x", "bar_width", "level", "bucket")
+    found = asked.join(levels, ["track_id", "level", "bucket"], "left")
+    maxima = [_clamp(F.coalesce(F.max(c), F.lit(0.0)), F.lit(0.0), F.lit(1.0)).alias(c) for c in columns]
+    return found.groupBy("track_id", "view_id", "peak_idx", "x", "bar_width").agg(*maxima)
+
+
 def config_error(df: DataFrame) -> DataFrame:
     """2 for a missing transition type while transitions are on or a divisor <= 0, else 0."""
     bad = (F.col("enable_transitions") & F.col("transition_type").isNull()) | (F.col("divisor") <= 0)
