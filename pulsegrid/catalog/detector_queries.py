@@ -121,6 +121,35 @@ def i3_mix(spark, sf):
     return mix.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum(F.abs("v")), 5).alias("level"))
 
 
+STEREO = (
+    f"base AS ({VIEWS['samples']}), duo AS (SELECT track_id || '/' || ch AS track_id, idx, CASE WHEN ch = 0 THEN v * 12 ELSE v * 12 * (idx % 7 - 3) / CAST(3 AS DOUBLE) END AS v FROM base, (VALUES (0), (1)) c(ch)), "
+)
+POLE = (
+    "pole(track_id, idx, v) AS (SELECT track_id, idx, v FROM duo WHERE idx = 0 UNION ALL SELECT s.track_id, s.idx, CASE WHEN s.idx = m.last THEN s.v ELSE s.v * CAST(0.25 AS DOUBLE) + pole.v * CAST(0.75 AS DOUBLE) END "
+    "FROM pole JOIN duo s ON s.track_id = pole.track_id AND s.idx = pole.idx + 1 JOIN (SELECT track_id, max(idx) AS last FROM duo GROUP BY 1) m ON m.track_id = s.track_id), "
+)
+
+
+def stereo_separation_sql(length):
+    """``sep`` on keys of track and channel, limited by the louder channel."""
+    return separation_sql(length).replace("PARTITION BY track_id, stem) AS m", "PARTITION BY split_part(track_id, '/', 1), stem) AS m")
+
+
+def interleaved(spark, sf):
+    """Two channels made of each track."""
+    ch = F.explode(F.array(F.lit(0), F.lit(1))).alias("ch")
+    v = F.when(F.col("ch") == 0, F.col("v") * 12).otherwise(F.col("v") * 12 * (F.col("idx") % 7 - 3) / F.lit(3.0))
+    return fx.samples(spark, sf).select("track_id", "idx", "v", ch).select("track_id", (F.col("idx") * 2 + F.col("ch")).alias("idx"), v.alias("v"))
+
+
+@query("i3_stereo_separation", f"WITH RECURSIVE {STEREO}{POLE}" + RESAMPLE.format(ratio="(CAST(100 AS DOUBLE) / 200)", src="pole") + f", raw AS (SELECT * FROM res), {stereo_separation_sql(256)} "
+       f"SELECT split_part(track_id, '/', 1) AS track_id, CAST(split_part(track_id, '/', 2) AS INTEGER) AS ch, stem, idx, {r('v')} AS v FROM sep")
+def i3_stereo(spark, sf):
+    """Two channels brought from 200 to 100 values a second behind the one-pole filter, then separated together."""
+    stems = score.separate_stereo(interleaved(spark, sf), in_rate=200, model_rate=100, length=256)
+    return stems.select("track_id", "ch", "stem", "idx", rnd("v").alias("v"))
+
+
 def by_stem(sql):
     """The energy detector's SQL with (track, stem) packed into one key."""
     return sql.replace("samples AS (SELECT event_type AS track_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id)", "samples AS (SELECT event_type || '/' || (user_id % 4) AS track_id, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id)")
@@ -310,6 +339,14 @@ def j5_stems(spark, sf):
     return timed(beats, *keys)
 
 
+@query("j5_stereo_detector", f"WITH RECURSIVE {STEREO}" + RESAMPLE.format(ratio="(CAST(200 AS DOUBLE) / 160)", src="duo") + f", raw AS (SELECT * FROM res), {stereo_separation_sql(512)}, "
+       f"samples AS (SELECT split_part(track_id, '/', 1) AS track_id, idx, avg(v) AS v FROM sep WHERE stem = 'drums' GROUP BY 1, 2), {J1} SELECT track_id, beat_idx, {r('t')} AS t FROM jb")
+def j5_stereo(spark, sf):
+    """Two channels brought from 160 to 200 values a second, separated, the drums made mono and detected on."""
+    beats = detect.stereo_stem_detector(interleaved(spark, sf), in_rate=160, model_rate=200, length=512, detector=lambda s: detect.energy_beats(s, rate=fx.RATE))
+    return timed(beats, "track_id")
+
+
 # ---- K --------------------------------------------------------------------------------------
 
 

@@ -162,6 +162,61 @@ def separate(samples: DataFrame, separator: Callable[[np.ndarray], np.ndarray] |
     return signal.peak_limit(joined, keys=["track_id", "stem"]) if limit else joined
 
 
+def stereo_split(rows: np.ndarray) -> np.ndarray:
+    """``band_split`` of each channel: (segments, 2, length) to (segments, 4, 2, length)."""
+    return np.stack([band_split(rows[:, c]) for c in range(rows.shape[1])], axis=2)
+
+
+def channels_at(interleaved: DataFrame, *, in_rate: int, model_rate: int) -> DataFrame:
+    """(track_id, ch, idx, v) of two interleaved channels at the model's rate.
+
+    Each channel is resampled on its own (B4), behind the one-pole filter (B6) where the rate goes down. A last value
+    without its partner is dropped.
+    """
+    whole = with_stats(interleaved, TRACK, _n=F.expr("(max(idx) + 1) div 2"))
+    parted = whole.select("track_id", (F.col("idx") % 2).cast("int").alias("ch"), F.expr("idx div 2").alias("idx"), "v", "_n").filter("idx < _n").drop("_n")
+    keys = ["track_id", "ch"]
+    if model_rate < in_rate:
+        parted = stage(signal.one_pole(parted, ratio=model_rate / in_rate, keys=keys), "filtered")
+    return signal.resample_linear(parted, in_rate=in_rate, out_rate=model_rate, keys=keys)
+
+
+def separate_stereo(
+    interleaved: DataFrame, separator: Callable[[np.ndarray], np.ndarray] | None = None, *, in_rate: int, model_rate: int, length: int, limit: bool = True
+) -> DataFrame:
+    """I3 on stereo: (track_id, stem, ch, idx, v) at ``model_rate``.
+
+    Both channels of a segment reach the separator together, as (1, 2, length), so it may use what they share; it returns
+    (1, stems, 2, length). Stems are overlap-added per channel and limited by the louder of their channels. A group holds
+    two channels of one segment.
+    """
+    separator = separator or stereo_split
+    resampled = channels_at(interleaved, in_rate=in_rate, model_rate=model_rate)
+    keyed = resampled.select(F.struct("track_id", "ch").alias("track_id"), "idx", "v")
+    cut = segments.overlap_segments(keyed, length=length).select("track_id.track_id", "track_id.ch", "seg", "pos", "v")
+    fields = [T.StructField("stem", T.StringType()), T.StructField("ch", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("v", T.DoubleType())]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        padded = np.zeros((1, 2, length))
+        padded[0, pdf["ch"].to_numpy(), pdf["pos"].to_numpy()] = pdf["v"].to_numpy(dtype=float)
+        count = int(pdf["pos"].max()) + 1
+        stems = separator(padded)[0]
+        return pd.concat([
+            pd.DataFrame({"track_id": key[0], "stem": name, "ch": np.int32(c), "seg": key[1], "pos": np.arange(count), "v": stems[i, c, :count]})
+            for i, name in enumerate(STEMS) for c in range(2)
+        ])
+
+    parts = stage(cut.groupBy("track_id", "seg").applyInPandas(run, T.StructType([interleaved.schema["track_id"], *fields])), "stems")
+    packed = parts.withColumn("track_id", F.struct("track_id", "stem", "ch")).drop("stem", "ch")
+    merged = stage(segments.overlap_add(packed, length=length).select("track_id.*", "idx", "v"), "separated")
+    return signal.peak_limit(merged, keys=["track_id", "stem"]) if limit else merged
+
+
+def stem_mono(stems: DataFrame) -> DataFrame:
+    """B2 per stem: (track_id, stem, idx, v), the mean of both channels."""
+    return stems.groupBy("track_id", "stem", "idx").agg(F.avg("v").alias("v"))
+
+
 def model_type(outputs: Column, declared: Column) -> Column:
     """A custom model with an output named like a segment head is AllInOne, otherwise BeatNet."""
     guess = F.when(F.exists(outputs, lambda x: x.contains("segment")), "AllInOne").otherwise("BeatNet")

@@ -189,3 +189,12 @@ def stem_detector(samples: DataFrame, *, length: int, detector: Callable[[DataFr
         chosen = grid.stem_fallback(stems, samples)
         return detector(chosen.select("track_id", "idx", "v"))
     return detector(stems)
+
+
+def stereo_stem_detector(interleaved: DataFrame, *, in_rate: int, model_rate: int, length: int, detector: Callable[[DataFrame], DataFrame], per_stem: bool = False) -> DataFrame:
+    """J5 and I4 on two interleaved channels: separate at the model's rate, make every stem mono, then detect."""
+    stems = stage(score.stem_mono(score.separate_stereo(interleaved, in_rate=in_rate, model_rate=model_rate, length=length)), "mono-stems")
+    if per_stem:
+        return detector(stems)
+    mix = score.channels_at(interleaved, in_rate=in_rate, model_rate=model_rate).groupBy("track_id", "idx").agg(F.avg("v").alias("v"))
+    return detector(grid.stem_fallback(stems, mix).select("track_id", "idx", "v"))
