@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +29,7 @@ from pulsegrid.session import stage
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-MAX_PARTS = 250_000  # parts remembered per worker before the memory starts afresh
+MAX_PARTS = 400_000  # parts remembered per worker before the memory starts afresh
 SHIFT = 20  # bits of a B id in a pair's code
 SPACE = "▁"  # fixed value: how pieces write a space
 
@@ -47,16 +48,18 @@ class PartAligner:
             self.bytes_a[at] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
         self.size_a, self.size_b = (np.array(list(map(len, table)), np.int64) for table in (self.bytes_a, self.bytes_b))
+        # ids as text with what follows them in a list of groups; the end of a part is a line break
+        self.words = [f"{k}{after}" for after, n in ((",", len(self.bytes_a)), ("|", len(self.bytes_a)), (",", len(self.bytes_b)), (";", len(self.bytes_b)), ("\n", len(self.bytes_b))) for k in range(n)]
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
-        self.facts = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, 1 if the bytes are the part's
-        self.links: list[np.ndarray] = []
+        self.facts = np.zeros((1 << 14, 5), np.int64)  # tokens of A, of B, groups, links, 1 if the bytes are the part's
+        self.links, self.first, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        """The memory's numbers of ``words``, parts without their leading space."""
+        """The memory's numbers of ``words``, different parts without their leading space."""
         found = list(map(self.known.get, words))
         if None in found:
             new = [w for w, at in zip(words, found, strict=True) if at is None]
@@ -73,49 +76,80 @@ class PartAligner:
         count_a = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
         lists = self.b.encode(words, num_threads=1)
         count_b = np.array(list(map(len, lists)), np.int64)
-        ids_a, ids_b = np.array(got.ids, np.int64), np.array([i for own in lists for i in own], np.int64)
-        ends_a, ends_b = np.cumsum(count_a), np.cumsum(count_b)
-        tokens_a, tokens_b = list(map(self.bytes_a.__getitem__, ids_a.tolist())), list(map(self.bytes_b.__getitem__, ids_b.tolist()))
-        same = np.array(
-            [
-                b"".join(tokens_a[za - na : za]) == b"".join(tokens_b[zb - nb : zb]) == b" " + w.encode()
-                for w, na, za, nb, zb in zip(words, count_a.tolist(), ends_a.tolist(), count_b.tolist(), ends_b.tolist(), strict=True)
-            ],
-            bool,
-        )
-        kept_a, kept_b = np.repeat(same, count_a), np.repeat(same, count_b)
-        groups, links, n_groups, n_links = aligned(ids_a[kept_a], ids_b[kept_b], self.size_a, self.size_b, count_a[same], count_b[same])
-        facts = np.zeros((len(words), 5), np.int64)
-        facts[same] = np.stack([count_a[same], count_b[same], n_groups, n_links, np.ones(same.sum(), np.int64)], axis=1)
-        groups, links = iter(groups), iter(links)
+        ids_a, ids_b = np.array(got.ids, np.int64), np.array(list(chain.from_iterable(lists)), np.int64)
+        same = self._same_bytes(words, ids_a, ids_b, count_a, count_b)
+        kept_a, kept_b = ids_a[np.repeat(same, count_a)], ids_b[np.repeat(same, count_b)]
+        groups, links, n_groups, n_links = self._aligned(kept_a, kept_b, count_a[same], count_b[same])
+
+        n, m, used = len(self.known), len(words), self.used
+        self.facts, self.first, self.links = (room(array, size) for array, size in ((self.facts, n + m), (self.first, n + m), (self.links, used + len(links))))
+        facts = np.zeros((m, 5), np.int64)
+        facts[same] = np.stack([count_a[same], count_b[same], n_groups, n_links, np.ones(len(n_links), np.int64)], axis=1)
+        self.facts[n : n + m] = facts
+        self.first[n : n + m] = used + np.cumsum(facts[:, 3]) - facts[:, 3]
+        self.links[used : used + len(links)] = links
+        self.used += len(links)
+        self.known.update(zip(words, range(n, n + m), strict=True))
+        if same.all():
+            self.groups += groups
+        else:
+            given = iter(groups)
+            self.groups += [next(given) if good else "" for good in same.tolist()]
+
+    def _same_bytes(self, words: list[str], ids_a: np.ndarray, ids_b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> np.ndarray:
+        """Whether each word's tokens, of A and of B, hold the bytes of the word led by a space.
+
+        If all have the right length and their bytes in a row are the words' bytes in a row, all are right.
+        """
+        raw = [b" " + w.encode() for w in words]
+        size = np.array(list(map(len, raw)), np.int64)
+        lengths = [np.diff(np.concatenate([[0], np.cumsum(table[ids])])[np.concatenate([[0], np.cumsum(count)])]) for table, ids, count in ((self.size_a, ids_a, count_a), (self.size_b, ids_b, count_b))]
+        tokens = [list(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        if all((own == size).all() for own in lengths) and b"".join(tokens[0]) == b"".join(tokens[1]) == b"".join(raw):
+            return np.ones(len(words), bool)
+        ends = [[0, *np.cumsum(count).tolist()] for count in (count_a, count_b)]
+        return np.array([all(b"".join(own[at[k] : at[k + 1]]) == r for own, at in zip(tokens, ends, strict=True)) for k, r in enumerate(raw)], bool)
+
+    def _aligned(self, ids_a: np.ndarray, ids_b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Each part's groups as text, all codes of linked pairs, and the numbers of both in each part, for parts whose
+        two token runs hold the same bytes."""
         none = np.zeros(0, np.int64)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        for good in same.tolist():
-            self.groups.append(next(groups) if good else "")
-            self.links.append(next(links) if good else none)
-        self.facts = np.concatenate([self.facts, facts])
-
-
-def aligned(ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Groups as text, codes of linked pairs, and the numbers of both, for parts whose two token runs hold the same bytes."""
-    if not len(count_a):
-        return [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-    first = np.searchsorted(end_b, end_a - size_a[ids_a], side="right")
-    reach = np.searchsorted(end_b, end_a, side="left") - first + 1
-    codes = (np.repeat(ids_a, reach) << SHIFT) | ids_b[spread(first, reach)]
-    last_a, last_b = np.cumsum(count_a), np.cumsum(count_b)
-    n_links = np.diff(np.cumsum(reach)[last_a - 1], prepend=0)
-    cut_a = np.flatnonzero(np.isin(end_a, end_b, assume_unique=True)) + 1  # a group ends after so many tokens of A
-    cut_b = np.searchsorted(end_b, end_a[cut_a - 1]) + 1
-    n_groups = np.diff(np.searchsorted(cut_a, last_a, side="right"), prepend=0)
-    text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    bounds_a, bounds_b = [0, *cut_a.tolist()], [0, *cut_b.tolist()]
-    group = [
-        ",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s]) for p, q, r, s in zip(bounds_a[:-1], bounds_a[1:], bounds_b[:-1], bounds_b[1:], strict=True)
-    ]
-    at = [0, *np.cumsum(n_groups).tolist()]
-    return [";".join(group[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)], np.split(codes, np.cumsum(n_links)[:-1]), n_groups, n_links
+        if not len(count_a):
+            return [], none, none, none
+        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        first = np.searchsorted(end_b, end_a - self.size_a[ids_a], side="right")
+        met = np.searchsorted(end_b, end_a, side="left")
+        reach = met - first + 1
+        codes = (np.repeat(ids_a, reach) << SHIFT) | ids_b[spread(first, reach)]
+        last_a, last_b = np.cumsum(count_a) - 1, np.cumsum(count_b) - 1
+        cut_a = end_b[met] == end_a  # a group ends with these tokens of A
+        cut_b = np.zeros(len(ids_b), bool)
+        cut_b[met[cut_a]] = True
+        n_links, n_groups = np.diff(np.cumsum(reach)[last_a], prepend=0), np.diff(np.cumsum(cut_a)[last_a], prepend=0)
+        # tokens in the order of the text: group by group, those of A ahead
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        n_a, n_b = len(self.bytes_a), len(self.bytes_b)
+        code_a = ids_a + n_a * cut_a
+        code_b = 2 * n_a + ids_b + n_b * cut_b
+        code_b[last_b] += n_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        text = "".join(map(self.words.__getitem__, np.concatenate([code_a, code_b])[order].tolist()))
+        return text[:-1].split("\n"), codes, n_groups, n_links
+
+
+def room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array``, or a longer copy of it that holds ``size`` rows."""
+    if size <= len(array):
+        return array
+    grown = np.zeros((max(size, 2 * len(array)), *array.shape[1:]), array.dtype)
+    grown[: len(array)] = array
+    return grown
+
+
+def different(values: np.ndarray) -> np.ndarray:
+    """The sorted different values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 @lru_cache(maxsize=2)
@@ -186,14 +220,13 @@ def one_block(memory: PartAligner, number: int, rows: pa.RecordBatch, texts: pa.
     texts_of = [";".join([shown[c] for c in codes[p:q]]) if ok else "" for p, q, ok in zip(bounds[:-1], bounds[1:], whole.tolist(), strict=True)]
     digests = [hashlib.sha256(t.encode()).hexdigest() if ok else "" for t, ok in zip(texts_of, whole.tolist(), strict=True)]
 
-    own = [memory.links[k] for k in at.tolist()]
-    sizes = np.array(list(map(len, own)), np.int64)
-    pairs, local = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_inverse=True)
+    sizes = facts[:, 3]
+    pairs, local = np.unique(memory.links[spread(memory.first[at], sizes)], return_inverse=True)
     owner = np.repeat(np.arange(n), np.diff(starts))
-    once = np.unique((owner * max(1, len(words)) + code)[whole[owner]])
+    once = different((owner * max(1, len(words)) + code)[whole[owner]])
     owner, part = once // max(1, len(words)), once % max(1, len(words))
     first = np.cumsum(sizes) - sizes
-    held = np.unique(np.repeat(owner, sizes[part]) * max(1, len(pairs)) + local[spread(first[part], sizes[part])])
+    held = different(np.repeat(owner, sizes[part]) * max(1, len(pairs)) + local[spread(first[part], sizes[part])])
     copies = rows.column(rows.schema.get_field_index("copies")).to_numpy()
     weights = np.zeros(len(pairs), np.int64)
     np.add.at(weights, held % max(1, len(pairs)), copies[held // max(1, len(pairs))])
