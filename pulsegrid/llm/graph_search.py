@@ -200,6 +200,8 @@ def build_index(vectors: DataFrame, copies: int, shard: int = SHARD) -> DataFram
     sizes = distinct.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     dealt = distinct.join(sizes, "width").withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "raw"), F.col("shards")).cast("int"))
 
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a graph is much work for few bytes, so small tasks are not put together
+
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place").combine_chunks()  # the same graph whenever the task runs again
         raw = rows.column("raw").combine_chunks()
@@ -211,7 +213,7 @@ def build_index(vectors: DataFrame, copies: int, shard: int = SHARD) -> DataFram
         ways = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
         return pa.table({"shard": rows.column("shard"), "width": rows.column("width"), "number": pa.array(np.arange(n, dtype=np.int32)), "entry": pa.array(entry), "raw": raw, "ids": rows.column("ids"), "ways": ways})
 
-    return stage(dealt.select("shard", "width", F.xxhash64("raw").alias("place"), "raw", "ids").groupBy("width", "shard").applyInArrow(work, INDEX.format(ids=distinct.schema["ids"].dataType.simpleString())), "index")
+    return stage(dealt.select("shard", "width", F.xxhash64("raw").alias("place"), "raw", "ids").repartition(parts, "width", "shard").groupBy("width", "shard").applyInArrow(work, INDEX.format(ids=distinct.schema["ids"].dataType.simpleString())), "index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block: int = QUERIES) -> DataFrame:
