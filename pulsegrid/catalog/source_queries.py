@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import query
@@ -230,6 +231,21 @@ CRC = (
 )
 
 
+@query("a8_edit_list_abort", with_views("beats", "SELECT track_id, count(*) AS n_missing, min(beat_idx) AS first_seg, 'seg/' || track_id || '_' || lpad(CAST(min(beat_idx) AS VARCHAR), 5, '0') || '.mp4' AS first_path, "
+       "false AS written FROM beats WHERE track_id % 2 = 0 AND beat_idx % 7 = 3 GROUP BY track_id"))
+def a8_abort(spark, sf):
+    """Every seventh file of every second track is missing, so no track's list is written."""
+    cuts = fx.beats(spark, sf).select("track_id", F.col("beat_idx").alias("seg_no"), F.format_string("seg/%d_%05d.mp4", "track_id", "beat_idx").alias("path"))
+    listed = cuts.filter("track_id % 2 <> 0 OR seg_no % 7 <> 3").select("path")
+    target = new_path(spark, "aborted")
+    try:
+        sinks.write_edl(cuts, listed, target)
+    except sinks.EditListAborted as stop:
+        store, inner, _ = files.open_store(target)
+        return stop.missing.withColumn("written", F.lit(store.get_file_info(inner).type != pafs.FileType.NotFound))
+    raise AssertionError("a list with missing files was written")
+
+
 @query("a9_file_manifest", CRC)
 def a9(spark, sf):
     d = fx.table(spark, sf, "documents")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.lookup import missing_files
 from pulsegrid.operators.sequence import with_stats
+from pulsegrid.session import stage
 
 
 def write_grid(beats: DataFrame, path: str) -> None:
@@ -32,19 +32,44 @@ def clock_report(beats: DataFrame, *, first: int = 20) -> DataFrame:
     return beats.filter(F.col("beat_idx") < first).select("track_id", "beat_idx", clock_text(F.col("t")).alias("clock"))
 
 
-def edl_lines(segments: DataFrame) -> DataFrame:
-    """One ``file '<path>'`` line per segment."""
-    return segments.select("track_id", "seg_no", F.format_string("file '%s'", "path").alias("line"))
+class EditListAborted(FileNotFoundError):
+    """Segments of an edit list have no file; ``missing`` lists them by track."""
+
+    def __init__(self, count: int, missing: DataFrame):
+        super().__init__(f"{count} segment files are missing")
+        self.missing = missing
+
+
+def checked_edl(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines of an edit list, each with whether its file is ``missing`` from the listing, written once for check and write.
+
+    A null path is missing; files listed twice count once.
+    """
+    listed = files.select("path").distinct().withColumn("_there", F.lit(True))
+    joined = segments.select("track_id", "seg_no", "path").join(listed, "path", "left")
+    line = F.format_string("file '%s'", "path").alias("line")
+    return stage(joined.select("track_id", "seg_no", "path", line, F.col("_there").isNull().alias("missing")), "edl")
+
+
+def missing_segments(checked: DataFrame) -> DataFrame:
+    """(track_id, n_missing, first_seg, first_path) of tracks whose edit list cannot be written."""
+    absent = checked.filter("missing").groupBy("track_id")
+    return absent.agg(F.count(F.lit(1)).alias("n_missing"), F.min("seg_no").alias("first_seg"), F.min_by("path", "seg_no").alias("first_path"))
 
 
 def write_edl(segments: DataFrame, files: DataFrame, path: str) -> None:
-    """Any missing file aborts the write. One directory per track, lines in order."""
-    absent = missing_files(segments.select("path").distinct(), files).count()
+    """Any missing file aborts the write of all tracks, before anything is written. One directory per track, lines in order.
+
+    The input is planned and run once: check and write read the same written lines. ``_SUCCESS`` in ``path`` marks a list
+    that is whole.
+    """
+    checked = checked_edl(segments, files)
+    absent = checked.filter("missing").count()
     if absent:
-        raise FileNotFoundError(f"{absent} segment files are missing")
-    lines = edl_lines(segments)
+        raise EditListAborted(absent, missing_segments(checked))
     # a hot track spreads over range partitions; part files of a track keep the order by name
-    lines.repartitionByRange("track_id", "seg_no").sortWithinPartitions("track_id", "seg_no").select("track_id", "line").write.partitionBy("track_id").text(path)
+    lines = checked.repartitionByRange("track_id", "seg_no").sortWithinPartitions("track_id", "seg_no")
+    lines.select("track_id", "line").write.partitionBy("track_id").text(path)
 
 
 def segment_name(stem: Column, number: Column, extension: str = ".mp4") -> Column:

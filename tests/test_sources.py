@@ -93,6 +93,9 @@ def test_edit_list_write_stops_on_missing_files(spark, tmp_path):
     segs = spark.createDataFrame(pd.DataFrame({"track_id": 1, "seg_no": [0, 1], "path": ["a.mp4", "b.mp4"]}))
     with pytest.raises(FileNotFoundError):
         sinks.write_edl(segs, segs.filter("seg_no = 0").select("path"), str(tmp_path / "none"))
+    with pytest.raises(sinks.EditListAborted) as stop:
+        sinks.write_edl(segs, segs.filter("seg_no = 0").select("path"), str(tmp_path / "none"))
+    assert [tuple(r) for r in stop.value.missing.select("n_missing", "first_seg", "first_path").collect()] == [(1, 1, "b.mp4")]
     assert not (tmp_path / "none").exists()
     sinks.write_edl(segs, segs.select("path"), str(tmp_path / "edl"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "edl")).collect()]
