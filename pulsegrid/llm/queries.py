@@ -93,7 +93,40 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM addresses LEFT JOIN fits USING (n)
 """.format(rules=", ".join(map(repr, RULES)), upper=url_filter.UPPER, lower=url_filter.LOWER)
 
-ORACLES = {"op6_url_filter": OP6_SQL}
+OP11_SQL = """
+WITH steps AS (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM steps),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (SELECT conv_id, list(m ORDER BY i) AS ms FROM turns GROUP BY conv_id),
+digits AS (SELECT conv_id, ms, list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM own),
+cut AS (
+  SELECT conv_id, ms, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_concat([4294967295], bytes), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h
+  FROM digits, crcs
+),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.ms[1:h], []), c.ms[h + 1:]) AS ms FROM cut c LEFT JOIN own b ON b.conv_id = c.base),
+steps_of AS (SELECT conv_id, unnest(range(len(ms) + 1)) AS d, ms FROM rebuilt),
+prefixes AS (SELECT conv_id, d, ms[1:d] AS p, d = len(ms) AS ended FROM steps_of),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p
+),
+hung AS (
+  SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.d = n.d + 1 AND k.p[1:n.d] = n.p) AS n_children
+  FROM nodes n LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+),
+under AS (
+  SELECT k AS d, p[1:k] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(p[d].x) END) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS k FROM hung) GROUP BY 1, 2
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM hung JOIN under USING (d, p)
+"""
+
+ORACLES = {"op6_url_filter": OP6_SQL, "op11_prefix_trie": OP11_SQL}
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
