@@ -62,6 +62,37 @@ def test_repeats_with_edits_and_chunks(make_docs, monkeypatch):
     assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found) == repeats(rows, 400)
 
 
+def without_repeated_words(text, shared, count=50):
+    """Plain loop: the text less every word of a ``count``-word string in ``shared``, each with the white space behind it."""
+    found = list(re.finditer(rb"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*", text))
+    own, gone = text.split(), set()
+    for k in range(len(own) - count + 1):
+        if shared[tuple(own[k : k + count])] > 1:
+            gone.update(range(k, k + count))
+    lead = text[: found[0].start()] if found else text
+    return lead + b"".join(m.group() for k, m in enumerate(found) if k not in gone)
+
+
+def repeated_words(texts, count=50):
+    raws = [(t or "").encode() for t in texts]
+    shared = Counter(tuple(own[k : k + count]) for own in (r.split() for r in raws) for k in range(len(own) - count + 1))
+    return [without_repeated_words(r, shared, count).decode() for r in raws]
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 1])
+def test_repeated_words(make_docs, odd_rows, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 333)
+    rng = random.Random(18)
+    passages = {n: words(rng, n) for n in (49, 50, 51, 62, 200)}
+    rows = odd_rows + [(100 * n + k, f"  {words(rng, 30)}\n\n{p}\u00a0\t {words(rng, 20)} ", "en") for n, p in passages.items() for k in range(4)]
+    rows += [(9_000 + k, f"{words(rng, 10)} {p} {words(rng, 10)}", "en") for k, p in enumerate(passages.values())]
+    found = suffix_dedup.remove_repeats(make_docs(rows), suffix_dedup.WORDS, as_text=True).collect()
+    want = Counter(zip((r[0] for r in rows), repeated_words([r[1] for r in rows]), strict=True))
+    assert Counter((r.doc_id, r.kept) for r in found) == want
+    assert any(r.n_removed and r.doc_id == 5_100 for r in found) and not any(r.n_removed for r in found if r.doc_id == 4_900)
+
+
 def test_repeats_of_nothing(make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
 
