@@ -20,13 +20,14 @@ INLINE = set(
     "span strike strong sub sup time tt u var wbr".split()
 )
 FURNITURE = set(
-    "head script style noscript template nav footer aside form button select input textarea iframe object embed svg canvas audio video "
+    "head script style noscript template nav footer aside button select input textarea iframe object embed svg canvas audio video "
     "dialog menu title xmp noembed noframes".split()
 )
 FURNITURE_WORDS = set(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer masthead menu modal nav navbar navigation newsletter notice popup promo promoted sidebar sponsor sponsored".split()
 )
+NO_FURNITURE_WORDS = set("has layout no with without".split())  # "has-sidebar" names a wrapper, not a sidebar
 FURNITURE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CLOSED_BY = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -44,80 +45,114 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+REMARKS = re.compile(r"comment|disqus|respond|reply", re.IGNORECASE)
 WORD_BREAK = re.compile(r"[^A-Za-z0-9]+")
 
 
-def is_furniture(tag: str, rest: str, inside_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script or comment area."""
+CERTAIN, LIKELY = 2, 1
+MOST = 0.9  # share of a page's running text that no menu, notice or form holds
+
+
+def furniture(tag: str, rest: str, inside_article: bool) -> int:
+    """How sure an element is a menu, header, footer, sidebar, notice, advert, form, script or comment area.
+
+    ``CERTAIN`` by its tag or because it is hidden; ``LIKELY`` by role, class, id or as a form, which wrappers of whole
+    pages may be as well.
+    """
     if tag in FURNITURE or (tag == "header" and not inside_article):
-        return True
-    if not rest or tag in ("html", "body", "article", "main"):
-        return False
+        return CERTAIN
+    likely = LIKELY if tag == "form" else 0
+    if not rest or tag in ("html", "body"):
+        return likely
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values).lower()
+        if tag in ("article", "main"):
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in FURNITURE_ROLES:
-            return True
+            return CERTAIN
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id") and not FURNITURE_WORDS.isdisjoint(WORD_BREAK.split(value)):
-            return True
-    return False
+            return CERTAIN
+        if name == "role" and value in FURNITURE_ROLES:
+            likely = LIKELY
+        if name in ("class", "id"):
+            names = (set(WORD_BREAK.split(v)) for v in value.split())
+            if any(not FURNITURE_WORDS.isdisjoint(n) and NO_FURNITURE_WORDS.isdisjoint(n) for n in names):
+                likely = LIKELY
+    return likely
+
+
+class OpenElements:
+    """The stack of open elements, with the places of each tag, so that no lookup walks the stack."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.at, self.solid = [0], ["#root"], {"#root": [0]}, [0]
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        if tag not in INLINE:
+            self.solid.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag; 0, the root's, if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.solid.pop()
 
 
 class Page:
     """Nodes of one page in page order: parent, tag, characters, tags, link characters, link tags; and its texts."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.dropped = [-1], ["#root"], [False]
+        self.parent, self.tag, self.kind = [-1], ["#root"], [0]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
+        self.remarks = [False]  # areas of reader comments, whose single comments may be marked up as articles
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         self._read(source)
 
-    def _open(self, stack: list[int], tag: str, rest: str) -> None:
-        closes = CLOSED_BY.get(tag, ()) or (("p",) if tag in P_ENDS else ())
-        if tag in P_ENDS:
-            closes = {*closes, "p"}
-        for k in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[k]]
-            if name in closes:
-                del stack[k:]
-                break
-            if name in SCOPE or name in ("tr", "li") and tag not in ("li", "tr"):
-                break
-        above = stack[-1]
+    def _open(self, stack: OpenElements, tag: str, rest: str) -> None:
+        closes = CLOSED_BY.get(tag, set()) | ({"p"} if tag in P_ENDS else set())
+        if closes:
+            bars = SCOPE if tag in ("li", "tr") else SCOPE | {"li", "tr"}
+            place = max(map(stack.last, closes))
+            if place > max(map(stack.last, bars - closes)):
+                stack.cut(place)
+        above = stack.nodes[-1]
         if tag == "br":
             self.texts.append((above, self.block, " "))
         elif tag not in INLINE:
             self.block += 1
-        inside = any(self.tag[n] in ("article", "main") for n in stack) if tag == "header" else False
         node = len(self.parent)
         self.parent.append(above)
         self.tag.append(tag)
-        self.dropped.append(self.dropped[above] or is_furniture(tag, rest, inside))
+        self.kind.append(furniture(tag, rest, bool(stack.last("article") or stack.last("main"))))
+        self.remarks.append(bool(self.kind[node]) and bool(REMARKS.search(rest)))
         for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
             counts.append(0)
         if tag not in VOID:
-            stack.append(node)
+            stack.push(node, tag)
 
-    def _close(self, stack: list[int], tag: str) -> None:
+    def _close(self, stack: OpenElements, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        inline = tag in INLINE
-        for k in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[k]]
-            if name == tag:
-                del stack[k:]
-                break
-            if inline and name not in INLINE or name in ("body", "html"):
-                break
-        if not inline:
+        place = stack.last(tag)
+        if place > (stack.solid[-1] if tag in INLINE else max(stack.last("body"), stack.last("html"))):
+            stack.cut(place)
+        if tag not in INLINE:
             self.block += 1
 
     def _read(self, source: str) -> None:
-        stack, at, last = [0], 0, source.rfind(">")
+        stack, at, last = OpenElements(), 0, source.rfind(">")
         while at < len(source):
             start = source.find("<", at)
             if start < 0 or start > last:
@@ -125,7 +160,7 @@ class Page:
             token = TOKEN.match(source, start) if start < len(source) else None
             stop = start if token or start == len(source) else start + 1
             if stop > at:
-                self.texts.append((stack[-1], self.block, source[at:stop]))
+                self.texts.append((stack.nodes[-1], self.block, source[at:stop]))
             at = max(stop, start)
             if not token:
                 continue
@@ -144,7 +179,30 @@ class Page:
                 self.texts.append((len(self.parent) - 1, self.block, source[at:stop]))
                 at = stop
 
+    def _drop(self) -> list[bool]:
+        """Which nodes lie in furniture. What is only likely stays if it holds an article or most of the page's running text."""
+        count = len(self.parent)
+        certain, linked = [False] * count, [False] * count
+        for node in range(1, count):
+            above = self.parent[node]
+            certain[node] = certain[above] or self.kind[node] == CERTAIN
+            linked[node] = linked[above] or self.tag[node] == "a"
+        running, holds = [0] * count, [False] * count
+        for node, _, text in self.texts:
+            if not (certain[node] or linked[node]):
+                running[node] += len(text) - text.count(" ") - text.count("\n")
+        for node in range(count - 1, 0, -1):
+            above = self.parent[node]
+            running[above] += running[node]
+            holds[above] |= holds[node] or (self.tag[node] in ("article", "main") and not certain[node])
+        dropped = [False] * count
+        for node in range(1, count):
+            keeps = not self.remarks[node] and (holds[node] or running[node] >= MOST * running[0] > 0)
+            dropped[node] = dropped[self.parent[node]] or self.kind[node] == CERTAIN or (self.kind[node] == LIKELY and not keeps)
+        return dropped
+
     def main_text(self) -> str:
+        self.dropped = self._drop()
         texts = [(node, block, html.unescape(t)) for node, block, t in self.texts if not self.dropped[node]]
         linked = [False] * len(self.parent)
         for node in range(1, len(self.parent)):
