@@ -25,7 +25,7 @@ PROVIDERS = (
     r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*)"
 )
 ORDINARY = (
-    r"^(?:[\w.+-]+@[\w-]+\.[\w.]+|[a-z]+://.*|/?(?:[\w.-]+/){2,}[\w.-]*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
+    r"^(?:[\w.+-]+@[\w-]+\.[\w.]+|[a-z]+://.*|//[\w-]+(?:\.[\w-]+)+(?:[/:?#].*)?|/?(?:[\w.-]+/){2,}[\w.-]*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
     r"|[-+0-9.,:/()%$#*&]+|\d+[a-z]{1,3}|v?\d+(?:\.\d+)+\w*|[a-z]+\d{1,4}|(?:\d{1,4}[-/.:T]){2,}[\dZ:.+-]*)$"
 )
 COMMON_WORDS = (
@@ -48,40 +48,47 @@ BEFORE, AFTER, SHORTEST = 80, 40, 6
 BLOCK_FEATURES = 20_000  # characters of a private key block that make its features
 CANDIDATE = (
     rf"{BLOCK}"
-    rf"|{WORD_START}(?:[^\s\"'=:`,;(<\[0-9]*+[0-9][^\s\"'`,;)>\]]*+|(?<=(?i:{NAMES})[\"']?\s?[=:]\s?[\"']?)[^\s\"'`,;)>\]]{{{SHORTEST},}})"
+    rf"|{WORD_START}(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])|[^\s\"'=:`,;(<\[0-9]*+[0-9][^\s\"'`,;)>\]]*+|(?<=(?i:{NAMES})[\"']?\s?[=:]\s?[\"']?)[^\s\"'`,;)>\]]{{{SHORTEST},}})"
 )
+FILLER = r"x{4,}|0{6,}|0?1234567(?:89?0?)?"  # makes a placeholder where it is half of a value or more
 FEATURES = [
     "length", "turns", "digits", "upper", "lower", "marks", "variety", "hex_only", "covered", "longest_word", "path_like", "address_like",
-    "named", "name_near", "quoted", "assigned", "placeholder", "common_before", "common_after",
+    "named", "name_near", "quoted", "assigned", "placeholder", "common_before", "common_after", "provider",
 ]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Everything in the whole texts that might be a secret: ``doc_id, start, candidate, before, after``.
+    """Everything in the whole texts that might be a secret: ``doc_id, _text, start, candidate, before, after``.
 
-    ``start`` counts characters from 0. A candidate is a word with a digit, the value given to a name such as
+    ``_text`` is a hash of the text, which tells rows of one id apart.
+
+    ``start`` counts characters from 0. A candidate is a word with a digit, a provider's key without one, the value given to a name such as
     ``password``, or a private key block, of ``SHORTEST`` characters or more. Null and empty texts give none; repeated
     rows give theirs each.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
     matched = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     between = F.transform(F.split("text", CANDIDATE, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(AFTER)).alias("head")))
-    parts = matched.select("doc_id", "_row", "found", between.alias("between"))
+    parts = matched.select("doc_id", "_text", "_row", "found", between.alias("between"))
     count = F.size("found")
     zipped = F.arrays_zip(F.slice("between", 1, count).alias("left"), F.col("found"), F.slice("between", 2, count).alias("right"))
-    each = parts.select("doc_id", "_row", F.posexplode(zipped).alias("k", "z")).select(
-        "doc_id", "_row", "k", F.col("z.left.n").alias("gap"), F.col("z.left.tail").alias("before"), F.col("z.found").alias("candidate"), F.col("z.right.head").alias("after")
+    each = parts.select("doc_id", "_text", "_row", F.posexplode(zipped).alias("k", "z")).select(
+        "doc_id", "_text", "_row", "k", F.col("z.left.n").alias("gap"), F.col("z.left.tail").alias("before"), F.col("z.found").alias("candidate"), F.col("z.right.head").alias("after")
     )
     upto = Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("start", (F.sum(F.col("gap") + F.length("candidate")).over(upto) - F.length("candidate")).cast("long"))
     trimmed = F.regexp_replace("candidate", r"[.!?:*%#&$|]+$", "")
-    return placed.withColumn("candidate", trimmed).where(F.length("candidate") >= SHORTEST).select("doc_id", "start", "candidate", "before", "after")
+    return placed.withColumn("candidate", trimmed).where(F.length("candidate") >= SHORTEST).select("doc_id", "_text", "start", "candidate", "before", "after")
 
 
 def is_block() -> Column:
     return F.col("candidate").rlike("^" + BLOCK_START)
 
 
+def of_provider() -> Column:
+    return (F.col("provider") == 1) & (F.col("placeholder") == 0)
+
+
 def share(text: str, pattern: str) -> Column:
     """Share of the characters that ``pattern`` (a character class) matches."""
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
@@ -99,6 +106,7 @@ def with_features(found: DataFrame, words: list[str] = COMMON_WORDS) -> DataFram
     letters = F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))
     last, following = F.lower(F.regexp_extract("before", r"([\p{L}]+)[^\p{L}]*$", 1)), F.lower(F.regexp_extract("after", r"^[^\p{L}]*([\p{L}]+)", 1))
     common = F.array(*[F.lit(w) for w in words])
+    filled = F.length(F.regexp_replace(c, f"(?i){FILLER}", "")) * 2 <= F.length(c)
     flag = lambda text, pattern: F.col(text).rlike(pattern).cast("double")
     made = {
         "length": F.least(F.length(c), F.lit(200)).cast("double"),
@@ -112,27 +120,29 @@ def with_features(found: DataFrame, words: list[str] = COMMON_WORDS) -> DataFram
         "covered": 1.0 - F.length(lone) / size,
         "longest_word": F.coalesce(F.array_max(F.transform(letters, lambda w: F.length(w))), F.lit(0)) / size,
         "path_like": flag("candidate", r"[/\\].*[/\\]|^[/~.]|\.[a-z]{2,4}$"),
-        "address_like": flag("candidate", r"@|://|^www\."),
+        "address_like": flag("candidate", r"@|://|^//[\w-]+\.|^www\."),
         "named": flag("before", rf"(?i)(?:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?$"),
         "name_near": flag("before", rf"(?i)\b(?:{NAMES}|bearer|login|key)\b"),
         "quoted": flag("before", "[\"'`]$"),
         "assigned": flag("before", r"[=:]\s{0,2}[\"'`]?$"),
-        "placeholder": flag("candidate", r"(?i)example|sample|dummy|changeme|your[_-]|x{4,}|0{6,}|1234567"),
+        "placeholder": flag("candidate", r"(?i)example|sample|dummy|changeme|your[_-]"),
         "common_before": F.array_contains(common, last).cast("double"),
         "common_after": F.array_contains(common, following).cast("double"),
+        "provider": flag("candidate", "(?s)" + PROVIDERS),
     }
+    made["placeholder"] = F.greatest(made["placeholder"], filled.cast("double"))
     return found.withColumns(made).withColumn("candidate", F.col("_whole")).drop("_whole")
 
 
 def weak_label(featured: DataFrame) -> DataFrame:
     """Label findings that stand for themselves: 1.0 a private key block, a provider's format or a random-looking value given to a
-    secret's name; 0.0 addresses, paths, numbers, dates, placeholders and words; others keep a null ``label``."""
+    secret's name; 0.0 addresses, paths, numbers, dates, placeholders, words and hexadecimal digests that nothing names; others keep a null ``label``."""
     ordinary = F.col("candidate").rlike(ORDINARY) | (F.col("covered") > 0.6) | (F.col("placeholder") == 1)
     random = (F.col("named") == 1) & (F.col("digits") > 0.1) & (F.col("length") >= 10) & (F.col("variety") > 0.2)
-    sure = F.col("candidate").rlike("(?s)" + PROVIDERS) & (F.col("placeholder") == 0)
+    digest = (F.col("hex_only") == 1) & (F.col("named") == 0) & (F.col("name_near") == 0) & (F.col("assigned") == 0)
     unnamed = (F.col("named") == 0) & (F.col("name_near") == 0) & ((F.col("digits") < 0.15) | (F.col("turns") < 0.2))
     unnamed = unnamed & ~F.col("candidate").rlike("^[A-Za-z0-9+/]{40,}={0,2}$")  # might be a line of a key without its BEGIN
-    return featured.withColumn("label", F.when(is_block() | sure, 1.0).when(ordinary, 0.0).when(random, 1.0).when(unnamed, 0.0))
+    return featured.withColumn("label", F.when(is_block() | of_provider(), 1.0).when(ordinary | digest, 0.0).when(random, 1.0).when(unnamed, 0.0))
 
 
 @dataclass
@@ -170,24 +180,35 @@ def judge(featured: DataFrame, model: SecretModel) -> DataFrame:
     return forest.transform(rows).withColumn("score", vector_to_array("_share")[1]).drop("_features", "_raw", "_share", "_prediction")
 
 
+def secrets_of(docs: DataFrame, labelled: DataFrame | None, threshold: float) -> DataFrame:
+    """Secrets with features and ``score``; ``_text`` as in ``candidates``."""
+    prepare(docs.sparkSession)
+    found = stage(weak_label(with_features(candidates(docs))), "findings")
+    model = fit(found if labelled is None else with_features(labelled))
+    known = F.when(is_block() | of_provider(), 1.0).when(F.col("provider") == 1, 0.0)
+    return judge(found, model).withColumn("score", F.coalesce(known, "score")).where(F.col("score") >= threshold)
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Secrets in the whole texts: ``doc_id, start, length, secret, score``, one row each.
 
     ``labelled`` has findings as ``candidates`` gives them with a ``label`` (1.0 secret, 0.0 not); without it the
-    findings that ``weak_label`` is sure of teach the forest, which then judges all but private key blocks, whose score
-    is 1. Rows with a null id are scanned as
-    well; other columns are ignored. An empty table has no secrets.
+    findings that ``weak_label`` is sure of teach the forest, which then judges all but private key blocks and values in
+    a provider's format, whose score is 1, or 0 if they are placeholders. Rows with a null id are scanned as well; other
+    columns are ignored. An empty table has no secrets.
     """
-    prepare(docs.sparkSession)
-    found = stage(weak_label(with_features(candidates(docs))), "findings")
-    model = fit(found if labelled is None else with_features(labelled))
-    judged = judge(found, model).withColumn("score", F.when(is_block(), 1.0).otherwise(F.col("score"))).where(F.col("score") >= threshold)
-    return judged.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.col("candidate").alias("secret"), F.round("score", 6).alias("score"))
+    size = F.length("candidate").cast("long").alias("length")
+    return secrets_of(docs, labelled, threshold).select("doc_id", "start", size, F.col("candidate").alias("secret"), F.round("score", 6).alias("score"))
+
 
+def redact(docs: DataFrame, mask: str = MASK, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by ``mask``; all rows and columns are kept.
 
-def redact(docs: DataFrame, mask: str = MASK, **options) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mask``; all rows and columns are kept."""
-    secrets = stage(scan(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("_secrets")), "secrets")
-    joined = docs.join(secrets.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    A row's own secrets are masked in it, whatever other rows have its id: they are joined by id and text.
+    """
+    found = secrets_of(docs, labelled, threshold).select("doc_id", "_text", F.col("candidate").alias("secret"))
+    secrets = found.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("_secrets"))
+    secrets = stage(secrets.select(F.col("doc_id").alias("_id"), "_text", "_secrets"), "secrets")
+    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left")
     clean = F.aggregate("_secrets", F.col("text"), lambda text, s: F.replace(text, s["secret"], F.lit(mask)))
-    return joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean)).drop("_secrets").select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
