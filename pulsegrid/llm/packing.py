@@ -120,10 +120,15 @@ def slots(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
     return {n: tuple(np.array(column, np.int64) for column in zip(*rows, strict=True)) for n, rows in places.items()}
 
 
+def dealt(pieces: DataFrame) -> DataFrame:
+    """Pieces with the group ``_salt`` that ranks them. ``_deal`` numbers the written rows, so equal rows spread as well."""
+    groups = min(MAX_GROUPS, max(1, pieces.count() // RANK_GROUP))
+    return pieces.withColumn("_salt", F.pmod(F.xxhash64("_deal"), F.lit(groups))).drop("_deal")
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """Number the pieces of each length from 0, in groups, so that a very common length is no single group."""
-    groups = min(MAX_GROUPS, max(1, pieces.count() // RANK_GROUP))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    salted = dealt(pieces)
     counts = salted.groupBy("length", "_salt").count()
     below = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "_salt", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_base"))
@@ -136,9 +141,10 @@ def pack(pieces: DataFrame, size: int = LENGTH) -> DataFrame:
     """Give each piece its ``sequence_id`` and ``offset``.
 
     Only the histogram (at most ``size`` counts) reaches the driver. Patterns are cut into places, a run of ranks of one
-    length each, and a piece finds its place by its length and rank. The places follow ``size``, not the pieces.
+    length each, and a piece finds its place by its length and rank. The places follow ``size``, not the pieces. Which of
+    the pieces of one length takes which place depends on how the rows were dealt to tasks.
     """
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces.withColumn("_deal", F.monotonically_increasing_id()), "pieces")
     histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
     where = slots(shortest_pack_first(histogram, size))
 
