@@ -20,21 +20,24 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 from pulsegrid.llm.common import spread
 
 MAX_PARTS = 500_000  # parts remembered per worker before the memory starts afresh
+MAX_WORDS = 1_000_000  # the same where marks are cut off ahead
 CLOSING = ".,;:!?%#$&*()[]\"-"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LINE_BREAK = re.compile(r"(?<=\S)(\n)(?=\S)")
+CLOSED = r"([A-Za-z0-9])([" + re.sub(r"(.)", r"\\\1", CLOSING) + r"]+)(\s|\z)"  # as ``pieces`` cuts, for ASCII stems
 SPACE_BY_SPACE = r"[\s\v\x1c-\x1f\x{85}\pZ] | [\s\v\x1c-\x1f\x{85}\pZ]"
 
 
 def parts_without_space(texts: pa.Array) -> pa.ListArray:
-    """Parts for vocabularies that drop white space and case: cut at ASCII white space.
+    """Parts for vocabularies that drop white space and case: cut at ASCII white space and before closing marks.
 
+    A word and the word with a mark behind it are then one part and the mark, not two parts to remember.
     ASCII letters are lower-cased ahead, which makes fewer parts. It could change what a letter and a combining mark
     compose to, so texts with marks are left alone.
     """
     if not pc.any(pc.match_substring_regex(texts, r"\pM")).as_py():
         texts = pc.ascii_lower(texts)
-    return pc.ascii_split_whitespace(texts)
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, CLOSED, r"\1 \2\3"))
 
 
 def parts_with_space(texts: pa.Array) -> pa.ListArray:
@@ -66,8 +69,8 @@ def pieces(part: str) -> list[str]:
 class PartEncoder:
     """Token ids of texts by way of their distinct parts."""
 
-    def __init__(self, tokenizer: Tokenizer, parts: Callable[[pa.Array], pa.ListArray], spaced: bool):
-        self.tokenizer, self.parts, self.spaced = tokenizer, parts, spaced
+    def __init__(self, tokenizer: Tokenizer, parts: Callable[[pa.Array], pa.ListArray], spaced: bool, most: int = MAX_PARTS):
+        self.tokenizer, self.parts, self.spaced, self.most = tokenizer, parts, spaced, most
         self._forget()
 
     def _forget(self) -> None:
@@ -103,7 +106,7 @@ class PartEncoder:
         found = list(map(self.known.get, distinct))
         if None in found:
             new = [p for p, at in zip(distinct, found, strict=True) if at is None]
-            if len(self.known) + 2 * len(new) > MAX_PARTS:
+            if len(self.known) + 2 * len(new) > self.most:
                 self._forget()
                 new = distinct
             self._learn(new)
@@ -146,7 +149,7 @@ def word_encoder(path: str) -> PartEncoder:
     """Encoder of a ``tokenizers`` file whose splitting drops white space."""
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return PartEncoder(tokenizer, parts_without_space, spaced=False)
+    return PartEncoder(tokenizer, parts_without_space, spaced=False, most=MAX_WORDS)
 
 
 def byte_table() -> list[str]:
