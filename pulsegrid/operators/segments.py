@@ -252,23 +252,33 @@ def filter_chain(configs: DataFrame) -> DataFrame:
     return configs.withColumn("chain", F.concat_ws(",", color, vignette, blur))
 
 
+def _part(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``_part``, the filter of each of their joints."""
+    source = F.replace(F.col("path"), F.lit("'"), F.lit("\\'"))
+    return jobs.withColumn("_part", F.concat(F.lit("gltransition=source='"), source, F.lit("':duration="), F.format_string("%.3f", F.col("duration"))))
+
+
+def _edge(joint: Column) -> Column:
+    left = F.when(joint == 0, F.lit("[0:v]")).otherwise(F.concat(F.lit("[t"), joint.cast("string"), F.lit("]")))
+    right = (joint + 1).cast("string")
+    return F.concat(left, F.lit("["), right, F.lit(":v]"), F.col("_part"), F.lit("[t"), right, F.lit("]"))
+
+
 def transition_edges(jobs: DataFrame) -> DataFrame:
     """One row ``edge`` per joint of ``jobs(n_inputs, path, duration)``; columns of the job are kept."""
-    source = F.replace(F.col("path"), F.lit("'"), F.lit("\\'"))
-    part = F.concat(F.lit("gltransition=source='"), source, F.lit("':duration="), F.format_string("%.3f", F.col("duration")))
     job = [c for c in jobs.columns if c not in ("path", "duration")]
-    rows = jobs.withColumn("_part", part).withColumn("_joints", F.col("n_inputs").cast("long") - 1)
-    edges = counted(rows, "_joints", "joint", keys=job)
-    left = F.when(F.col("joint") == 0, F.lit("[0:v]")).otherwise(F.concat(F.lit("[t"), F.col("joint").cast("string"), F.lit("]")))
-    right = (F.col("joint") + 1).cast("string")
-    return edges.withColumn("edge", F.concat(left, F.lit("["), right, F.lit(":v]"), F.col("_part"), F.lit("[t"), right, F.lit("]"))).drop("_part", "_joints")
-
-
-def transition_chain(jobs: DataFrame, key: str) -> DataFrame:
-    """H15 as text: the edges of each job joined in order; empty below 2 inputs. ``key`` names a job."""
-    parts = F.array_sort(F.collect_list(F.struct("joint", "edge")))
-    graphs = transition_edges(jobs).groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["edge"]), ";").alias("graph"))
-    return jobs.join(graphs, key, "left").withColumn("graph", F.coalesce("graph", F.lit("")))
+    rows = _part(jobs).withColumn("_joints", F.col("n_inputs").cast("long") - 1)
+    return counted(rows, "_joints", "joint", keys=job).withColumn("edge", _edge(F.col("joint"))).drop("_part", "_joints")
+
+
+def transition_chain(jobs: DataFrame, key: str | None = None) -> DataFrame:
+    """H15 as text: the edges of each job joined in order; empty below 2 inputs. ``key`` names a job and is not needed.
+
+    The text of a job is one value anyway, so it is made where its row is: texts are neither shuffled nor joined.
+    """
+    joints = F.sequence(F.lit(0).cast("long"), F.col("n_inputs").cast("long") - 2)
+    graph = F.when(F.col("n_inputs") >= 2, F.array_join(F.transform(joints, _edge), ";"))
+    return _part(jobs).withColumn("graph", F.coalesce(graph, F.lit(""))).drop("_part")
 
 
 def overlap_segments(samples: DataFrame, *, length: int) -> DataFrame:

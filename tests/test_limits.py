@@ -27,6 +27,19 @@ def test_many_transition_inputs(spark):
     assert graphs[1].count(";") == 148 and graphs[2] == "" and graphs[3].endswith("[t19999]")
 
 
+def test_transition_texts_stay_with_their_rows(spark):
+    """The planner takes a text for 20 bytes, so a join by job broadcasts all of them."""
+    rows = [(1, 3, "a'b", 0.3), (2, 1, "b", 0.3), (3, 0, "b", 0.3), (4, None, "b", 0.3), (5, 2, "c", 1.25)]
+    jobs = spark.createDataFrame(rows, "job long, n_inputs long, path string, duration double")
+    made = segments.transition_chain(jobs, "job")
+    assert made.columns == [*jobs.columns, "graph"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan, plan
+    part = r"gltransition=source='a\'b':duration=0.300"
+    want = {1: f"[0:v][1:v]{part}[t1];[t1][2:v]{part}[t2]", 2: "", 3: "", 4: "", 5: "[0:v][1:v]gltransition=source='c':duration=1.250[t1]"}
+    assert {r.job: r.graph for r in made.collect()} == want
+
+
 def test_thirty_thousand_clips(spark):
     rng = np.random.default_rng(1)
     lengths = rng.integers(5, 400, 30_000) / 64
