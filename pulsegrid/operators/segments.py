@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.functions.rounding import printf
 from pulsegrid.operators.carry import NONE, Run, carry_scan
 from pulsegrid.operators.sequence import TRACK, counted, dense_index, neighbours, running_sum, with_stats
 from pulsegrid.operators.tempo import filtered_average_interval
@@ -231,7 +232,7 @@ def segments_from_peaks(peaks: DataFrame, durations: DataFrame) -> DataFrame:
 
 def window_expressions(beats: DataFrame, *, width: float, per: int = PER_CHUNK) -> DataFrame:
     """``between(t,a,b)`` terms joined by '+', ``per`` beats to a row."""
-    term = F.format_string("between(t,%.6f,%.6f)", F.col("t"), F.col("t") + F.lit(width))
+    term = printf("between(t,%.6f,%.6f)", F.col("t"), F.col("t") + F.lit(width))
     rows = beats.select("track_id", F.expr(f"beat_idx div {per}").alias("chunk"), F.struct("beat_idx", term.alias("x")).alias("s"))
     packed = rows.groupBy("track_id", "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return packed.select("track_id", "chunk", F.array_join(F.transform("s", lambda s: s["x"]), "+").alias("enable"))
@@ -239,8 +240,7 @@ def window_expressions(beats: DataFrame, *, width: float, per: int = PER_CHUNK)
 
 def _plain_number(value: Column) -> Column:
     """Decimal text with six significant digits, without trailing zeros."""
-    text = F.format_string("%.6g", value.cast("double"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    return printf("%.6g", value.cast("double"))
 
 
 def filter_chain(configs: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def filter_chain(configs: DataFrame) -> DataFrame:
 def _part(jobs: DataFrame) -> DataFrame:
     """``jobs`` with ``_part``, the filter of each of their joints."""
     source = F.replace(F.col("path"), F.lit("'"), F.lit("\\'"))
-    return jobs.withColumn("_part", F.concat(F.lit("gltransition=source='"), source, F.lit("':duration="), F.format_string("%.3f", F.col("duration"))))
+    return jobs.withColumn("_part", F.concat(F.lit("gltransition=source='"), source, F.lit("':duration="), printf("%.3f", F.col("duration"))))
 
 
 def _edge(joint: Column) -> Column:

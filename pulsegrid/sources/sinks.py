@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.rounding import printf
 from pulsegrid.operators.sequence import with_stats
 from pulsegrid.session import stage
 
@@ -18,13 +19,13 @@ def grid_report(beats: DataFrame, *, edge: int = 5, full: int = 10) -> DataFrame
     """The beats a text report shows: all up to ten, else the first and last five."""
     sized = with_stats(beats, ["track_id"], n=F.count(F.lit(1)))
     shown = (F.col("n") <= full) | (F.col("beat_idx") < edge) | (F.col("beat_idx") >= F.col("n") - edge)
-    return sized.filter(shown).select("track_id", "beat_idx", F.format_string("%.3f", "t").alias("text"))
+    return sized.filter(shown).select("track_id", "beat_idx", printf("%.3f", F.col("t")).alias("text"))
 
 
 def clock_text(t: Column) -> Column:
     """Minutes and seconds."""
     minutes = F.floor(t / 60)
-    return F.format_string("%2d:%6.3f", minutes, t - minutes * 60)
+    return printf("%2d:%6.3f", minutes, t - minutes * 60)
 
 
 def clock_report(beats: DataFrame, *, first: int = 20) -> DataFrame:
