@@ -74,15 +74,22 @@ def a2_dur(spark, sf):
 WAVE_FRAMES, WAVE_RANGE = 1500, 400
 
 
+def _wave(values, rate):
+    """A wave file of whole 32,768ths: 16-bit if all of them fit, 32-bit float with what is louder."""
+    loud = bool(len(values)) and not (values.min() >= -32768 and values.max() <= 32767)
+    tag, wide, body = (3, 4, (values / 32768).astype("<f4")) if loud else (1, 2, values.astype("<i2"))
+    size = wide * len(values)
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, tag, 1, rate, wide * rate, wide, 8 * wide, b"data", size) + body.tobytes()
+
+
 def _write_waves(spark, sf, root):
     """Wave files of 1,500 samples of a track each, the last shorter."""
-    rows = fx.samples(spark, sf).select("track_id", F.expr(f"idx div {WAVE_FRAMES}").alias("part"), "idx", F.floor(F.col("v") * 32768).cast("short").alias("pcm"))
+    rows = fx.samples(spark, sf).select("track_id", F.expr(f"idx div {WAVE_FRAMES}").alias("part"), "idx", F.floor(F.col("v") * 32768).cast("double").alias("pcm"))
 
     def work(table):
-        pcm = table.sort_by("idx").column("pcm").to_numpy().astype("<i2").tobytes()
-        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, fx.RATE, 2 * fx.RATE, 2, 16, b"data", len(pcm))
+        content = _wave(table.sort_by("idx").column("pcm").to_numpy(), fx.RATE)
         name = f"{table.column('track_id')[0].as_py()}/{table.column('part')[0].as_py()}.wav"
-        return pa.table({"path": [name.replace("/", "-", 1)], "content": pa.array([head + pcm], pa.binary())})
+        return pa.table({"path": [name.replace("/", "-", 1)], "content": pa.array([content], pa.binary())})
 
     return files.write_files(rows.groupBy("track_id", "part").applyInArrow(work, "path string, content binary"), root)
 

@@ -6,12 +6,15 @@ import json
 import wave
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
+from __spark_entry__ import oracle_sql, queries
 from pulsegrid.operators import tempo
 from pulsegrid.sources import media, sinks, text
+from tests.compare import difference
 
 
 def write_wav(path, values, rate=8000, channels=1):
@@ -100,3 +103,15 @@ def test_edit_list_write_stops_on_missing_files(spark, tmp_path):
     sinks.write_edl(segs, segs.select("path"), str(tmp_path / "edl"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "edl")).collect()]
     assert lines == ["file 'a.mp4'", "file 'b.mp4'"]
+
+
+def test_waves_of_loud_tracks(spark, tmp_path):
+    """Values above 550 do not fit 16 bits; a quiet file of the same track stays 16-bit."""
+    values = [50.0 + 0.3 * (k % 7) for k in range(1_600)]
+    values[1_510:1_513] = [560.21, 90_000.0, -700.5]
+    rows = spark.createDataFrame([(k, "a", v) for k, v in enumerate(values)] + [(9_000, "b", 560.21)], "event_id long, event_type string, value double")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = queries()["a2_wave_ranges"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert difference(got, con.execute(oracle_sql()["a2_wave_ranges"]).df()) is None
