@@ -8,6 +8,7 @@ a piece of one. Paths are what ``pyarrow.fs`` reads: local folders, HDFS and the
 from __future__ import annotations
 
 import fnmatch
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pulsegrid.session import stage
 SHARDS = 256  # branches that a listing is cut into, about
 LISTED = 10_000  # rows of one batch
 PIECE = 1 << 20  # bytes of a file that a task holds at once
+HEAD = 16 << 10  # bytes read at once of a file whose first lines are wanted
 RANGE = 64 << 20  # bytes of a file that one task reads
 RANGE_FRAMES = 1 << 22
 POLYNOMIAL = np.uint32(0xEDB88320)  # fixed: of CRC-32, lowest bit first
@@ -48,35 +50,57 @@ class Branch(InputPartition):
     deep: bool  # with all folders below, or its own files only
 
 
+def entries(store: pafs.FileSystem, folder: str) -> Iterator[tuple[str, str, bool, int | None]]:
+    """Path, name, whether it is a folder, and size of what lies in a folder; a local folder is not held whole."""
+    if not isinstance(store, pafs.LocalFileSystem):
+        for e in store.get_file_info(pafs.FileSelector(folder)):
+            if e.type in (pafs.FileType.Directory, pafs.FileType.File):
+                yield e.path, e.base_name, e.type == pafs.FileType.Directory, e.size
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            if e.is_dir():
+                yield e.path, e.name, True, None
+            elif e.is_file():
+                yield e.path, e.name, False, e.stat().st_size
+
+
 class FolderReader(DataSourceReader):
-    def __init__(self, path: str, pattern: str, shards: int):
-        self.path, self.pattern, self.shards = path, pattern, shards
+    def __init__(self, path: str, pattern: str, shards: int, below: bool):
+        self.path, self.pattern, self.shards, self.below = path, pattern, shards, below
 
     def partitions(self) -> list[Branch]:
         """Branches of the tree: folders are opened level by level until there are enough; only their names are held."""
         store, root, _ = open_store(self.path)
         if store.get_file_info(root).type != pafs.FileType.Directory:
             raise FileNotFoundError(f"no folder {self.path}")
+        if not self.below:
+            return [Branch(root, False)]
         opened, waiting = [], [root]
         while waiting and len(opened) + len(waiting) < self.shards:
             level = waiting[: self.shards]
             waiting = waiting[self.shards :]
             for folder in level:
                 opened.append(folder)
-                waiting += [e.path for e in store.get_file_info(pafs.FileSelector(folder)) if e.type == pafs.FileType.Directory and shown(e.base_name)]
+                waiting += [path for path, name, is_folder, _ in entries(store, folder) if is_folder and shown(name)]
         return [*(Branch(f, False) for f in opened), *(Branch(f, True) for f in waiting)]
 
     def read(self, partition: Branch) -> Iterator[pa.RecordBatch]:
         store, _, head = open_store(self.path)
-        waiting = [partition.folder]
+        waiting, paths, sizes = [partition.folder], [], []
         while waiting:
-            entries = [e for e in store.get_file_info(pafs.FileSelector(waiting.pop())) if shown(e.base_name)]
-            if partition.deep:
-                waiting += [e.path for e in entries if e.type == pafs.FileType.Directory]
-            files = [e for e in entries if e.type == pafs.FileType.File and fnmatch.fnmatchcase(e.base_name, self.pattern)]
-            for at in range(0, len(files), LISTED):
-                part = files[at : at + LISTED]
-                yield pa.RecordBatch.from_pydict({"path": pa.array([head + e.path for e in part], pa.string()), "length": pa.array([e.size for e in part], pa.int64())})
+            for path, name, is_folder, size in entries(store, waiting.pop()):
+                if is_folder:
+                    if partition.deep and shown(name):
+                        waiting.append(path)
+                elif shown(name) and fnmatch.fnmatchcase(name, self.pattern):
+                    paths.append(head + path)
+                    sizes.append(size)
+                if len(paths) == LISTED:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "length": pa.array(sizes, pa.int64())})
+                    paths, sizes = [], []
+        if paths:
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "length": pa.array(sizes, pa.int64())})
 
 
 def shown(name: str) -> bool:
@@ -95,24 +119,25 @@ class FolderSource(DataSource):
         return "path string, length long"
 
     def reader(self, schema) -> FolderReader:
-        return FolderReader(self.options["path"], self.options.get("pattern", "*"), int(self.options.get("shards", SHARDS)))
+        return FolderReader(self.options["path"], self.options.get("pattern", "*"), int(self.options.get("shards", SHARDS)), self.options.get("below", "true") == "true")
 
 
-def list_folder(spark: SparkSession, folder: str, pattern: str = "*", shards: int = SHARDS) -> DataFrame:
-    """``path, length`` of every file below ``folder`` whose name fits the shell pattern ``pattern``.
+def list_folder(spark: SparkSession, folder: str, pattern: str = "*", shards: int = SHARDS, below: bool = True) -> DataFrame:
+    """``path, length`` of every file below ``folder`` whose name fits the shell pattern ``pattern``; of the folder's own files only without ``below``.
 
     Tasks list the branches; the driver sees folder names of the first levels only. A missing folder is an error, an
     empty one gives no rows. Names that start with ``_`` or ``.`` are passed over.
     """
     spark.dataSource.register(FolderSource)
-    return spark.read.format("folder").option("pattern", pattern).option("shards", shards).load(folder)
+    return spark.read.format("folder").option("pattern", pattern).option("shards", shards).option("below", below).load(folder)
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """Write ``content`` of every row to the file ``path`` below ``folder``; ``path, length`` of what was written.
 
     A file is written under another name and then renamed, so a task that runs twice leaves whole files. Null content
-    makes an empty file. Rows of one path overwrite each other.
+    makes an empty file. Rows of one path overwrite each other. Rows are dealt anew, so a small table of many files
+    does not leave one task to write them all.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +157,38 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(content or b""))
             yield pa.RecordBatch.from_pydict({"path": batch.column(0), "length": pa.array(sizes, pa.int64())})
 
-    return stage(rows.select("path", F.col("content").cast("binary")).mapInArrow(work, "path string, length long"), "written")
+    dealt = rows.select("path", F.col("content").cast("binary")).repartition("path")
+    return stage(dealt.mapInArrow(work, "path string, length long"), "written")
+
+
+def read_heads(files: DataFrame, lines: int) -> DataFrame:
+    """``path, text`` of every file of ``files``: its first ``lines`` lines as UTF-8. Little past them is read."""
+
+    def packed(paths: list[str], texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "text": pa.array(texts, pa.string())})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                store, inner, _ = open_store(path)
+                with store.open_input_stream(inner) as source:
+                    held = [source.read(HEAD)]
+                    seen = held[0].count(b"\n")
+                    while seen < lines and (more := source.read(HEAD)):
+                        held.append(more)
+                        seen += more.count(b"\n")
+                head = b"\n".join(b"".join(held).split(b"\n", lines)[:lines])
+                paths.append(path)
+                texts.append(head.decode("utf-8", "replace"))
+                size += len(head)
+                if size >= PIECE:
+                    yield packed(paths, texts)
+                    paths, texts, size = [], [], 0
+            if paths:
+                yield packed(paths, texts)
+
+    return files.select("path").repartition("path").mapInArrow(work, "path string, text string")
 
 
 def ranges_of(files: DataFrame, length: str, step: int) -> DataFrame:

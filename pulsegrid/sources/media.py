@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.operators.sequence import dense_index
+from pulsegrid.session import stage
 from pulsegrid.sources import files
 
 CLI_EXTENSIONS = ["mp4", "avi", "mov", "mkv"]  # fixed values
@@ -66,12 +67,14 @@ def ingest_wav(spark: SparkSession, folder: str, *, block: int = 65_536, range_f
 
 
 def read_transitions(spark: SparkSession, folder: str, *, header_lines: int = HEADER_LINES) -> DataFrame:
-    """The transition catalogue of a folder; an empty folder is an error."""
-    texts = spark.read.option("pathGlobFilter", "*.glsl").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    catalog = parse_transitions(texts, header_lines=header_lines)
-    if catalog.isEmpty():
+    """The transition catalogue of a folder, without the folders below; an empty folder is an error.
+
+    A task lists it and others read the first lines of its files: neither paths nor texts pass through the driver.
+    """
+    listed = stage(files.list_folder(spark, folder, "*.glsl", below=False), "transitions")
+    if listed.isEmpty():
         raise ValueError(f"no transition files in {folder}")
-    return catalog
+    return parse_transitions(files.read_heads(listed, header_lines), header_lines=header_lines)
 
 
 def parse_transitions(texts: DataFrame, *, header_lines: int = HEADER_LINES) -> DataFrame:

@@ -59,6 +59,21 @@ def test_transitions(spark, tmp_path):
         media.read_transitions(spark, str(tmp_path / "empty"))
 
 
+def test_many_transitions_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Neither the paths nor a partition for each few files is held by the driver; heads longer than a piece are whole."""
+    for k in range(300):
+        (tmp_path / f"t {k}.glsl").write_bytes(b"// " + b"x" * (200 * k) + b"\r\n" * (62 + k % 2) + f"// Name: n\u00fc{k}\r\n".encode() + b"// Name: late\n" * 3)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "no.glsl").write_text("// Name: below\n")
+    (tmp_path / ".t.glsl").write_text("")
+    (tmp_path / "bare.glsl").write_text("")
+    made = media.read_transitions(spark, str(tmp_path))
+    assert not [f for f in made.inputFiles() if f.endswith(".glsl")]
+    got = {r.path.rsplit("/", 1)[1]: r.name for r in made.collect()}
+    want = {f"t {k}.glsl": f"n\u00fc{k}" if k % 2 else "late" for k in range(300)}
+    assert got == want | {"bare.glsl": "bare"}
+
+
 def test_manifest(spark, tmp_path):
     for name, body in (("a.txt", b"hello"), ("b.bin", bytes(range(256))), ("empty", b"")):
         (tmp_path / name).write_bytes(body)
