@@ -225,9 +225,8 @@ def a8(spark, sf):
     )
     counts = fx.event_times(spark, sf).groupBy("track_id").agg(F.count("*").alias("n"))  # the file list comes from elsewhere
     listed = counts.withColumn("k", F.explode(F.expr("sequence(0L, n - 1)"))).select(F.format_string("seg/%d_%05d.mp4", "track_id", "k").alias("path"))
-    path = new_path(spark, "edl")
-    sinks.write_edl(cuts, listed, path)
-    return spark.read.text(path).select(F.col("track_id").cast("long").alias("track_id"), F.col("value").alias("line"))
+    written = sinks.write_edl(cuts, listed, new_path(spark, "edl"))
+    return files.read_lines(written).select("track_id", "line")
 
 
 CRC = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,8 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pulsegrid.session import stage
@@ -191,6 +194,106 @@ def read_heads(files: DataFrame, lines: int) -> DataFrame:
     return files.select("path").repartition("path").mapInArrow(work, "path string, text string")
 
 
+def folder_name(key: str, value: object) -> str:
+    """The folder of one value of a partition column, as Spark names and reads it."""
+    if value is None:
+        return f"{key}=__HIVE_DEFAULT_PARTITION__"
+    return f"{key}=" + re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", str(value))
+
+
+def write_lines(lines: DataFrame, key: str, folder: str) -> DataFrame:
+    """Write sorted partitions of ``key, line`` as text, one folder per ``key``; ``key, path`` of every file.
+
+    A task goes through its rows once and has one file open. An empty key is null. Files of a key follow each other by name in the order of the
+    partitions. A file is written under another name and then renamed; ``_SUCCESS`` is written last, when all are there.
+    """
+    store, root, head = open_store(folder)
+    if store.get_file_info(root).type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{folder} exists")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root, _ = open_store(folder)
+        part = TaskContext.get().partitionId()
+        kind = None
+        now, out, target = None, None, ""
+        keys, paths = [], []
+
+        def close() -> None:
+            out.close()
+            above, _, name = target.rpartition("/")
+            store.move(f"{above}/.{name}", target)
+            keys.append(now)
+            paths.append(head + target)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            own = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, names = own.indices.to_numpy(), own.dictionary.to_pylist()
+            starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                value = None if names[codes[a]] == "" else names[codes[a]]  # as Spark does, so both share a file
+                if out is None or value != now:
+                    if out is not None:
+                        close()
+                    above = f"{root}/{folder_name(key, value)}"
+                    store.create_dir(above, recursive=True)
+                    now, target = value, f"{above}/part-{part:05d}.txt"
+                    out = store.open_output_stream(f"{above}/.part-{part:05d}.txt")
+                out.write("".join(f"{line}\n" for line in batch.column(1).slice(a, b - a).to_pylist()).encode("utf-8", "surrogatepass"))
+            if len(paths) >= LISTED:
+                yield pa.RecordBatch.from_pydict({key: pa.array(keys, kind), "path": pa.array(paths, pa.string())})
+                keys.clear()
+                paths.clear()
+        if out is not None:
+            close()
+            yield pa.RecordBatch.from_pydict({key: pa.array(keys, kind), "path": pa.array(paths, pa.string())})
+
+    written = stage(lines.select(key, "line").mapInArrow(work, T.StructType([lines.schema[key], T.StructField("path", T.StringType())])), "written")
+    store.create_dir(root, recursive=True)
+    store.open_output_stream(f"{root}/_SUCCESS").close()
+    return written
+
+
+def read_lines(files: DataFrame) -> DataFrame:
+    """``files`` once for each line of the text at ``path``, with the ``line``; a task holds a piece of a file and a line."""
+    fields = [f for f in files.schema if f.name != "line"]
+    names = [f.name for f in fields]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            lines: list[str] = []
+            size = 0
+
+            def packed() -> pa.RecordBatch:
+                made = pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array(lines, pa.string())], names=[*names, "line"])
+                rows.clear()
+                lines.clear()
+                return made
+
+            for k, path in enumerate(batch.column(names.index("path")).to_pylist()):
+                store, inner, _ = open_store(path)
+                with store.open_input_stream(inner) as source:
+                    rest = b""
+                    while piece := source.read(PIECE):
+                        *whole, rest = (rest + piece).split(b"\n")
+                        lines += [x.decode("utf-8", "replace") for x in whole]
+                        rows += [k] * len(whole)
+                        size += len(piece)
+                        if size >= PIECE and rows:
+                            yield packed()
+                            size = 0
+                    if rest:
+                        lines.append(rest.decode("utf-8", "replace"))
+                        rows.append(k)
+            if rows:
+                yield packed()
+
+    return files.select(*names).repartition("path").mapInArrow(work, T.StructType([*fields, T.StructField("line", T.StringType())]))
+
+
 def ranges_of(files: DataFrame, length: str, step: int) -> DataFrame:
     """``files`` once for each range of ``step``: ``begin`` and ``end``; none where ``length`` is 0. Ranges are dealt anew, so a long file spreads."""
     cut = files.where(F.col(length) > 0).withColumn("begin", F.explode(F.expr(f"sequence(0L, {length} - 1, {step}L)")))

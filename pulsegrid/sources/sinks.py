@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.rounding import printf
 from pulsegrid.operators.sequence import with_stats
 from pulsegrid.session import stage
+from pulsegrid.sources.files import write_lines
 
 
 def write_grid(beats: DataFrame, path: str) -> None:
@@ -58,11 +59,12 @@ def missing_segments(checked: DataFrame) -> DataFrame:
     return absent.agg(F.count(F.lit(1)).alias("n_missing"), F.min("seg_no").alias("first_seg"), F.min_by("path", "seg_no").alias("first_path"))
 
 
-def write_edl(segments: DataFrame, files: DataFrame, path: str) -> None:
+def write_edl(segments: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """Any missing file aborts the write of all tracks, before anything is written. One directory per track, lines in order.
 
     The input is planned and run once: check and write read the same written lines. ``_SUCCESS`` in ``path`` marks a list
-    that is whole.
+    that is whole. Tasks name their files themselves, so the driver neither moves nor lists the directories of the tracks;
+    returns ``track_id, path`` of the files.
     """
     checked = checked_edl(segments, files)
     absent = checked.filter("missing").count()
@@ -70,7 +72,7 @@ def write_edl(segments: DataFrame, files: DataFrame, path: str) -> None:
         raise EditListAborted(absent, missing_segments(checked))
     # a hot track spreads over range partitions; part files of a track keep the order by name
     lines = checked.repartitionByRange("track_id", "seg_no").sortWithinPartitions("track_id", "seg_no")
-    lines.select("track_id", "line").write.partitionBy("track_id").text(path)
+    return write_lines(lines, "track_id", path)
 
 
 def segment_name(stem: Column, number: Column, extension: str = ".mp4") -> Column:

@@ -13,7 +13,7 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from pulsegrid.operators import tempo
-from pulsegrid.sources import media, sinks, text
+from pulsegrid.sources import files, media, sinks, text
 from tests.compare import difference
 
 
@@ -120,6 +120,25 @@ def test_edit_list_write_stops_on_missing_files(spark, tmp_path):
     assert lines == ["file 'a.mp4'", "file 'b.mp4'"]
 
 
+def test_edit_lists_of_many_tracks(spark, tmp_path):
+    """Files are named by the tasks, one folder a track as Spark names it, and no folder is listed to read them again."""
+    names = ["a/b", "100%", "x=1", "it's", "", None, "é"] + [f"t{k}" for k in range(200)]
+    rows = [(t, k, f"{t}_{k}.mp4") for t in names for k in range(3)] + [("long", k, f"l{k}\t.mp4") for k in range(30_000)]
+    segs = spark.createDataFrame(rows, "track_id string, seg_no long, path string").repartition(5)
+    written = sinks.write_edl(segs, segs.select("path"), str(tmp_path / "edl"))
+    assert written.groupBy("track_id").count().count() == len(names) and (tmp_path / "edl" / "_SUCCESS").exists()
+    want = sorted(((t or None, f"file '{p}'") for t, _, p in rows), key=str)
+    assert sorted(((r.track_id, r.line) for r in files.read_lines(written).collect()), key=str) == want
+    back = spark.read.schema("value string, track_id string").text(str(tmp_path / "edl"))
+    assert sorted(((r.track_id, r.value) for r in back.collect()), key=str) == want
+    parts = sorted((tmp_path / "edl" / "track_id=long").iterdir())
+    assert "".join(p.read_text() for p in parts) == "".join(f"file 'l{k}\t.mp4'\n" for k in range(30_000))
+    with pytest.raises(FileExistsError):
+        sinks.write_edl(segs, segs.select("path"), str(tmp_path / "edl"))
+    none = sinks.write_edl(segs.limit(0), segs.select("path"), str(tmp_path / "none"))
+    assert none.count() == 0 and (tmp_path / "none" / "_SUCCESS").exists()
+
+
 def test_waves_of_loud_tracks(spark, tmp_path):
     """Values above 550 do not fit 16 bits; a quiet file of the same track stays 16-bit."""
     values = [50.0 + 0.3 * (k % 7) for k in range(1_600)]
