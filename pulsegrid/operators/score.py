@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pulsegrid.operators import envelope, segments, signal
 from pulsegrid.operators.carry import minimum_gap
 from pulsegrid.operators.lookup import segment_labels
-from pulsegrid.operators.sequence import TRACK, running_sum, with_stats
+from pulsegrid.operators.sequence import CHUNK, TRACK, running_sum, with_stats
 from pulsegrid.session import stage
 
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -23,6 +23,7 @@ HEADS = ["beat", "downbeat", "segment"]
 THRESHOLDS = {"beat": 0.7, "downbeat": 0.7, "segment": 0.5}  # fixed: default activation thresholds
 MIN_INTERVAL = {"beat": 0.27, "downbeat": 0.54, "segment": 1.0}  # fixed: seconds
 PRESETS = {"BeatNet": (81, 441), "TCN": (81, 441), "AllInOne": (128, 220)}  # fixed: mel bands, hop
+PART_ROWS = 2_000_000  # rows of a part in which the ends of segments meet, about
 STEMS = ["drums", "bass", "other", "vocals"]  # fixed: stem order
 
 
@@ -194,7 +195,7 @@ def separate_stereo(
     resampled = channels_at(interleaved, in_rate=in_rate, model_rate=model_rate)
     keyed = resampled.select(F.struct("track_id", "ch").alias("track_id"), "idx", "v")
     cut = segments.overlap_segments(keyed, length=length).select("track_id.track_id", "track_id.ch", "seg", "pos", "v")
-    fields = [T.StructField("stem", T.StringType()), T.StructField("ch", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("v", T.DoubleType())]
+    fields = [T.StructField("stem", T.StringType()), T.StructField("ch", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("v", T.DoubleType()), T.StructField("size", T.LongType())]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         padded = np.zeros((1, 2, length))
@@ -202,19 +203,25 @@ def separate_stereo(
         count = int(pdf["pos"].max()) + 1
         stems = separator(padded)[0]
         return pd.concat([
-            pd.DataFrame({"track_id": key[0], "stem": name, "ch": np.int32(c), "seg": key[1], "pos": np.arange(count), "v": stems[i, c, :count]})
+            pd.DataFrame({"track_id": key[0], "stem": name, "ch": np.int32(c), "seg": key[1], "pos": np.arange(count), "v": stems[i, c, :count], "size": count})
             for i, name in enumerate(STEMS) for c in range(2)
         ])
 
     parts = stage(cut.groupBy("track_id", "seg").applyInPandas(run, T.StructType([interleaved.schema["track_id"], *fields])), "stems")
     packed = parts.withColumn("track_id", F.struct("track_id", "stem", "ch")).drop("stem", "ch")
-    merged = stage(segments.overlap_add(packed, length=length).select("track_id.*", "idx", "v"), "separated")
+    merged = stage(segments.overlap_add(packed, length=length, size="size", partitions=parts_for(parts)).select("track_id.*", "idx", "v"), "separated")
     return signal.peak_limit(merged, keys=["track_id", "stem"]) if limit else merged
 
 
+def parts_for(written: DataFrame) -> int:
+    """Partitions of at most about ``PART_ROWS`` rows for a relation that is written and so cheap to count."""
+    return max(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // PART_ROWS))
+
+
 def stem_mono(stems: DataFrame) -> DataFrame:
-    """B2 per stem: (track_id, stem, idx, v), the mean of both channels."""
-    return stems.groupBy("track_id", "stem", "idx").agg(F.avg("v").alias("v"))
+    """B2 per stem: (track_id, stem, idx, v), the mean of both channels. Both meet in parts of about ``PART_ROWS`` rows."""
+    dealt = stems.withColumn("_home", F.expr(f"idx div {CHUNK}")).repartition(parts_for(stems), "track_id", "stem", "_home")
+    return dealt.groupBy("track_id", "stem", "_home", "idx").agg(F.avg("v").alias("v")).drop("_home")
 
 
 def model_type(outputs: Column, declared: Column) -> Column:

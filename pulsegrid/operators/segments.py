@@ -289,25 +289,31 @@ def overlap_segments(samples: DataFrame, *, length: int) -> DataFrame:
     return spread.select("track_id", "seg", (F.col("idx") - F.col("seg") * hop).alias("pos"), "v")
 
 
-def overlap_add(segments: DataFrame, *, length: int, symmetric: bool = False) -> DataFrame:
+def overlap_add(segments: DataFrame, *, length: int, symmetric: bool = False, size: str | None = None, partitions: int | None = None) -> DataFrame:
     """Blend the first quarter of each later segment into what is there, overwrite elsewhere.
 
-    With a quarter overlap at most two segments meet at a sample, so a sum over the absolute
-    position is exact. ``symmetric`` fades the earlier segment by the complement of the plain
-    ramp instead of the one-sided weight.
+    With a quarter overlap at most two segments meet at a sample, a head and the tail before it; only these are grouped,
+    what lies between goes straight through. ``symmetric`` fades the earlier segment by the complement of the plain
+    ramp instead of the one-sided weight. ``size`` names a column with the length of the row's segment, where it is known;
+    ``partitions`` is the number of parts in which heads meet tails, so that a caller who knows the rows bounds a part.
     """
     fade = length // 4
     hop = max(1, length - fade)
-    sized = with_stats(segments, ["track_id", "seg"], _len=F.max("pos") + 1)
-    pos, size = F.col("pos"), F.col("_len")
+    sized = with_stats(segments, ["track_id", "seg"], _len=F.max("pos") + 1) if size is None else segments.withColumn("_len", F.col(size))
+    pos, span = F.col("pos"), F.col("_len")
     ramp = pos / F.lit(float(max(fade, 1)))
-    tail = F.when((size >= fade) & (pos >= size - fade), (size - 1 - pos) / F.lit(float(max(fade, 1)))).otherwise(F.lit(1.0))
+    tail = F.when((span >= fade) & (pos >= span - fade), (span - 1 - pos) / F.lit(float(max(fade, 1)))).otherwise(F.lit(1.0))
     weight = ramp if symmetric else ramp * tail
-    blended = (F.col("seg") > 0) & (pos < fade)
-    rows = sized.select("track_id", (F.col("seg") * hop + pos).alias("idx"), "seg", "v", F.when(blended, weight).alias("_w"))
-    top = F.max_by(F.struct("v", F.col("_w").alias("w")), "seg")
-    under = F.min_by("v", "seg")
-    merged = rows.groupBy("track_id", "idx").agg(top.alias("a"), under.alias("b"), F.count(F.lit(1)).alias("n"))
+    is_head, is_tail = (F.col("seg") > 0) & (pos < fade), pos >= hop
+    rows = sized.select("track_id", (F.col("seg") * hop + pos).alias("idx"), "v", F.when(is_head, weight).alias("_w"), is_head.alias("_head"), (is_head | is_tail).alias("_meets"))
+    alone = rows.filter(~F.col("_meets")).select("track_id", "idx", "v")
+    meeting = rows.filter("_meets").withColumn("_home", F.expr(f"idx div {hop}"))
+    if partitions is not None:
+        meeting = meeting.repartition(partitions, "track_id", "_home")
+    head = F.col("_head")
+    merged = meeting.groupBy("track_id", "_home", "idx").agg(
+        F.max(F.when(head, F.col("v"))).alias("h"), F.max(F.when(head, F.col("_w"))).alias("w"), F.max(F.when(~head, F.col("v"))).alias("b"), F.count(F.lit(1)).alias("n")
+    )
     base = F.when(F.col("n") > 1, F.col("b")).otherwise(F.lit(0.0))
-    value = F.when(F.col("a.w").isNull(), F.col("a.v")).otherwise(base * (F.lit(1.0) - F.col("a.w")) + F.col("a.v") * F.col("a.w"))
-    return merged.select("track_id", "idx", value.alias("v"))
+    value = F.when(F.col("w").isNull(), F.col("b")).otherwise(base * (F.lit(1.0) - F.col("w")) + F.col("h") * F.col("w"))
+    return alone.unionByName(merged.select("track_id", "idx", value.alias("v")))

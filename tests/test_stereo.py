@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pulsegrid.operators import score
+from pulsegrid.operators import score, segments
 from pulsegrid.plans import detect
 
 
@@ -60,3 +61,28 @@ def test_every_stem_is_detected_on(spark):
     df = spark.createDataFrame(rows, "track_id string, idx long, v double")
     counts = detect.stereo_stem_detector(df, in_rate=100, model_rate=200, length=256, per_stem=True, detector=lambda s: s.groupBy("track_id", "stem").count())
     assert {(r.stem, r["count"]) for r in counts.collect()} == {(stem, 800) for stem in score.STEMS}
+
+
+def test_only_the_ends_of_segments_are_grouped(spark):
+    """Overlap-add keeps no sorted or struct state: its groups hold numbers and half of the samples, in the given parts."""
+    rng = np.random.default_rng(8)
+    rows = [(t, k, float(v)) for t, n in (("a", 1_000), ("b", 65), ("c", 10)) for k, v in enumerate(rng.standard_normal(n))]
+    cut = segments.overlap_segments(spark.createDataFrame(rows, "track_id string, idx long, v double"), length=64)
+    sized = cut.join(cut.groupBy("track_id", "seg").agg((F.max("pos") + 1).alias("size")), ["track_id", "seg"])
+    plain = segments.overlap_add(cut, length=64)
+    dealt = segments.overlap_add(sized, length=64, size="size", partitions=3)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "max_by" not in plan, plan
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
+    parts = {}
+    for r in cut.orderBy("track_id", "seg", "pos").collect():
+        parts.setdefault((r.track_id, r.seg), []).append(r.v)
+    want = {}
+    for (t, s), own in sorted(parts.items()):
+        for p, v in enumerate(own):
+            if s > 0 and p < 16:
+                w = p / 16 * ((len(own) - 1 - p) / 16 if len(own) >= 16 and p >= len(own) - 16 else 1.0)
+                v = want.get((t, s * 48 + p), 0.0) * (1 - w) + v * w
+            want[t, s * 48 + p] = v
+    got = {(r.track_id, r.idx): r.v for r in plain.collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=1e-12)
