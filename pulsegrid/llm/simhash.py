@@ -63,6 +63,22 @@ def fingerprint_texts(texts: list[str], words: int = SHINGLE, seed: int = SEED)
     return np.packbits(2 * ones > total[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def set_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """SimHashes of ``words`` times 64 bits of sets of 64-bit shingle hashes, none of them empty; one row of words a set."""
+    mask, factor = np.random.default_rng(SEED).integers(0, 1 << 63, (2, words), np.uint64)
+    out = np.empty((len(sets), words), np.uint64)
+    for k, own in enumerate(sets):
+        ones = np.zeros(words * 64, np.int64)
+        for at in range(0, len(own), 255):  # so many bits add up in a byte
+            value = (own[at : at + 255, None] ^ mask) * (factor | np.uint64(1))
+            value ^= value >> np.uint64(29)
+            value *= np.uint64(0xBF58476D1CE4E5B9)
+            value ^= value >> np.uint64(32)
+            ones += np.unpackbits(value.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+        out[k] = np.packbits(2 * ones > len(own)).view(np.uint64)
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id`` and signed 64-bit ``fp`` of every row. Null and empty texts and texts without a word have 0."""
 
