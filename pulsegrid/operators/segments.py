@@ -64,9 +64,10 @@ def split_at(points: DataFrame, durations: DataFrame) -> DataFrame:
 def classify_gaps(beats: DataFrame, *, clip: float = 1.0) -> DataFrame:
     """One row per beat plus an INTRO row at beat_idx -1.
 
-    kind is INTRO, BREAKDOWN or BEAT; ``dur`` is the time the row has to fill.
+    kind is INTRO, BREAKDOWN or BEAT; ``dur`` is the time the row has to fill. The neighbours are written before they are
+    read twice, so the sort by chunk and the join by track do not meet in one task, and a hot track's join may be split.
     """
-    ahead = neighbours(beats, TRACK, "beat_idx", lambda w: {"_next": F.lead("t").over(w), "x": F.col("t") - F.lag("t").over(w)})
+    ahead = stage(neighbours(beats, TRACK, "beat_idx", lambda w: {"_next": F.lead("t").over(w), "x": F.col("t") - F.lag("t").over(w)}), "ahead")
     limits = filtered_average_interval(ahead, fallback=clip).select("track_id", (F.col("avg_interval") * LONG_GAP).alias("limit"))
     rows = ahead.join(limits, "track_id")
     gap = F.col("_next") - F.col("t")

@@ -11,8 +11,12 @@ from pulsegrid.session import stage
 
 
 def thin_beats(beats: DataFrame, selection: DataFrame, *, rate: int = 0) -> DataFrame:
-    """G1 and G2, numbered again; ``orig_idx`` keeps the musical index for effect divisors."""
-    kept = timeline.every_nth(timeline.select_beats(beats, selection), rate)
+    """G1 and G2, numbered again; ``orig_idx`` keeps the musical index for effect divisors.
+
+    Each step is written: all join by track, so together they would sort in one task, and each reads its input twice.
+    """
+    inside = stage(timeline.select_beats(beats, selection), "selected")
+    kept = stage(timeline.every_nth(inside, rate), "thinned")
     placed = with_stats(kept, TRACK, _first=F.min("beat_idx"))
     step = 1 << min(3, max(0, rate))
     return placed.select(
