@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import prepare, text_slices
+from pulsegrid.llm.common import forget, prepare, text_slices, unburdened
 
 BITS = 15  # 2 ** BITS hashed n-gram features
 ORDERS = (1, 2, 3)
@@ -120,7 +120,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"feature": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     out = np.zeros(width + 1, np.int64)
-    for r in docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(unburdened(count), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r["feature"]] = r["n"]
     return out
 
@@ -148,7 +148,7 @@ def sampled_rows(docs: DataFrame, rows_per_language: int, max_rows: int) -> list
                         at, n = np.unique(code, return_counts=True)
                         yield pa.RecordBatch.from_pydict({"draw": rows.column(0).slice(k, 1), "lang": rows.column(2).slice(k, 1), "at": pa.array([at.astype(np.int32)]), "share": pa.array([(n / len(code)).astype(np.float32)])})
 
-    found = chosen.mapInArrow(shrink, "draw long, lang string, at array<int>, share array<float>").toPandas().sort_values(["draw", "lang"], kind="stable")
+    found = chosen.mapInArrow(unburdened(shrink), "draw long, lang string, at array<int>, share array<float>").toPandas().sort_values(["draw", "lang"], kind="stable")
     return [(r.lang, np.asarray(r.at), np.asarray(r.share, np.float64), k % 5 == 0) for k, r in enumerate(found.itertuples())]
 
 
@@ -214,6 +214,7 @@ def classify(docs: DataFrame, model: LanguageModel, out: str = "_language") -> D
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for series in texts:
             column = pa.array(series.where(series.notna(), ""), pa.string())
             names: list[str] = []

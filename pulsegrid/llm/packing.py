@@ -21,6 +21,7 @@ LENGTH = 2048
 END = 1
 RANK_GROUP = 256  # pieces that one group ranks, about; more where MAX_GROUPS groups would be too few
 MAX_GROUPS = 8192
+SLICE = 2 << 20  # bytes of text whose ids are in memory at once
 
 
 def tokenised_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -35,7 +36,7 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, length: int = LEN
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocab.word_encoder(path)
         for batch in batches:
-            for rows, texts in text_slices(batch, "text"):
+            for rows, texts in text_slices(batch, "text", SLICE):
                 ids, counts = encoder.encode(texts)
                 own = counts + 1
                 closed = np.full(int(own.sum()), end, np.uint32)

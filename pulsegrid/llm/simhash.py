@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import prepare, row_runs, text_slices
+from pulsegrid.llm.common import prepare, row_runs, text_slices, unburdened
 from pulsegrid.llm.components import components
 from pulsegrid.session import stage
 
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
                 found = fingerprint_texts(texts.to_pylist(), words, seed)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "fp": pa.array(found.view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(unburdened(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 @dataclass

@@ -154,6 +154,7 @@ def different(values: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> PartAligner:
+    remember(aligner.cache_clear)
     return PartAligner(path_a, path_b)
 
 

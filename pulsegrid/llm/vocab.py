@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from pulsegrid.llm.common import spread
+from pulsegrid.llm.common import remember, spread
 
 MAX_PARTS = 500_000  # parts remembered per worker before the memory starts afresh
 MAX_WORDS = 1_000_000  # the same where marks are cut off ahead
@@ -147,6 +147,7 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> PartEncoder:
     """Encoder of a ``tokenizers`` file whose splitting drops white space."""
+    remember(word_encoder.cache_clear)
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return PartEncoder(tokenizer, parts_without_space, spaced=False, most=MAX_WORDS)
@@ -189,6 +190,7 @@ def byte_tokenizer(path: str, pattern: str) -> Tokenizer:
 
 @lru_cache(maxsize=2)
 def byte_encoder(path: str, pattern: str) -> PartEncoder:
+    remember(byte_encoder.cache_clear)
     return PartEncoder(byte_tokenizer(path, pattern), parts_with_space, spaced=True)
 
 

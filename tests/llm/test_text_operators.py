@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -93,6 +94,16 @@ def test_repeated_words(make_docs, odd_rows, monkeypatch, group):
     assert any(r.n_removed and r.doc_id == 5_100 for r in found) and not any(r.n_removed for r in found if r.doc_id == 4_900)
 
 
+def test_workers_let_go_of_a_vocabulary(make_docs):
+    """A worker that has packed holds up to a million words; its first task of the next step drops them."""
+    rows = suffix_dedup.rows_of(make_docs([(1, "a", "en")]))
+    held = SimpleNamespace(schema=rows.schema, mapInArrow=lambda work, schema: work)
+    vocab.word_encoder(public_tokenizers.path(packing.VOCABULARY)).encode(pa.array(["some words"]))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "mark": [2], "text": ["x y " * 40]})
+    (found,) = suffix_dedup.parsed(held, suffix_dedup.WORDS, False)(iter([batch]))
+    assert found.num_rows and vocab.word_encoder.cache_info().currsize == 0
+
+
 def test_repeats_of_nothing(make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
 
