@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.common import prepare, spread, text_slices
+from pulsegrid.llm.common import prepare, remember, spread, text_slices
 from pulsegrid.llm.vocab import INNER_SPACE, byte_table, parts_with_space
 from pulsegrid.session import stage
 
